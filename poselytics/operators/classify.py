@@ -61,7 +61,11 @@ def _state_column(catalog: Catalog, exercise: Column, level: Column, angles: Col
 
 
 def classify(
-    compact: DataFrame, catalog: Catalog, exercise: str = "exercise", keep_rejects: bool = False
+    compact: DataFrame,
+    catalog: Catalog,
+    exercise: str = "exercise",
+    keep_rejects: bool = False,
+    stop_at_critical: bool = True,
 ) -> DataFrame:
     """Add ``bad_posture, state, feedback_ids, critical`` and the fold's rule columns.
 
@@ -71,11 +75,7 @@ def classify(
     shuffle: the rule table is broadcast and its size was checked on reading.
     """
     rules = F.broadcast(
-        catalog.rule_table().select(
-            F.col("exercise").alias("rule_exercise"),
-            F.col("level").alias("rule_level"),
-            *[c for c in catalog.rule_table().columns if c not in ("exercise", "level")],
-        )
+        catalog.rule_table().withColumnsRenamed({"exercise": "rule_exercise", "level": "rule_level"})
     )
     joined = compact.join(
         rules,
@@ -85,17 +85,10 @@ def classify(
     angles = F.col("angles")
     offset = F.abs(angle(angles, F.col("offset_angle")))
     bad = F.coalesce(offset > F.col("offset_thresh"), F.lit(False))
-    missing = F.lit(False)
-    missing = missing | (
-        F.col("offset_angle").isNotNull() & ~F.coalesce(F.map_contains_key("angles", F.col("offset_angle")), F.lit(False))
-    )
-    missing = missing | (
-        ~F.col("bad_posture")
-        & F.exists(
-            "state_angles",
-            lambda n: ~F.coalesce(F.array_contains(F.map_keys("angles"), n), F.lit(False)),
-        )
-    )
+    named = F.coalesce(F.map_keys("angles"), F.array().cast("array<string>"))
+    missing = (
+        F.col("offset_angle").isNotNull() & ~F.array_contains(named, F.col("offset_angle"))
+    ) | (~F.col("bad_posture") & F.exists("state_angles", lambda n: ~F.array_contains(named, n)))
     reason = F.when(F.col("rule_exercise").isNull(), F.lit("unknown_exercise")).when(
         missing, F.lit("missing_angle")
     )
@@ -105,7 +98,9 @@ def classify(
     good = ~F.col("bad_posture") & F.col("reject_reason").isNull()
     state = _state_column(catalog, F.col(exercise), F.col("level"), angles)
     checked = good & ~F.col("state").eqNullSafe("s1")
-    violated = up_to_first_critical(violated_rules(F.col("rules"), angles))
+    violated = violated_rules(F.col("rules"), angles)
+    if stop_at_critical:
+        violated = up_to_first_critical(violated)
     result = (
         classified.withColumn("state", F.when(good, state))
         .withColumn("violated", F.when(checked, violated))

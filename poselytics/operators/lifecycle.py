@@ -53,11 +53,11 @@ class LifecycleMachine:
 
     inputs = ["ts_us", "is_complete", "exercise", "level"]
     outputs = [
-        ("session_instance", "int", pa.int32()),
-        ("state_epoch", "int", pa.int32()),
-        ("prev_us", "bigint", pa.int64()),
-        ("session_exercise", "string", pa.string()),
-        ("session_level", "int", pa.int32()),
+        ("session_instance", pa.int32()),
+        ("state_epoch", pa.int32()),
+        ("prev_us", pa.int64()),
+        ("session_exercise", pa.string()),
+        ("session_level", pa.int32()),
     ]
 
     def __init__(

@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 from pyspark.sql.types import StructType
 
 from poselytics.session import materialise
@@ -41,7 +42,7 @@ class Machine(Protocol):
     """A fold over ordered rows. States and transfers are plain picklable values."""
 
     inputs: list[str]
-    outputs: list[tuple[str, str, pa.DataType]]
+    outputs: list[tuple[str, pa.DataType]]
 
     def run(self, state: Any, rows: dict[str, list], lo: int, hi: int, out: dict[str, list] | None) -> Any:
         """Fold rows ``lo..hi`` of one key (``state`` None at its start)."""
@@ -158,7 +159,7 @@ def _describe(df: DataFrame, keys: list[str], machine: Machine, known: dict[int,
 
     arrow_schema = pa.schema(
         [
-            *[pa.field(f.name, _ARROW[f.dataType.typeName()]) for f in key_fields],
+            *[pa.field(f.name, to_arrow_type(f.dataType)) for f in key_fields],
             pa.field("chunk", pa.int32()),
             pa.field("is_first", pa.bool_()),
             pa.field("kind", pa.string()),
@@ -169,9 +170,6 @@ def _describe(df: DataFrame, keys: list[str], machine: Machine, known: dict[int,
     return df.select(*wanted).mapInArrow(describe, schema)
 
 
-_ARROW = {"string": pa.string(), "integer": pa.int32(), "long": pa.int64()}
-
-
 def _chain(ends: DataFrame, keys: list[str], machine: Machine, exact: dict[int, Any]) -> list:
     """Entry state of every chunk whose first key began earlier; ``open`` where the chain stopped."""
 
@@ -215,9 +213,9 @@ def ordered_scan(chunked: Chunked, keys: list[str], machine: Machine) -> Chunked
     """Add the machine's output columns to every row. Rows keep their chunk and order."""
     entries = _entry_states(chunked, keys, machine)
     df = chunked.df
-    schema = StructType(df.schema.fields)
-    for name, ddl, _ in machine.outputs:
-        schema = schema.add(name, ddl)
+    schema = StructType(list(df.schema.fields))
+    for name, kind in machine.outputs:
+        schema = schema.add(name, from_arrow_type(kind))
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: tuple | None = None
@@ -227,7 +225,7 @@ def ordered_scan(chunked: Chunked, keys: list[str], machine: Machine) -> Chunked
             if n == 0:
                 continue
             rows = {name: batch.column(name).to_pylist() for name in machine.inputs}
-            out: dict[str, list] = {name: [] for name, _, _ in machine.outputs}
+            out: dict[str, list] = {name: [] for name, _ in machine.outputs}
             edges = [0, *_key_starts(batch, keys), n]
             for lo, hi in zip(edges, edges[1:]):
                 key = _key_at(batch, keys, lo)
@@ -236,7 +234,7 @@ def ordered_scan(chunked: Chunked, keys: list[str], machine: Machine) -> Chunked
                     state = entries.get(batch.column(CHUNK)[lo].as_py()) if current is None else None
                     current = key
                 state = machine.run(state, rows, lo, hi, out)
-            added = [pa.array(out[name], kind) for name, _, kind in machine.outputs]
+            added = [pa.array(out[name], kind) for name, kind in machine.outputs]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *added], names=[*batch.schema.names, *out]
             )

@@ -132,18 +132,18 @@ class SessionFoldMachine:
 
     inputs = ["ts_us", "bad_posture", "state", "critical", "session_exercise", "session_level"]
     outputs = [
-        ("rep", "string", pa.string()),
-        ("reset_no", "int", pa.int32()),
-        ("is_reset", "boolean", pa.bool_()),
-        ("window_us", "bigint", pa.int64()),
-        ("closed_window_us", "bigint", pa.int64()),
-        ("curr_state", "string", pa.string()),
-        ("prev_state", "string", pa.string()),
-        ("state_seq", "string", pa.string()),
-        ("inactive_us", "bigint", pa.int64()),
-        ("inactive_front_us", "bigint", pa.int64()),
-        ("incorrect_posture", "boolean", pa.bool_()),
-        ("critical_error", "boolean", pa.bool_()),
+        ("rep", pa.string()),
+        ("reset_no", pa.int32()),
+        ("is_reset", pa.bool_()),
+        ("window_us", pa.int64()),
+        ("closed_window_us", pa.int64()),
+        ("curr_state", pa.string()),
+        ("prev_state", pa.string()),
+        ("state_seq", pa.string()),
+        ("inactive_us", pa.int64()),
+        ("inactive_front_us", pa.int64()),
+        ("incorrect_posture", pa.bool_()),
+        ("critical_error", pa.bool_()),
     ]
 
     def __init__(self, rules: dict[tuple[str, int], tuple[tuple[str, ...], int]], window_s: float = WINDOW_S):
@@ -154,7 +154,7 @@ class SessionFoldMachine:
         times, bad, states, critical = (rows[c] for c in self.inputs[:4])
         success, limit = self.rules[rows["session_exercise"][lo], rows["session_level"][lo]]
         state = INITIAL if state is None else state
-        columns = None if out is None else [out[name] for name, _, _ in self.outputs]
+        columns = None if out is None else [out[name] for name, _ in self.outputs]
         for i in range(lo, hi):
             before = state.resets
             state, rep, reset, closed = step(
@@ -382,6 +382,7 @@ def session_states(trace: DataFrame) -> DataFrame:
     return final.select(
         "session_uuid",
         "session_instance",
+        F.col("latest.state_epoch").alias("state_epoch"),
         F.when(live, F.col("counts.correct")).otherwise(F.lit(0)).alias("correct"),
         F.when(live, F.col("counts.incorrect")).otherwise(F.lit(0)).alias("incorrect"),
         "state.*",
