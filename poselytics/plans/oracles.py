@@ -96,7 +96,7 @@ tracked AS (
 
 
 def _fold(inactive_s: float | None = None, window_s: float = 2.5) -> str:
-    limit = "CASE WHEN level = 0 THEN 25000000 ELSE 15000000 END" if inactive_s is None else str(round(inactive_s * 1_000_000))
+    limit = "CASE WHEN c.level = 0 THEN 25000000 ELSE 15000000 END" if inactive_s is None else str(round(inactive_s * 1_000_000))
     window = round(window_s * 1_000_000)
     return f"""
 ordered AS (
@@ -179,12 +179,14 @@ occurrences AS (
   FROM trace t JOIN violations v USING (event_id)
   WHERE NOT t.bad AND t.closed IS NULL
 ),
-counted AS (
+per_id AS (
   SELECT session_uuid, session_instance, state_epoch, start_us, feedback_id, count(*) AS n,
-         sum(count(*)) OVER (PARTITION BY session_uuid, session_instance, state_epoch, start_us) AS total,
          min((ts_ms, frame_track_uuid, seq)) AS first_seen
   FROM occurrences {closed}
-  GROUP BY ALL
+  GROUP BY session_uuid, session_instance, state_epoch, start_us, feedback_id
+),
+counted AS (
+  SELECT *, sum(n) OVER (PARTITION BY session_uuid, session_instance, state_epoch, start_us) AS total FROM per_id
 ),
 windows AS (SELECT DISTINCT session_uuid, session_instance, state_epoch, start_us, start_us + 2500000 AS end_us FROM counted),
 kept AS (SELECT *, n / total AS frame_ratio FROM counted WHERE n / total >= {min_ratio}),
@@ -210,7 +212,7 @@ paragraphs AS (
   SELECT session_uuid, session_instance, state_epoch, start_us,
          'Time ' || printf('%.1f', start_us / 1e6) || '-' || printf('%.1f', (start_us + 2500000) / 1e6) || 's:' || chr(10)
          || string_agg('- ' || feedback_id || ' (persistence: ' || printf('%.2f', frame_ratio) || ')', chr(10) ORDER BY first_seen) AS p
-  FROM kept GROUP BY ALL
+  FROM kept GROUP BY session_uuid, session_instance, state_epoch, start_us
 ),
 timelines AS (
   SELECT session_uuid, session_instance, state_epoch, string_agg(p, chr(10) || chr(10) ORDER BY start_us) AS timeline
@@ -365,8 +367,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "frame_angles": _sql(
             """SELECT session_uuid, frame_track_uuid, angle, value FROM (
-                 SELECT *, row_number() OVER (PARTITION BY frame_track_uuid, angle ORDER BY at DESC) AS r FROM (
-                   SELECT session_uuid, frame_track_uuid, 1 AS at, 'elbow_angle' AS angle, elbow AS value FROM frames
+                 SELECT *, row_number() OVER (PARTITION BY frame_track_uuid, angle ORDER BY place DESC) AS r FROM (
+                   SELECT session_uuid, frame_track_uuid, 1 AS place, 'elbow_angle' AS angle, elbow AS value FROM frames
                    UNION ALL SELECT session_uuid, frame_track_uuid, 2, 'shoulder_angle', shoulder FROM frames
                    UNION ALL SELECT session_uuid, frame_track_uuid, 3, 'offset_angle', offset_angle FROM frames
                    UNION ALL SELECT session_uuid, frame_track_uuid, 4, 'elbow_angle', elbow * 2 FROM frames))
