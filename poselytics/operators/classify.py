@@ -21,10 +21,13 @@ def order_key() -> Column:
     return F.struct(*ORDER)
 
 
-def compact_frames(frames: DataFrame, level: int | Column = 0) -> DataFrame:
+def compact_frames(
+    frames: DataFrame, level: int | Column = 0, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """The few columns the analysis reads; landmarks are never touched.
 
-    ``level`` is 0 for beginner, anything else for pro.
+    ``level`` is 0 for beginner, anything else for pro. ``keep`` names further
+    columns to carry along.
     """
     level = F.lit(level) if isinstance(level, int) else level
     complete = F.col("current_time") >= F.col("video_duration") - F.lit(COMPLETION_TOLERANCE_S)
@@ -40,6 +43,7 @@ def compact_frames(frames: DataFrame, level: int | Column = 0) -> DataFrame:
         F.when(level != 0, F.lit(1)).otherwise(F.lit(0)).alias("level"),
         angle_map(F.col("metrics.angles")).alias("angles"),
         F.coalesce(complete, F.lit(False)).alias("is_complete"),
+        *keep,
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_right
+from dataclasses import dataclass, replace
 from typing import NamedTuple
 
 import numpy as np
@@ -20,14 +21,28 @@ PROCESSING_DELAY_S = 10.0
 _FAR = np.iinfo(np.int64).max
 
 
-class LifecycleState(NamedTuple):
+@dataclass(slots=True)
+class LifecycleState:
     instance: int
     epoch: int
     last_us: int
     completed_us: int | None  # first completing frame of the instance
-    exercise: str
+    exercise: str  # of the session's first frame
     level: int
 
+    def step(self, ts: int, complete: bool, timeout: int, grace: int, ttl: int) -> None:
+        """Move on to a frame (times in microseconds). Batch and streaming share this."""
+        gap = ts - self.last_us
+        self.last_us = ts
+        if gap > ttl:
+            self.epoch += 1
+        completed = self.completed_us
+        if gap > timeout or (completed is not None and ts > completed + grace):
+            self.instance += 1
+            self.completed_us = completed = None
+        if complete and completed is None:
+            self.completed_us = ts
+
 
 class _Transfer(NamedTuple):
     first_us: int
@@ -56,6 +71,7 @@ class LifecycleMachine:
         ("session_instance", pa.int32()),
         ("state_epoch", pa.int32()),
         ("prev_us", pa.int64()),
+        ("completed_us", pa.int64()),
         ("session_exercise", pa.string()),
         ("session_level", pa.int32()),
     ]
@@ -70,32 +86,30 @@ class LifecycleMachine:
         self.grace = round(grace_s * 1_000_000)
         self.ttl = _FAR if state_ttl_s is None else round(state_ttl_s * 1_000_000)
 
-    def step(
-        self, state: LifecycleState | None, ts: int, complete: bool, exercise: str, level: int
-    ) -> LifecycleState:
-        if state is None:
-            return LifecycleState(0, 0, ts, ts if complete else None, exercise, level)
-        instance, epoch, last, completed, exercise, level = state
-        if ts - last > self.ttl:
-            epoch += 1
-        if ts - last > self.timeout or (completed is not None and ts > completed + self.grace):
-            instance, completed = instance + 1, None
-        if complete and completed is None:
-            completed = ts
-        return LifecycleState(instance, epoch, ts, completed, exercise, level)
-
     def run(self, state, rows, lo, hi, out):
-        times, complete = rows["ts_us"], rows["is_complete"]
-        exercises, levels = rows["exercise"], rows["level"]
-        for i in range(lo, hi):
-            previous = None if state is None else state.last_us
-            state = self.step(state, times[i], complete[i], exercises[i], levels[i])
-            if out is not None:
-                out["session_instance"].append(state.instance)
-                out["state_epoch"].append(state.epoch)
-                out["prev_us"].append(previous)
-                out["session_exercise"].append(state.exercise)
-                out["session_level"].append(state.level)
+        times, complete = rows["ts_us"][lo:hi], rows["is_complete"][lo:hi]
+        previous: list[int | None] = [None if state is None else state.last_us, *times[:-1]]
+        if state is None:
+            state = LifecycleState(0, 0, times[0], None, rows["exercise"][lo], rows["level"][lo])
+        else:
+            state = replace(state)
+        instances, epochs, completed = [], [], []
+        for ts, done in zip(times, complete):
+            state.step(ts, done, self.timeout, self.grace, self.ttl)
+            instances.append(state.instance)
+            epochs.append(state.epoch)
+            completed.append(state.completed_us)
+        if out is not None:
+            added = (
+                instances,
+                epochs,
+                previous,
+                completed,
+                [state.exercise] * len(times),
+                [state.level] * len(times),
+            )
+            for (name, _), values in zip(self.outputs, added):
+                out[name].extend(values)
         return state
 
     def transfer(self, rows) -> _Transfer:
@@ -154,8 +168,8 @@ class LifecycleMachine:
         t = transfer
         if state is None:
             state = LifecycleState(0, 0, t.first_us, None, t.exercise, t.level)
-        instance, epoch, last, completed, exercise, level = state
-        gap = t.first_us - last
+        instance, epoch, completed = state.instance, state.epoch, state.completed_us
+        gap = t.first_us - state.last_us
         epoch += t.epochs + (gap > self.ttl)
         if gap > self.timeout:
             instance, completed = instance + 1, None
@@ -173,7 +187,7 @@ class LifecycleMachine:
         if t.tail is not None:
             completed, more = t.tail
             instance += more
-        return LifecycleState(instance, epoch, t.last_us, completed, exercise, level)
+        return LifecycleState(instance, epoch, t.last_us, completed, state.exercise, state.level)
 
 
 def order_frames(compact: DataFrame, n_chunks: int | None = None) -> Chunked:

@@ -197,13 +197,15 @@ def _chain(ends: DataFrame, keys: list[str], machine: Machine, exact: dict[int,
 def _entry_states(chunked: Chunked, keys: list[str], machine: Machine) -> dict[int, Any]:
     if chunked.n_chunks == 1:
         return {}
-    ends = materialise(_describe(chunked.df, keys, machine, {}))
+    ends = _describe(chunked.df, keys, machine, {})
     exact: dict[int, Any] = {}
     while True:
         rows = _chain(ends, keys, machine, exact)
         opened = {r.chunk: pickle.loads(r.blob) for r in rows if r.kind == "open"}
         if not opened:
             return {r.chunk: pickle.loads(r.blob) for r in rows if r.kind == "entry"}
+        if not exact:
+            ends = materialise(ends)
         stopped = chunked.df.filter(F.col(CHUNK).isin(list(opened)))
         for r in _describe(stopped, keys, machine, opened).collect():
             exact[r.chunk] = pickle.loads(r.blob)

@@ -30,7 +30,7 @@ def session_reports(
     timeout is still running and gets no report.
     """
     if as_of_us is not None:
-        silent = F.lit(as_of_us) - F.col("last_active_us") > round(timeout_s * 1_000_000)
+        silent = F.lit(as_of_us) - F.col("last_us") > round(timeout_s * 1_000_000)
         newest = F.max("session_instance").over(Window.partitionBy("session_uuid"))
         summaries = (
             summaries.withColumn("newest", newest)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
 from itertools import groupby
 from typing import NamedTuple
 
@@ -20,86 +21,91 @@ WINDOW_S = 2.5
 KEYS = ["session_uuid", "session_instance", "state_epoch"]
 
 
-class SessionState(NamedTuple):
-    curr_state: str | None
-    prev_state: str | None
-    state_seq: tuple[str, ...]
-    correct: int  # since the last counter reset
-    incorrect: int
-    inactive_us: int
-    inactive_front_us: int
-    incorrect_posture: bool
-    critical_error: bool
-    last_us: int | None
-    window_us: int | None  # start of the active feedback window
-    resets: int
-
-
-INITIAL = SessionState("s1", None, (), 0, 0, 0, 0, False, False, None, None, 0)
-
-
-class FrameOutcome(NamedTuple):
-    state: SessionState
-    rep: str | None  # "correct" or "incorrect" when this frame completes one
-    reset: bool  # inactivity set the counters back after this frame
-    closed_window_us: int | None  # start of the window this frame closed
-
-
-def step(
-    state: SessionState,
-    ts: int,
-    bad_posture: bool,
-    new_state: str | None,
-    critical: bool,
-    success: tuple[str, ...],
-    inactive_limit: int,
-    window: int,
-) -> FrameOutcome:
-    """Fold one frame (times in microseconds). Shared by batch and streaming."""
-    (curr, _, seq, correct, incorrect, idle, idle_front, posture, error, last, start, resets) = state
-    elapsed = 0 if last is None else ts - last
-    if bad_posture:
-        idle_front += elapsed
-        reset = idle_front >= inactive_limit
-        if reset:
-            correct = incorrect = idle_front = 0
-            resets += 1
-        state = state._replace(
-            correct=correct,
-            incorrect=incorrect,
-            inactive_front_us=idle_front,
-            incorrect_posture=True,
-            last_us=ts,
-            resets=resets,
-        )
-        return FrameOutcome(state, None, reset, None)
-
-    if new_state in success and (not seq or seq[-1] != new_state):
-        seq = (*seq, new_state)[-len(success) :]
-    rep = None
-    # only the length of the sequence and the state it returns to decide
-    if new_state == success[0] and len(seq) == len(success):
-        if posture or error:
-            rep, incorrect = "incorrect", incorrect + 1
+@dataclass(slots=True)
+class SessionState:
+    """State of one session instance; times in microseconds."""
+
+    curr_state: str | None = "s1"
+    prev_state: str | None = None
+    state_seq: tuple[str, ...] = ()
+    correct: int = 0  # since the last counter reset
+    incorrect: int = 0
+    inactive_us: int = 0
+    inactive_front_us: int = 0
+    incorrect_posture: bool = False
+    critical_error: bool = False
+    last_us: int | None = None
+    window_us: int | None = None  # start of the active feedback window
+    resets: int = 0
+
+    def step(
+        self,
+        ts: int,
+        bad_posture: bool,
+        new_state: str | None,
+        critical: bool,
+        success: tuple[str, ...],
+        inactive_limit: int,
+        window: int,
+    ) -> tuple[str | None, bool, int | None]:
+        """Fold one frame. Batch and streaming share this.
+
+        Returns the repetition the frame completed (``correct`` or ``incorrect``),
+        whether inactivity set the counters back after it, and the start of the
+        feedback window it closed.
+        """
+        elapsed = 0 if self.last_us is None else ts - self.last_us
+        self.last_us = ts
+        if bad_posture:
+            self.incorrect_posture = True
+            self.inactive_front_us += elapsed
+            if self.inactive_front_us < inactive_limit:
+                return _NOTHING
+            self.inactive_front_us = 0
+            self._reset_counters()
+            return None, True, None
+
+        seq = self.state_seq
+        if new_state in success and (not seq or seq[-1] != new_state):
+            seq = self.state_seq = (*seq, new_state)[-len(success) :]
+        rep = None
+        # only the length of the sequence and the state it returns to decide
+        if len(seq) == len(success) and new_state == success[0]:
+            if self.incorrect_posture or self.critical_error:
+                rep = "incorrect"
+                self.incorrect += 1
+            else:
+                rep = "correct"
+                self.correct += 1
+            self.state_seq = ()
+            self.incorrect_posture = self.critical_error = False
+
+        reset = False
+        if self.curr_state == new_state:
+            self.inactive_us += elapsed
+            if self.inactive_us >= inactive_limit:
+                reset = True
+                self.inactive_us = 0
+                self._reset_counters()
         else:
-            rep, correct = "correct", correct + 1
-        seq, posture, error = (), False, False
-
-    idle = idle + elapsed if curr == new_state else 0
-    reset = curr == new_state and idle >= inactive_limit
-    if reset:
-        correct = incorrect = idle = 0
-        resets += 1
-
-    closed = None
-    if start is None:
-        start = ts
-    elif ts - start >= window:
-        closed, start = start, ts
-    state = SessionState(
-        new_state, curr, seq, correct, incorrect, idle, idle_front, posture, error or critical, ts, start, resets
-    )
-    return FrameOutcome(state, rep, reset, closed)
+            self.inactive_us = 0
+        self.prev_state, self.curr_state = self.curr_state, new_state
+        if critical:
+            self.critical_error = True
+
+        closed = None
+        if self.window_us is None:
+            self.window_us = ts
+        elif ts - self.window_us >= window:
+            closed, self.window_us = self.window_us, ts
+        return rep, reset, closed
+
+    def _reset_counters(self) -> None:
+        self.correct = self.incorrect = 0
+        self.resets += 1
+
+
+_NOTHING = (None, False, None)
 
 
 class _RepWalk(NamedTuple):
@@ -127,8 +133,25 @@ class _Transfer(NamedTuple):
     reps: dict[tuple[int, str | None], _RepWalk]
 
 
+_STATE = pa.struct(
+    {
+        "curr_state": pa.string(),
+        "prev_state": pa.string(),
+        "state_seq": pa.string(),
+        "inactive_us": pa.int64(),
+        "inactive_front_us": pa.int64(),
+        "incorrect_posture": pa.bool_(),
+        "critical_error": pa.bool_(),
+    }
+)
+
+
 class SessionFoldMachine:
-    """:func:`step` over a session's classified frames, as an ordered scan."""
+    """:meth:`SessionState.step` over a session's classified frames, as an ordered scan.
+
+    ``state_after`` is filled where a session's rows end (in an Arrow batch), so
+    on the last frame of every session, and NULL elsewhere.
+    """
 
     inputs = ["ts_us", "bad_posture", "state", "critical", "session_exercise", "session_level"]
     outputs = [
@@ -137,13 +160,7 @@ class SessionFoldMachine:
         ("is_reset", pa.bool_()),
         ("window_us", pa.int64()),
         ("closed_window_us", pa.int64()),
-        ("curr_state", pa.string()),
-        ("prev_state", pa.string()),
-        ("state_seq", pa.string()),
-        ("inactive_us", pa.int64()),
-        ("inactive_front_us", pa.int64()),
-        ("incorrect_posture", pa.bool_()),
-        ("critical_error", pa.bool_()),
+        ("state_after", _STATE),
     ]
 
     def __init__(self, rules: dict[tuple[str, int], tuple[tuple[str, ...], int]], window_s: float = WINDOW_S):
@@ -151,32 +168,35 @@ class SessionFoldMachine:
         self.window = round(window_s * 1_000_000)
 
     def run(self, state, rows, lo, hi, out):
-        times, bad, states, critical = (rows[c] for c in self.inputs[:4])
+        times, bad, states, critical = (rows[c][lo:hi] for c in self.inputs[:4])
         success, limit = self.rules[rows["session_exercise"][lo], rows["session_level"][lo]]
-        state = INITIAL if state is None else state
-        columns = None if out is None else [out[name] for name, _ in self.outputs]
-        for i in range(lo, hi):
-            before = state.resets
-            state, rep, reset, closed = step(
-                state, times[i], bad[i], states[i], critical[i], success, limit, self.window
-            )
-            if columns is not None:
-                values = (
-                    rep,
-                    before,
-                    reset,
-                    None if bad[i] else state.window_us,
-                    closed,
-                    state.curr_state,
-                    state.prev_state,
-                    ",".join(state.state_seq),
-                    state.inactive_us,
-                    state.inactive_front_us,
-                    state.incorrect_posture,
-                    state.critical_error,
-                )
-                for column, value in zip(columns, values):
-                    column.append(value)
+        window = self.window
+        state = SessionState() if state is None else replace(state)
+        step = state.step
+        if out is None:
+            for ts, b, s, c in zip(times, bad, states, critical):
+                step(ts, b, s, c, success, limit, window)
+            return state
+        reps, numbers, resets, windows, closing, after = (out[name].append for name, _ in self.outputs)
+        for ts, b, s, c in zip(times, bad, states, critical):
+            numbers(state.resets)
+            rep, reset, closed = step(ts, b, s, c, success, limit, window)
+            reps(rep)
+            resets(reset)
+            windows(None if b else state.window_us)
+            closing(closed)
+        out["state_after"].extend([None] * (hi - lo - 1))
+        after(
+            {
+                "curr_state": state.curr_state,
+                "prev_state": state.prev_state,
+                "state_seq": ",".join(state.state_seq),
+                "inactive_us": state.inactive_us,
+                "inactive_front_us": state.inactive_front_us,
+                "incorrect_posture": state.incorrect_posture,
+                "critical_error": state.critical_error,
+            }
+        )
         return state
 
     def transfer(self, rows) -> _Transfer:
@@ -215,7 +235,7 @@ class SessionFoldMachine:
 
     def apply(self, transfer: _Transfer, state: SessionState | None) -> SessionState | None:
         t = transfer
-        s = INITIAL if state is None else state
+        s = SessionState() if state is None else state
         elapsed = 0 if s.last_us is None else t.first_us - s.last_us
         resets = s.resets
         front = t.front.exit(s.inactive_front_us + (elapsed if t.first_is_bad else 0), t.limit)
@@ -339,57 +359,44 @@ def session_states(trace: DataFrame) -> DataFrame:
     """Final state per session instance.
 
     Repetitions count from the last reset of the last state epoch on, so they are
-    first summed per (epoch, reset) and the latest sum is taken. Both steps are
-    partially aggregated before they shuffle.
+    first summed per (epoch, reset) and the latest sum is taken. Only frames that
+    complete a repetition, reset the counters or end a batch take part, and both
+    steps aggregate partially before they shuffle.
     """
-    state = F.struct(
-        "curr_state",
-        "prev_state",
-        "state_seq",
-        "inactive_us",
-        "inactive_front_us",
-        "incorrect_posture",
-        "critical_error",
-    )
-    # an epoch or a reset that no frame follows leaves counts of zero behind
+    ended = F.col("state_after").isNotNull()
     latest = F.struct("state_epoch", (F.col("reset_no") + F.col("is_reset").cast("int")).alias("reset_no"))
-    per_reset = trace.groupBy(
-        "session_uuid", "session_instance", F.struct("state_epoch", "reset_no").alias("at")
-    ).agg(
-        F.count_if(F.col("rep") == "correct").alias("correct"),
-        F.count_if(F.col("rep") == "incorrect").alias("incorrect"),
-        F.max(latest).alias("latest"),
-        F.max_by(state, order_key()).alias("state"),
-        F.max(order_key()).alias("last"),
-        F.max_by("exercise", order_key()).alias("last_exercise"),
-        F.min("ts_us").alias("first_us"),
-        F.max("ts_us").alias("last_active_us"),
-        F.bool_or("is_complete").alias("is_completing"),
-        F.count("*").alias("n_frames"),
+    end = F.struct(
+        order_key().alias("at"),
+        "state_after",
+        F.col("exercise").alias("last_exercise"),
+        F.col("completed_us").isNotNull().alias("is_completing"),
+    )
+    per_reset = (
+        trace.filter(F.col("rep").isNotNull() | F.col("is_reset") | ended)
+        .groupBy("session_uuid", "session_instance", "state_epoch", "reset_no")
+        .agg(
+            F.count_if(F.col("rep") == "correct").alias("correct"),
+            F.count_if(F.col("rep") == "incorrect").alias("incorrect"),
+            F.max(latest).alias("latest"),
+            F.max(F.when(ended, end)).alias("end"),
+        )
     )
+    counts = F.struct("state_epoch", "reset_no", "correct", "incorrect")
     final = per_reset.groupBy("session_uuid", "session_instance").agg(
-        F.max("latest").alias("latest"),
-        F.max_by(F.struct("at", "correct", "incorrect"), "at").alias("counts"),
-        F.max_by("state", "last").alias("state"),
-        F.max("last").alias("last"),
-        F.max_by("last_exercise", "last").alias("last_exercise"),
-        F.min("first_us").alias("first_us"),
-        F.max("last_active_us").alias("last_active_us"),
-        F.bool_or("is_completing").alias("is_completing"),
-        F.sum("n_frames").alias("n_frames"),
+        F.max("latest").alias("latest"), F.max(counts).alias("counts"), F.max("end").alias("end")
+    )
+    # a reset that no frame follows leaves counts of zero behind
+    live = (F.col("counts.state_epoch") == F.col("latest.state_epoch")) & (
+        F.col("counts.reset_no") == F.col("latest.reset_no")
     )
-    live = F.col("counts.at") == F.col("latest")
     return final.select(
         "session_uuid",
         "session_instance",
         F.col("latest.state_epoch").alias("state_epoch"),
         F.when(live, F.col("counts.correct")).otherwise(F.lit(0)).alias("correct"),
         F.when(live, F.col("counts.incorrect")).otherwise(F.lit(0)).alias("incorrect"),
-        "state.*",
-        "last_exercise",
-        F.col("last.ts_us").alias("last_us"),
-        "first_us",
-        "last_active_us",
-        "is_completing",
-        "n_frames",
+        "end.state_after.*",
+        "end.last_exercise",
+        F.col("end.at.ts_us").alias("last_us"),
+        "end.is_completing",
     )

@@ -162,8 +162,7 @@ final AS (
          arg_max(coalesce(prev, '-'), k) AS prev_state,
          arg_max(seq, k) AS seq, arg_max(idle, k) AS idle, arg_max(front, k) AS front,
          arg_max(posture, k) AS posture, arg_max(error, k) AS error,
-         arg_max(ts_us, k) AS last_us, bool_or(is_complete) AS done, count(*) AS n_frames,
-         max(ts_us) AS last_active_us
+         arg_max(ts_us, k) AS last_us, bool_or(is_complete) AS done, count(*) AS n_frames
   FROM (SELECT *, row_number() OVER (PARTITION BY session_uuid, session_instance
                                      ORDER BY ts_ms, frame_track_uuid, ts_us) AS k FROM trace)
   GROUP BY ALL
@@ -302,7 +301,7 @@ _FINAL_COLUMNS = """session_uuid, session_instance, correct, incorrect, curr_sta
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    sql = {
         "frame_parse_rejects": _sql(
             "SELECT raw, reject_reason FROM checked WHERE reject_reason IS NOT NULL", _MESSAGES
         ),
@@ -441,14 +440,14 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT {_FINAL_COLUMNS},
                   CASE WHEN length(seq) > 2 THEN array_to_string(regexp_extract_all(seq, 's.'), ',') ELSE seq END AS state_seq,
                   idle AS inactive_us, front AS inactive_front_us, posture AS incorrect_posture,
-                  error AS critical_error, last_us, n_frames
+                  error AS critical_error, last_us, done AS is_completing
                 FROM final""",
             inactive_s=1.5,
             timeout_s=5.0,
         ),
         "session_state_ttl": _trace(
             """SELECT session_uuid, session_instance, state_epoch, correct, incorrect,
-                 array_to_string(regexp_extract_all(seq, 's.'), ',') AS state_seq, n_frames FROM final""",
+                 array_to_string(regexp_extract_all(seq, 's.'), ',') AS state_seq FROM final""",
             ttl_s=3.0,
         ),
         "feedback_windows": _trace(
@@ -504,7 +503,7 @@ def oracle_sql() -> dict[str, str]:
         "running_sessions": _trace(
             f"""SELECT session_uuid, session_instance, CASE WHEN done THEN 'completed' ELSE 'timeout' END AS status
                FROM (SELECT *, max(session_instance) OVER (PARTITION BY session_uuid) AS newest FROM summary)
-               WHERE done OR session_instance < newest OR {EPOCH_US + 72_000_000} - last_active_us > 1000000""",
+               WHERE done OR session_instance < newest OR {EPOCH_US + 72_000_000} - last_us > 1000000""",
             _windows(),
             timeout_s=5.0,
         ),
@@ -540,3 +539,16 @@ def oracle_sql() -> dict[str, str]:
             STATES,
         ),
     }
+    # the streaming engine gives what the batch engine gives
+    sql["stream_reps"] = sql["rep_correctness"]
+    sql["stream_windows"] = sql["feedback_windows"]
+    sql["stream_reports"] = _trace(
+        """SELECT session_uuid, session_instance, CASE WHEN done THEN 'completed' ELSE 'timeout' END AS status,
+             CASE WHEN done THEN 'dumbbell-arm' END AS exercise, CASE WHEN done THEN last_us END AS last_us,
+             correct, incorrect, total_windows, exercise_duration,
+             coalesce((SELECT string_agg(feedback_id, ',' ORDER BY first_seen) FROM issues i
+               WHERE i.session_uuid = s.session_uuid AND i.session_instance = s.session_instance), '') AS issues
+           FROM summary s""",
+        _windows(),
+    )
+    return sql

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -31,9 +32,9 @@ from poselytics.operators.session_fold import (
     session_states,
     session_trace,
 )
-from poselytics.session import configure
+from poselytics.session import configure, shared_folder
 from poselytics.sources.catalog import builtin_catalog
-from poselytics.sources.events import EPOCH_US, events_frames
+from poselytics.sources.events import EPOCH_US, events_frames, frames_of
 from poselytics.sources.frames import (
     parse_frames,
     rejected_frames,
@@ -41,6 +42,8 @@ from poselytics.sources.frames import (
     valid_frames,
 )
 from poselytics.sources.sinks import report_messages
+from poselytics.streaming.jobs import write_stream
+from poselytics.streaming.sessions import EVENT_SCHEMA, events_of, session_events
 
 EPOCH_MS = EPOCH_US // 1000
 AS_OF_MS = EPOCH_MS + 50_000
@@ -49,6 +52,8 @@ AS_OF_MS = EPOCH_MS + 50_000
 SHORT_TIMEOUT_S = 5.0
 SHORT_INACTIVE_S = 1.5
 
+END_SESSION = "end-of-stream"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -291,25 +296,19 @@ def posture_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     trace = _trace(spark, sf_dir, inactive_s=SHORT_INACTIVE_S, timeout_s=SHORT_TIMEOUT_S)
-    return session_states(trace).drop(
-        "state_epoch", "last_exercise", "first_us", "last_active_us", "is_completing"
-    )
+    return session_states(trace).drop("state_epoch", "last_exercise")
 
 
 def session_state_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     trace = _trace(spark, sf_dir, state_ttl_s=3.0)
     return session_states(trace).select(
-        "session_uuid", "session_instance", "state_epoch", "correct", "incorrect", "state_seq", "n_frames"
+        "session_uuid", "session_instance", "state_epoch", "correct", "incorrect", "state_seq"
     )
 
 
-def feedback_window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feedback.feedback_windows(_trace(spark, sf_dir)).select(
-        "session_uuid",
-        "session_instance",
-        "start_us",
-        "end_us",
-        F.explode_outer("feedback").alias("f"),
+def _flat_windows(windows: DataFrame) -> DataFrame:
+    return windows.select(
+        "session_uuid", "session_instance", "start_us", "end_us", F.explode_outer("feedback").alias("f")
     ).select(
         "session_uuid",
         "session_instance",
@@ -321,6 +320,10 @@ def feedback_window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def feedback_window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat_windows(feedback.feedback_windows(_trace(spark, sf_dir)))
+
+
 def feedback_windows_low_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = feedback.feedback_windows(_trace(spark, sf_dir), min_frame_ratio=0.2, flush_open=True)
     return windows.select(
@@ -459,6 +462,50 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replay the events table through the streaming engine and read its output back."""
+    configure(spark)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    frames = frames_of(source, "dumbbell-arm")
+    # a frame far in the future lets the watermark pass the last real one
+    end = (
+        frames.filter(F.col("frame_track_uuid") == "f-0")
+        .withColumn("session_uuid", F.lit(END_SESSION))
+        .withColumn("timestamp", F.timestamp_micros(F.lit(EPOCH_US + 10**12)))
+    )
+    events = session_events(frames.unionByName(end), builtin_catalog(spark), F.col("level"))
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
+    query = write_stream(events, f"{folder}/events", f"{folder}/checkpoint", once=True)
+    query.awaitTermination()
+    return spark.read.schema(EVENT_SCHEMA).parquet(f"{folder}/events").filter(F.col("session_uuid") != END_SESSION)
+
+
+def stream_reps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_of(_stream_events(spark, sf_dir), "rep").select(
+        "session_uuid", "session_instance", "ts_us", "frame_track_uuid", "rep"
+    )
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat_windows(events_of(_stream_events(spark, sf_dir), "window"))
+
+
+def stream_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_of(_stream_events(spark, sf_dir), "report").select(
+        "session_uuid",
+        "session_instance",
+        "status",
+        "exercise",
+        F.col("ts_us").alias("last_us"),
+        "correct",
+        "incorrect",
+        "total_windows",
+        "exercise_duration",
+        F.array_join(F.transform("feedback_summary", lambda i: i["id"]), ",").alias("issues"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "frame_parse_rejects": frame_parse_rejects,
     "frames_parsed": frames_parsed,
@@ -501,4 +548,7 @@ QUERIES: dict[str, Query] = {
     "prompt": prompts,
     "analysis_parsed": analysis_parsed,
     "run_metrics": run_metrics,
+    "stream_reps": stream_reps,
+    "stream_windows": stream_windows,
+    "stream_reports": stream_reports,
 }

@@ -17,7 +17,10 @@ COMPRESSION = 36_000
 
 def events_frames(spark: SparkSession, sf_dir: str, exercise: str | None = "dumbbell-arm") -> DataFrame:
     """Canonical frames plus a ``level`` column; ``exercise=None`` keeps the event type."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return frames_of(spark.read.parquet(f"{sf_dir}/events.parquet"), exercise)
+
+
+def frames_of(events: DataFrame, exercise: str | None) -> DataFrame:
     frame_us = F.expr(f"(unix_micros(cast(ts as timestamp)) - {EPOCH_US}) div {COMPRESSION}")
     # a message never carries a null angle or time
     present = events.filter(

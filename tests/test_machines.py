@@ -1,13 +1,14 @@
 """Transfers chained over any chunking must equal the plain fold (no Spark needed)."""
 
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
 
 from poselytics.operators.lifecycle import LifecycleMachine
 from poselytics.operators.reset_map import reset_map
-from poselytics.operators.session_fold import INITIAL, SessionFoldMachine
+from poselytics.operators.session_fold import SessionFoldMachine, SessionState
 
 
 def _chunks(rng, n):
@@ -60,7 +61,7 @@ def test_session_fold_chunks(seed):
         "session_level": [0] * n,
     }
     machine = SessionFoldMachine({("e", 0): (success, limit)})
-    _check(machine, rows, rng, lambda s: s._replace(correct=0, incorrect=0))
+    _check(machine, rows, rng, lambda s: replace(s, correct=0, incorrect=0))
 
 
 @pytest.mark.parametrize("seed", range(300))
@@ -104,4 +105,5 @@ def test_too_many_pieces_leave_the_chunk_open():
 
 
 def test_initial_state():
-    assert INITIAL.curr_state == "s1" and INITIAL.state_seq == () and INITIAL.last_us is None
+    start = SessionState()
+    assert start.curr_state == "s1" and start.state_seq == () and start.last_us is None
