@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import ast
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from poselytics.functions.angles import angle, nan_to_null
+from poselytics.functions.angles import nan_to_null
 
 _COMPARE = {
     ast.Lt: lambda a, b: a < b,
@@ -31,10 +32,10 @@ def condition_angles(text: str) -> list[str]:
     return list(dict.fromkeys(names))
 
 
-def condition_column(text: str, angles: Column) -> Column:
+def condition_column(text: str, angle_of: Callable[[str], Column]) -> Column:
     """Compile a catalog condition such as ``a <= 110 and a > 70`` to a boolean column.
 
-    Only angle names, numbers, comparisons, ``and/or/not`` and ``+ - * /`` are
+    ``angle_of`` gives the column of an angle, NULL for NaN. Only angle names, numbers, comparisons, ``and/or/not`` and ``+ - * /`` are
     accepted, so catalog text can never run code. A comparison with a NaN or an
     absent angle is false.
     """
@@ -43,7 +44,7 @@ def condition_column(text: str, angles: Column) -> Column:
         if isinstance(node, ast.Constant) and type(node.value) in (int, float):
             return F.lit(float(node.value))
         if isinstance(node, ast.Name):
-            return angle(angles, node.id)
+            return angle_of(node.id)
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
             return -number(node.operand)
         if isinstance(node, ast.BinOp) and type(node.op) in _ARITHMETIC:

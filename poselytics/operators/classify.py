@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from poselytics.functions.angles import angle, angle_map, nan_to_null
 from poselytics.functions.rules import condition_column, up_to_first_critical, violated_rules
-from poselytics.sources.catalog import Catalog
+from poselytics.sources.catalog import Catalog, LevelRules
 
 # replay order inside a session: epoch ms, ties by frame id, then full precision
 ORDER = ["ts_ms", "frame_track_uuid", "ts_us"]
 
 COMPLETION_TOLERANCE_S = 0.1
 
+# rule sets compiled into the plan; more of them would outgrow generated code
+MAX_COMPILED_RULE_SETS = 16
+
 
 def order_key() -> Column:
     return F.struct(*ORDER)
@@ -47,23 +53,6 @@ def compact_frames(
     )
 
 
-def _state_column(catalog: Catalog, exercise: Column, level: Column, angles: Column) -> Column:
-    """First condition that holds, else NULL; exercises with equal rules share a branch."""
-    users: dict[tuple, list[str]] = defaultdict(list)
-    for r in catalog.rules:
-        users[r.states].append(f"{r.level}|{r.exercise}")
-    key = F.concat_ws("|", level.cast("string"), exercise)
-    result = None
-    for states, keys in users.items():
-        branch = None
-        for state_id, text in states:
-            condition = condition_column(text, angles)
-            branch = F.when(condition, F.lit(state_id)) if branch is None else branch.when(condition, F.lit(state_id))
-        test = key.isin(keys)
-        result = F.when(test, branch) if result is None else result.when(test, branch)
-    return F.lit(None).cast("string") if result is None else result
-
-
 def classify(
     compact: DataFrame,
     catalog: Catalog,
@@ -71,56 +60,191 @@ def classify(
     keep_rejects: bool = False,
     stop_at_critical: bool = True,
 ) -> DataFrame:
-    """Add ``bad_posture, state, feedback_ids, critical`` and the fold's rule columns.
+    """Add ``bad_posture, state, feedback_ids, critical``; one narrow pass, no shuffle.
 
     ``exercise`` names the column that picks the rules. Frames of an unknown
     exercise, or without an angle the rules must read, are dropped; with
-    ``keep_rejects`` they stay, marked by ``reject_reason``. One pass, no
-    shuffle: the rule table is broadcast and its size was checked on reading.
+    ``keep_rejects`` they stay, marked by ``reject_reason``.
+
+    A catalog with few different rule sets is compiled into the plan, so it runs
+    inside generated code. A large one is broadcast and its rules are evaluated
+    as arrays; its size was checked on reading.
     """
+    users: dict[tuple, list[LevelRules]] = defaultdict(list)
+    for r in catalog.rules:
+        users[r.states, r.thresholds, r.offset_angle, r.offset_thresh].append(r)
+    few = len(users) <= MAX_COMPILED_RULE_SETS
+    method = _compiled if few else _joined
+    result = method(compact, catalog, list(users.values()), F.col(exercise), stop_at_critical)
+    if keep_rejects:
+        return result
+    return result.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+
+
+def _uses(group: list[LevelRules], exercise: Column) -> Column:
+    """Whether a frame is judged by the group's rules."""
+    names: dict[int, list[str]] = defaultdict(list)
+    for r in group:
+        names[r.level].append(r.exercise)
+    tests = [(F.col("level") == level) & exercise.isin(found) for level, found in names.items()]
+    return reduce(or_, tests)
+
+
+def _pick(number: Column, branches: list[Column], default: Column) -> Column:
+    result = default
+    for i, branch in enumerate(branches):
+        result = F.when(number == i, branch) if i == 0 else result.when(number == i, branch)
+    return result.otherwise(default) if branches else default
+
+
+def _first_state(rules: LevelRules, angle_of: Callable[[str], Column]) -> Column:
+    """First condition that holds, else NULL."""
+    nothing = F.lit(None).cast("string")
+    conditions = [(condition_column(text, angle_of), state_id) for state_id, text in rules.states]
+    return F.coalesce(nothing, *[F.when(held, F.lit(state_id)) for held, state_id in conditions])
+
+
+def _violations(
+    rules: LevelRules, angle_of: Callable[[str], Column], stop_at_critical: bool
+) -> tuple[Column, Column]:
+    """Feedback ids of the broken rules in order, and whether one was critical."""
+    none = F.array().cast("array<string>")
+    ids, critical = [none], F.lit(False)
+    for name, low, high, feedback_id, is_critical in rules.thresholds:
+        value = angle_of(name)
+        broken = F.lit(False)
+        if low is not None:
+            broken = broken | F.coalesce(value < F.lit(low), F.lit(False))
+        if high is not None:
+            broken = broken | F.coalesce(value > F.lit(high), F.lit(False))
+        if stop_at_critical:
+            broken = broken & ~critical
+        ids.append(F.when(broken, F.array(F.lit(feedback_id))).otherwise(none))
+        if is_critical:
+            critical = critical | broken
+    return F.concat(*ids), critical
+
+
+def _compiled(
+    compact: DataFrame,
+    catalog: Catalog,
+    groups: list[list[LevelRules]],
+    exercise: Column,
+    stop_at_critical: bool,
+) -> DataFrame:
+    sets = [group[0] for group in groups]
+    names = list(
+        dict.fromkeys(
+            n
+            for r in sets
+            for n in (*([r.offset_angle] if r.offset_angle else []), *r.state_angles, *(t[0] for t in r.thresholds))
+        )
+    )
+    place = {name: i for i, name in enumerate(names)}
+    number = F.coalesce(
+        F.lit(None).cast("int"), *[F.when(_uses(g, exercise), F.lit(i)) for i, g in enumerate(groups)]
+    )
+
+    def angle_of(name: str) -> Column:
+        return F.col(f"_angle_{place[name]}")
+
+    def has(name: str) -> Column:
+        return F.col(f"_has_{place[name]}")
+
+    prepared = compact.select(
+        *compact.columns,
+        number.alias("_set"),
+        *[angle(F.col("angles"), n).alias(f"_angle_{i}") for n, i in place.items()],
+        *[
+            F.coalesce(F.map_contains_key("angles", n), F.lit(False)).alias(f"_has_{i}")
+            for n, i in place.items()
+        ],
+    )
+
+    def bad_posture(r: LevelRules) -> Column:
+        if r.offset_angle is None:
+            return F.lit(False)
+        return F.coalesce(F.abs(angle_of(r.offset_angle)) > F.lit(r.offset_thresh), F.lit(False))
+
+    def missing(r: LevelRules) -> Column:
+        no_offset = ~has(r.offset_angle) if r.offset_angle else F.lit(False)
+        unread = reduce(or_, [~has(n) for n in r.state_angles], F.lit(False))
+        return no_offset | (~F.col("bad_posture") & unread)
+
+    number, no = F.col("_set"), F.lit(False)
+    checked = F.col("_good") & ~F.col("state").eqNullSafe("s1")
+    pairs = [_violations(r, angle_of, stop_at_critical) for r in sets]
+    nothing = F.array().cast("array<string>")
+    return (
+        prepared.withColumn("bad_posture", _pick(number, [bad_posture(r) for r in sets], no))
+        .withColumn("reject_reason", _reject_reason(number.isNull(), _pick(number, [missing(r) for r in sets], no)))
+        .withColumn("_good", ~F.col("bad_posture") & F.col("reject_reason").isNull())
+        .withColumn(
+            "state",
+            F.when(F.col("_good"), _pick(number, [_first_state(r, angle_of) for r in sets], F.lit(None).cast("string"))),
+        )
+        .withColumn(
+            "feedback_ids",
+            F.when(checked, _pick(number, [ids for ids, _ in pairs], nothing)).otherwise(nothing),
+        )
+        .withColumn("critical", F.when(checked, _pick(number, [c for _, c in pairs], no)).otherwise(no))
+        .select(*compact.columns, *_RESULT)
+    )
+
+
+_RESULT = ["bad_posture", "state", "feedback_ids", "critical", "reject_reason"]
+
+
+def _reject_reason(unknown: Column, missing: Column) -> Column:
+    return F.when(unknown, F.lit("unknown_exercise")).when(missing, F.lit("missing_angle"))
+
+
+def _joined(
+    compact: DataFrame,
+    catalog: Catalog,
+    groups: list[list[LevelRules]],
+    exercise: Column,
+    stop_at_critical: bool,
+) -> DataFrame:
     rules = F.broadcast(
-        catalog.rule_table().withColumnsRenamed({"exercise": "rule_exercise", "level": "rule_level"})
+        catalog.rule_table().withColumnsRenamed({"exercise": "_exercise", "level": "_level"})
     )
     joined = compact.join(
-        rules,
-        (F.col(exercise) == F.col("rule_exercise")) & (F.col("level") == F.col("rule_level")),
-        "left",
+        rules, (exercise == F.col("_exercise")) & (F.col("level") == F.col("_level")), "left"
     )
     angles = F.col("angles")
-    offset = F.abs(angle(angles, F.col("offset_angle")))
-    bad = F.coalesce(offset > F.col("offset_thresh"), F.lit(False))
+
+    def angle_of(name: str) -> Column:
+        return angle(angles, name)
+
     named = F.coalesce(F.map_keys("angles"), F.array().cast("array<string>"))
+    bad = F.abs(angle_of(F.col("offset_angle"))) > F.col("offset_thresh")
     missing = (
         F.col("offset_angle").isNotNull() & ~F.array_contains(named, F.col("offset_angle"))
     ) | (~F.col("bad_posture") & F.exists("state_angles", lambda n: ~F.array_contains(named, n)))
-    reason = F.when(F.col("rule_exercise").isNull(), F.lit("unknown_exercise")).when(
-        missing, F.lit("missing_angle")
+    # exercises often share their states: one branch per different list of conditions
+    by_states: dict[tuple, list[LevelRules]] = defaultdict(list)
+    for r in catalog.rules:
+        by_states[r.states].append(r)
+    state = F.coalesce(
+        F.lit(None).cast("string"),
+        *[F.when(_uses(g, exercise), _first_state(g[0], angle_of)) for g in by_states.values()],
     )
-    classified = joined.withColumn("bad_posture", bad).withColumn("reject_reason", reason)
-    if not keep_rejects:
-        classified = classified.filter(F.col("reject_reason").isNull())
-    good = ~F.col("bad_posture") & F.col("reject_reason").isNull()
-    state = _state_column(catalog, F.col(exercise), F.col("level"), angles)
-    checked = good & ~F.col("state").eqNullSafe("s1")
     violated = violated_rules(F.col("rules"), angles)
     if stop_at_critical:
         violated = up_to_first_critical(violated)
-    result = (
-        classified.withColumn("state", F.when(good, state))
-        .withColumn("violated", F.when(checked, violated))
-        .withColumn(
-            "feedback_ids",
-            F.coalesce(
-                F.transform("violated", lambda r: r["feedback"]), F.array().cast("array<string>")
-            ),
-        )
-        .withColumn(
-            "critical",
-            F.coalesce(F.exists("violated", lambda r: r["critical"]), F.lit(False)),
-        )
+    checked = F.col("_good") & ~F.col("state").eqNullSafe("s1")
+    nothing = F.array().cast("array<string>")
+    return (
+        joined.withColumn("bad_posture", F.coalesce(bad, F.lit(False)))
+        .withColumn("reject_reason", _reject_reason(F.col("_exercise").isNull(), missing))
+        .withColumn("_good", ~F.col("bad_posture") & F.col("reject_reason").isNull())
+        .withColumn("state", F.when(F.col("_good"), state))
+        .withColumn("_violated", F.when(checked, violated))
+        .withColumn("feedback_ids", F.coalesce(F.transform("_violated", lambda r: r["feedback"]), nothing))
+        .withColumn("critical", F.coalesce(F.exists("_violated", lambda r: r["critical"]), F.lit(False)))
+        .select(*compact.columns, *_RESULT)
     )
-    drop = ["rules", "violated", "rule_exercise", "rule_level", "state_angles", "offset_angle", "offset_thresh"]
-    return result.drop(*drop) if keep_rejects else result.drop("reject_reason", *drop)
 
 
 def frame_angles(compact: DataFrame) -> DataFrame:

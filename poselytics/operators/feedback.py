@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from poselytics.operators.classify import ORDER
 from poselytics.operators.session_fold import KEYS, WINDOW_S
 
 MIN_FRAME_RATIO = 0.6
 MAIN_ISSUE_RATIO = 0.7
 OCCASIONAL_ISSUE_RATIO = 0.3
 
-FEEDBACK_TYPE = "array<struct<id:string,count:bigint,frame_ratio:double>>"
+# feedback ids of one frame: places within a frame fit below this
+MAX_FRAME_IDS = 1 << 20
 
 
 def frame_feedback(trace: DataFrame) -> DataFrame:
@@ -46,9 +46,12 @@ def window_counts(trace: DataFrame) -> DataFrame:
         F.col("window_us").isNotNull(), counted
     )
     return (
-        trace.select(*KEYS, *ORDER, F.explode(entries).alias("e"))
+        trace.select(*KEYS, "frame_no", F.explode(entries).alias("e"))
         .groupBy(*KEYS, "e.window_us", "e.feedback_id")
-        .agg(F.count("*").alias("count"), F.min(F.struct(*ORDER, "e.seq")).alias("first_seen"))
+        .agg(
+            F.count("*").alias("count"),
+            F.min(F.col("frame_no") * F.lit(MAX_FRAME_IDS) + F.col("e.seq")).alias("first_seen"),
+        )
     )
 
 
@@ -160,38 +163,37 @@ def exercise_summary(states: DataFrame, windows: DataFrame) -> DataFrame:
     without windows keep their counts, with empty lists and no duration.
     """
     per_session = windows.groupBy(*KEYS).agg(
-        F.array_sort(F.collect_list(F.struct("start_us", "end_us", "feedback"))).alias("windows"),
-        F.count("*").alias("total_windows"),
-        (F.max("end_us") - F.min("start_us")).alias("duration_us"),
-    )
-    issues = (
-        feedback_summary(windows)
-        .groupBy(*KEYS)
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        "first_seen",
-                        F.struct(
-                            F.col("feedback_id").alias("id"),
-                            "windows_count",
-                            "total_occurrences",
-                            "window_ratio",
-                        ).alias("issue"),
-                    )
-                )
-            ).alias("issues")
-        )
-        .withColumn("issues", F.col("issues.issue"))
+        F.array_sort(F.collect_list(F.struct("start_us", "end_us", "feedback"))).alias("windows")
     )
-    issue_type = issues.schema["issues"].dataType
-    window_type = per_session.schema["windows"].dataType
+    empty = F.array().cast(per_session.schema["windows"].dataType)
+    total = F.size("windows").cast("bigint")
+    span = F.element_at("windows", -1)["end_us"] - F.element_at("windows", 1)["start_us"]
     return (
         states.join(per_session, KEYS, "left")
-        .join(issues, KEYS, "left")
-        .withColumn("windows", F.coalesce("windows", F.array().cast(window_type)))
-        .withColumn("total_windows", F.coalesce("total_windows", F.lit(0).cast("bigint")))
-        .withColumn("feedback_summary", F.coalesce("issues", F.array().cast(issue_type)))
-        .withColumn("exercise_duration", F.col("duration_us") / F.lit(1e6))
-        .drop("issues", "duration_us")
+        .withColumn("windows", F.coalesce("windows", empty))
+        .withColumn("total_windows", total)
+        .withColumn("feedback_summary", _issues(F.col("windows"), total))
+        .withColumn("exercise_duration", F.when(total > 0, span / F.lit(1e6)))
     )
+
+
+def _issues(windows: Column, total: Column) -> Column:
+    """:func:`feedback_summary` of one session's ordered windows, ids in order of appearance."""
+    found = F.flatten(F.transform(windows, lambda w: w["feedback"]))
+
+    def issue(found: Column, id_: Column) -> Column:
+        mine = F.filter(found, lambda f: f["id"] == id_)
+        count = F.size(mine).cast("bigint")
+        return F.struct(
+            id_.alias("id"),
+            count.alias("windows_count"),
+            F.aggregate(mine, F.lit(0).cast("bigint"), lambda n, f: n + f["count"]).alias("total_occurrences"),
+            (count / total).alias("window_ratio"),
+        )
+
+    def issues(found: Column) -> Column:
+        ids = F.array_distinct(F.transform(found, lambda f: f["id"]))
+        return F.transform(ids, lambda id_: issue(found, id_))
+
+    # the list is bound as a lambda variable, so it is built once
+    return F.transform(F.array(found), issues)[0]

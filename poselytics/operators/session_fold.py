@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poselytics.operators.classify import classify, order_key
+from poselytics.operators.classify import classify
 from poselytics.operators.ordered_scan import Chunked, ordered_scan
 from poselytics.operators.reset_map import ResetMap, reset_map
 from poselytics.sources.catalog import Catalog
@@ -37,6 +37,7 @@ class SessionState:
     last_us: int | None = None
     window_us: int | None = None  # start of the active feedback window
     resets: int = 0
+    frames: int = 0
 
     def step(
         self,
@@ -56,6 +57,7 @@ class SessionState:
         """
         elapsed = 0 if self.last_us is None else ts - self.last_us
         self.last_us = ts
+        self.frames += 1
         if bad_posture:
             self.incorrect_posture = True
             self.inactive_front_us += elapsed
@@ -118,6 +120,7 @@ class _RepWalk(NamedTuple):
 
 
 class _Transfer(NamedTuple):
+    frames: int
     success: tuple[str, ...]
     limit: int
     first_us: int
@@ -155,6 +158,7 @@ class SessionFoldMachine:
 
     inputs = ["ts_us", "bad_posture", "state", "critical", "session_exercise", "session_level"]
     outputs = [
+        ("frame_no", pa.int64()),
         ("rep", pa.string()),
         ("reset_no", pa.int32()),
         ("is_reset", pa.bool_()),
@@ -177,10 +181,13 @@ class SessionFoldMachine:
             for ts, b, s, c in zip(times, bad, states, critical):
                 step(ts, b, s, c, success, limit, window)
             return state
-        reps, numbers, resets, windows, closing, after = (out[name].append for name, _ in self.outputs)
+        frames, reps, numbers, resets, windows, closing, after = (
+            out[name].append for name, _ in self.outputs
+        )
         for ts, b, s, c in zip(times, bad, states, critical):
             numbers(state.resets)
             rep, reset, closed = step(ts, b, s, c, success, limit, window)
+            frames(state.frames)
             reps(rep)
             resets(reset)
             windows(None if b else state.window_us)
@@ -218,6 +225,7 @@ class SessionFoldMachine:
                     timer, resets = 0, resets + 1
             tail = (timer, resets)
         return _Transfer(
+            len(times),
             success,
             limit,
             int(times[0]),
@@ -277,6 +285,7 @@ class SessionFoldMachine:
             t.last_us,
             window,
             resets,
+            s.frames + t.frames,
         )
 
 
@@ -330,9 +339,7 @@ def session_trace(tracked: Chunked, catalog: Catalog, window_s: float = WINDOW_S
     survive it and nothing is shuffled again.
     """
     frames = tracked.df.withColumn("level", F.col("session_level"))
-    classified = classify(frames, catalog, exercise="session_exercise").drop(
-        "angles", "success_sequence", "inactive_us"
-    )
+    classified = classify(frames, catalog, exercise="session_exercise").drop("angles")
     machine = SessionFoldMachine(fold_rules(catalog), window_s)
     return ordered_scan(Chunked(classified, tracked.n_chunks), KEYS, machine).df
 
@@ -366,7 +373,9 @@ def session_states(trace: DataFrame) -> DataFrame:
     ended = F.col("state_after").isNotNull()
     latest = F.struct("state_epoch", (F.col("reset_no") + F.col("is_reset").cast("int")).alias("reset_no"))
     end = F.struct(
-        order_key().alias("at"),
+        "state_epoch",
+        "frame_no",
+        F.col("ts_us").alias("last_us"),
         "state_after",
         F.col("exercise").alias("last_exercise"),
         F.col("completed_us").isNotNull().alias("is_completing"),
@@ -397,6 +406,6 @@ def session_states(trace: DataFrame) -> DataFrame:
         F.when(live, F.col("counts.incorrect")).otherwise(F.lit(0)).alias("incorrect"),
         "end.state_after.*",
         "end.last_exercise",
-        F.col("end.at.ts_us").alias("last_us"),
+        "end.last_us",
         "end.is_completing",
     )

@@ -20,6 +20,11 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # the JVM never compiles methods over 8000 bytes of bytecode; long rule
+    # expressions run several times faster split up than in one such method
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    # keep all cores busy on small inputs too; large ones are sized by the advisory size
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256KB")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     _ship_package(spark)
     return spark

@@ -45,11 +45,9 @@ _RULE_ROW = pa.schema(
                 }
             )
         ),
-        "success_sequence": pa.list_(pa.string()),
         "state_angles": pa.list_(pa.string()),
         "offset_angle": pa.string(),
         "offset_thresh": pa.float64(),
-        "inactive_us": pa.int64(),
     }
 )
 
@@ -187,11 +185,9 @@ class Catalog:
                 "exercise": r.exercise,
                 "level": r.level,
                 "rules": [dict(zip(("angle", "min", "max", "feedback", "critical"), t)) for t in r.thresholds],
-                "success_sequence": list(r.success_sequence),
                 "state_angles": r.state_angles,
                 "offset_angle": r.offset_angle,
                 "offset_thresh": r.offset_thresh,
-                "inactive_us": r.inactive_us,
             }
             for r in self.rules
         ]
