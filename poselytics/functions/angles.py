@@ -16,7 +16,3 @@ def angle_map(angles: Column) -> Column:
 def nan_to_null(value: Column) -> Column:
     """Spark orders NaN above every number; as NULL it fails every comparison instead."""
     return F.nanvl(value, F.lit(None).cast("double"))
-
-
-def angle(angles: Column, name: str | Column) -> Column:
-    return nan_to_null(angles[name])

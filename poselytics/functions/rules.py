@@ -10,20 +10,17 @@ from pyspark.sql import functions as F
 
 from poselytics.functions.angles import nan_to_null
 
-_COMPARE = {
-    ast.Lt: lambda a, b: a < b,
-    ast.LtE: lambda a, b: a <= b,
-    ast.Gt: lambda a, b: a > b,
-    ast.GtE: lambda a, b: a >= b,
-    ast.Eq: lambda a, b: a == b,
-}
-
-_ARITHMETIC = {
-    ast.Add: lambda a, b: a + b,
-    ast.Sub: lambda a, b: a - b,
-    ast.Mult: lambda a, b: a * b,
-    ast.Div: F.try_divide,
-}
+_COMPARE = {ast.Lt: "<", ast.LtE: "<=", ast.Gt: ">", ast.GtE: ">=", ast.Eq: "="}
+
+_ARITHMETIC = {ast.Add: "{0} + {1}", ast.Sub: "{0} - {1}", ast.Mult: "{0} * {1}", ast.Div: "try_divide({0}, {1})"}
+
+
+def sql_string(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_double(value: float) -> str:
+    return f"double('{float(value)!r}')"
 
 
 def condition_angles(text: str) -> list[str]:
@@ -32,47 +29,43 @@ def condition_angles(text: str) -> list[str]:
     return list(dict.fromkeys(names))
 
 
-def condition_column(text: str, angle_of: Callable[[str], Column]) -> Column:
-    """Compile a catalog condition such as ``a <= 110 and a > 70`` to a boolean column.
+def condition_sql(text: str, angle_of: Callable[[str], str]) -> str:
+    """Compile a catalog condition such as ``a <= 110 and a > 70`` to a boolean SQL expression.
 
-    ``angle_of`` gives the column of an angle, NULL for NaN. Only angle names, numbers, comparisons, ``and/or/not`` and ``+ - * /`` are
-    accepted, so catalog text can never run code. A comparison with a NaN or an
-    absent angle is false.
+    ``angle_of`` gives the expression of an angle, NULL for NaN. Only angle names,
+    numbers, comparisons, ``and/or/not`` and ``+ - * /`` are accepted, so catalog
+    text can never run code. A comparison with a NaN or an absent angle is false.
     """
 
-    def number(node: ast.expr) -> Column:
+    def number(node: ast.expr) -> str:
         if isinstance(node, ast.Constant) and type(node.value) in (int, float):
-            return F.lit(float(node.value))
+            return sql_double(node.value)
         if isinstance(node, ast.Name):
             return angle_of(node.id)
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
-            return -number(node.operand)
+            return f"(-{number(node.operand)})"
         if isinstance(node, ast.BinOp) and type(node.op) in _ARITHMETIC:
-            return nan_to_null(_ARITHMETIC[type(node.op)](number(node.left), number(node.right)))
+            value = _ARITHMETIC[type(node.op)].format(number(node.left), number(node.right))
+            return f"nanvl({value}, NULL)"
         raise ValueError(f"unsupported value in condition: {text!r}")
 
-    def compare(op: ast.cmpop, left: Column, right: Column) -> Column:
+    def compare(op: ast.cmpop, left: str, right: str) -> str:
         if isinstance(op, ast.NotEq):
-            return F.coalesce(left != right, F.lit(True))
+            return f"coalesce({left} != {right}, true)"
         if type(op) not in _COMPARE:
             raise ValueError(f"unsupported comparison in condition: {text!r}")
-        return F.coalesce(_COMPARE[type(op)](left, right), F.lit(False))
+        return f"coalesce({left} {_COMPARE[type(op)]} {right}, false)"
 
-    def boolean(node: ast.expr) -> Column:
+    def boolean(node: ast.expr) -> str:
         if isinstance(node, ast.BoolOp):
-            result = boolean(node.values[0])
-            for value in node.values[1:]:
-                other = boolean(value)
-                result = result & other if isinstance(node.op, ast.And) else result | other
-            return result
+            word = " AND " if isinstance(node.op, ast.And) else " OR "
+            return "(" + word.join(boolean(v) for v in node.values) + ")"
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
-            return ~boolean(node.operand)
+            return f"(NOT {boolean(node.operand)})"
         if isinstance(node, ast.Compare):
             operands = [number(n) for n in (node.left, *node.comparators)]
-            result = F.lit(True)
-            for op, left, right in zip(node.ops, operands, operands[1:]):
-                result = result & compare(op, left, right)
-            return result
+            parts = [compare(op, a, b) for op, a, b in zip(node.ops, operands, operands[1:])]
+            return "(" + " AND ".join(parts) + ")"
         raise ValueError(f"unsupported condition: {text!r}")
 
     return boolean(ast.parse(text, mode="eval").body)

@@ -48,7 +48,7 @@ def retention(
 
     Needs ``session_uuid, ts_ms, arrival_seq``.
     """
-    latest_first = chunk_rows(arrivals, ["session_uuid", F.desc("arrival_seq")], n_chunks)
+    latest_first = chunk_rows(arrivals, "session_uuid", [F.desc("arrival_seq")], n_chunks)
     machine = RetentionMachine(round(retention_s * 1000))
     return ordered_scan(latest_first, ["session_uuid"], machine).df.drop("chunk")
 

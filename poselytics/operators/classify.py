@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from poselytics.functions.angles import angle, angle_map, nan_to_null
-from poselytics.functions.rules import condition_column, up_to_first_critical, violated_rules
+from poselytics.functions.angles import angle_map, nan_to_null
+from poselytics.functions.rules import (
+    condition_sql,
+    sql_double,
+    sql_string,
+    up_to_first_critical,
+    violated_rules,
+)
 from poselytics.sources.catalog import Catalog, LevelRules
 
 # replay order inside a session: epoch ms, ties by frame id, then full precision
@@ -75,175 +79,165 @@ def classify(
         users[r.states, r.thresholds, r.offset_angle, r.offset_thresh].append(r)
     few = len(users) <= MAX_COMPILED_RULE_SETS
     method = _compiled if few else _joined
-    result = method(compact, catalog, list(users.values()), F.col(exercise), stop_at_critical)
+    result = method(compact, catalog, list(users.values()), exercise, stop_at_critical)
     if keep_rejects:
         return result
     return result.filter(F.col("reject_reason").isNull()).drop("reject_reason")
 
 
-def _uses(group: list[LevelRules], exercise: Column) -> Column:
+def _uses(group: list[LevelRules], exercise: str) -> str:
     """Whether a frame is judged by the group's rules."""
     names: dict[int, list[str]] = defaultdict(list)
     for r in group:
-        names[r.level].append(r.exercise)
-    tests = [(F.col("level") == level) & exercise.isin(found) for level, found in names.items()]
-    return reduce(or_, tests)
+        names[r.level].append(sql_string(r.exercise))
+    return " OR ".join(
+        f"(level = {level} AND {exercise} IN ({', '.join(found)}))" for level, found in names.items()
+    )
 
 
-def _pick(number: Column, branches: list[Column], default: Column) -> Column:
-    result = default
-    for i, branch in enumerate(branches):
-        result = F.when(number == i, branch) if i == 0 else result.when(number == i, branch)
-    return result.otherwise(default) if branches else default
+def _case(branches: list[tuple[str, str]], default: str) -> str:
+    whens = " ".join(f"WHEN {test} THEN {value}" for test, value in branches)
+    return f"CASE {whens} ELSE {default} END" if branches else default
 
 
-def _first_state(rules: LevelRules, angle_of: Callable[[str], Column]) -> Column:
+def _first_state(rules: LevelRules, angle_of: Callable[[str], str]) -> str:
     """First condition that holds, else NULL."""
-    nothing = F.lit(None).cast("string")
-    conditions = [(condition_column(text, angle_of), state_id) for state_id, text in rules.states]
-    return F.coalesce(nothing, *[F.when(held, F.lit(state_id)) for held, state_id in conditions])
+    held = [(condition_sql(text, angle_of), sql_string(state)) for state, text in rules.states]
+    return _case(held, "CAST(NULL AS STRING)")
 
 
 def _violations(
-    rules: LevelRules, angle_of: Callable[[str], Column], stop_at_critical: bool
-) -> tuple[Column, Column]:
+    rules: LevelRules, angle_of: Callable[[str], str], stop_at_critical: bool
+) -> tuple[str, str]:
     """Feedback ids of the broken rules in order, and whether one was critical."""
-    none = F.array().cast("array<string>")
-    ids, critical = [none], F.lit(False)
+    ids, critical = [_NO_IDS], []
     for name, low, high, feedback_id, is_critical in rules.thresholds:
         value = angle_of(name)
-        broken = F.lit(False)
-        if low is not None:
-            broken = broken | F.coalesce(value < F.lit(low), F.lit(False))
-        if high is not None:
-            broken = broken | F.coalesce(value > F.lit(high), F.lit(False))
-        if stop_at_critical:
-            broken = broken & ~critical
-        ids.append(F.when(broken, F.array(F.lit(feedback_id))).otherwise(none))
+        bounds = [f"{value} {sign} {sql_double(b)}" for sign, b in (("<", low), (">", high)) if b is not None]
+        broken = " OR ".join(f"coalesce({b}, false)" for b in bounds) or "false"
+        if stop_at_critical and critical:
+            broken = f"({broken}) AND NOT ({' OR '.join(critical)})"
+        ids.append(_case([(broken, f"array({sql_string(feedback_id)})")], _NO_IDS))
         if is_critical:
-            critical = critical | broken
-    return F.concat(*ids), critical
+            critical.append(f"({broken})")
+    return f"concat({', '.join(ids)})", " OR ".join(critical) or "false"
+
+
+_NO_IDS = "CAST(array() AS ARRAY<STRING>)"
 
 
 def _compiled(
     compact: DataFrame,
     catalog: Catalog,
     groups: list[list[LevelRules]],
-    exercise: Column,
+    exercise: str,
     stop_at_critical: bool,
 ) -> DataFrame:
     sets = [group[0] for group in groups]
-    names = list(
-        dict.fromkeys(
-            n
-            for r in sets
-            for n in (*([r.offset_angle] if r.offset_angle else []), *r.state_angles, *(t[0] for t in r.thresholds))
-        )
-    )
-    place = {name: i for i, name in enumerate(names)}
-    number = F.coalesce(
-        F.lit(None).cast("int"), *[F.when(_uses(g, exercise), F.lit(i)) for i, g in enumerate(groups)]
-    )
+    names: list[str] = []
+    for r in sets:
+        names += [*([r.offset_angle] if r.offset_angle else []), *r.state_angles, *(t[0] for t in r.thresholds)]
+    place = {name: i for i, name in enumerate(dict.fromkeys(names))}
 
-    def angle_of(name: str) -> Column:
-        return F.col(f"_angle_{place[name]}")
+    def angle_of(name: str) -> str:
+        return f"_angle_{place[name]}"
 
-    def has(name: str) -> Column:
-        return F.col(f"_has_{place[name]}")
+    def per_set(value: Callable[[LevelRules], str], default: str) -> str:
+        return _case([(f"_set = {i}", value(r)) for i, r in enumerate(sets)], default)
 
-    prepared = compact.select(
-        *compact.columns,
-        number.alias("_set"),
-        *[angle(F.col("angles"), n).alias(f"_angle_{i}") for n, i in place.items()],
-        *[
-            F.coalesce(F.map_contains_key("angles", n), F.lit(False)).alias(f"_has_{i}")
-            for n, i in place.items()
-        ],
-    )
-
-    def bad_posture(r: LevelRules) -> Column:
+    def bad_posture(r: LevelRules) -> str:
         if r.offset_angle is None:
-            return F.lit(False)
-        return F.coalesce(F.abs(angle_of(r.offset_angle)) > F.lit(r.offset_thresh), F.lit(False))
-
-    def missing(r: LevelRules) -> Column:
-        no_offset = ~has(r.offset_angle) if r.offset_angle else F.lit(False)
-        unread = reduce(or_, [~has(n) for n in r.state_angles], F.lit(False))
-        return no_offset | (~F.col("bad_posture") & unread)
-
-    number, no = F.col("_set"), F.lit(False)
-    checked = F.col("_good") & ~F.col("state").eqNullSafe("s1")
-    pairs = [_violations(r, angle_of, stop_at_critical) for r in sets]
-    nothing = F.array().cast("array<string>")
+            return "false"
+        return f"coalesce(abs({angle_of(r.offset_angle)}) > {sql_double(r.offset_thresh)}, false)"
+
+    def missing(r: LevelRules) -> str:
+        no_offset = f"NOT _has_{place[r.offset_angle]}" if r.offset_angle else "false"
+        unread = " OR ".join(f"NOT _has_{place[n]}" for n in r.state_angles) or "false"
+        return f"{no_offset} OR (NOT bad_posture AND ({unread}))"
+
+    which = _case([(_uses(g, exercise), str(i)) for i, g in enumerate(groups)], "CAST(NULL AS INT)")
+    pairs = {r: _violations(r, angle_of, stop_at_critical) for r in sets}
+    checked = "_good AND NOT (state <=> 's1')"
     return (
-        prepared.withColumn("bad_posture", _pick(number, [bad_posture(r) for r in sets], no))
-        .withColumn("reject_reason", _reject_reason(number.isNull(), _pick(number, [missing(r) for r in sets], no)))
-        .withColumn("_good", ~F.col("bad_posture") & F.col("reject_reason").isNull())
-        .withColumn(
-            "state",
-            F.when(F.col("_good"), _pick(number, [_first_state(r, angle_of) for r in sets], F.lit(None).cast("string"))),
+        compact.selectExpr(
+            "*",
+            f"{which} AS _set",
+            *[f"nanvl(angles[{sql_string(n)}], NULL) AS _angle_{i}" for n, i in place.items()],
+            *[
+                f"coalesce(map_contains_key(angles, {sql_string(n)}), false) AS _has_{i}"
+                for n, i in place.items()
+            ],
         )
-        .withColumn(
-            "feedback_ids",
-            F.when(checked, _pick(number, [ids for ids, _ in pairs], nothing)).otherwise(nothing),
+        .selectExpr("*", f"{per_set(bad_posture, 'false')} AS bad_posture")
+        .selectExpr("*", f"{_reject_reason('_set IS NULL', per_set(missing, 'false'))} AS reject_reason")
+        .selectExpr("*", "NOT bad_posture AND reject_reason IS NULL AS _good")
+        .selectExpr(
+            "*",
+            _case([("_good", per_set(lambda r: _first_state(r, angle_of), "NULL"))], "CAST(NULL AS STRING)") + " AS state",
+        )
+        .selectExpr(
+            *[f"`{c}`" for c in compact.columns],
+            "bad_posture",
+            "state",
+            _case([(checked, per_set(lambda r: pairs[r][0], _NO_IDS))], _NO_IDS) + " AS feedback_ids",
+            _case([(checked, per_set(lambda r: pairs[r][1], "false"))], "false") + " AS critical",
+            "reject_reason",
         )
-        .withColumn("critical", F.when(checked, _pick(number, [c for _, c in pairs], no)).otherwise(no))
-        .select(*compact.columns, *_RESULT)
     )
 
 
-_RESULT = ["bad_posture", "state", "feedback_ids", "critical", "reject_reason"]
-
-
-def _reject_reason(unknown: Column, missing: Column) -> Column:
-    return F.when(unknown, F.lit("unknown_exercise")).when(missing, F.lit("missing_angle"))
+def _reject_reason(unknown: str, missing: str) -> str:
+    return _case([(unknown, "'unknown_exercise'"), (missing, "'missing_angle'")], "CAST(NULL AS STRING)")
 
 
 def _joined(
     compact: DataFrame,
     catalog: Catalog,
     groups: list[list[LevelRules]],
-    exercise: Column,
+    exercise: str,
     stop_at_critical: bool,
 ) -> DataFrame:
     rules = F.broadcast(
         catalog.rule_table().withColumnsRenamed({"exercise": "_exercise", "level": "_level"})
     )
     joined = compact.join(
-        rules, (exercise == F.col("_exercise")) & (F.col("level") == F.col("_level")), "left"
+        rules, (F.col(exercise) == F.col("_exercise")) & (F.col("level") == F.col("_level")), "left"
     )
-    angles = F.col("angles")
-
-    def angle_of(name: str) -> Column:
-        return angle(angles, name)
-
-    named = F.coalesce(F.map_keys("angles"), F.array().cast("array<string>"))
-    bad = F.abs(angle_of(F.col("offset_angle"))) > F.col("offset_thresh")
+    named = "coalesce(map_keys(angles), CAST(array() AS ARRAY<STRING>))"
     missing = (
-        F.col("offset_angle").isNotNull() & ~F.array_contains(named, F.col("offset_angle"))
-    ) | (~F.col("bad_posture") & F.exists("state_angles", lambda n: ~F.array_contains(named, n)))
+        f"(offset_angle IS NOT NULL AND NOT array_contains({named}, offset_angle)) "
+        f"OR (NOT bad_posture AND exists(state_angles, n -> NOT array_contains({named}, n)))"
+    )
     # exercises often share their states: one branch per different list of conditions
     by_states: dict[tuple, list[LevelRules]] = defaultdict(list)
     for r in catalog.rules:
         by_states[r.states].append(r)
-    state = F.coalesce(
-        F.lit(None).cast("string"),
-        *[F.when(_uses(g, exercise), _first_state(g[0], angle_of)) for g in by_states.values()],
+    state = _case(
+        [
+            (f"_good AND ({_uses(g, exercise)})", _first_state(g[0], lambda n: f"nanvl(angles[{sql_string(n)}], NULL)"))
+            for g in by_states.values()
+        ],
+        "CAST(NULL AS STRING)",
     )
-    violated = violated_rules(F.col("rules"), angles)
+    violated = violated_rules(F.col("rules"), F.col("angles"))
     if stop_at_critical:
         violated = up_to_first_critical(violated)
-    checked = F.col("_good") & ~F.col("state").eqNullSafe("s1")
-    nothing = F.array().cast("array<string>")
     return (
-        joined.withColumn("bad_posture", F.coalesce(bad, F.lit(False)))
-        .withColumn("reject_reason", _reject_reason(F.col("_exercise").isNull(), missing))
-        .withColumn("_good", ~F.col("bad_posture") & F.col("reject_reason").isNull())
-        .withColumn("state", F.when(F.col("_good"), state))
-        .withColumn("_violated", F.when(checked, violated))
-        .withColumn("feedback_ids", F.coalesce(F.transform("_violated", lambda r: r["feedback"]), nothing))
-        .withColumn("critical", F.coalesce(F.exists("_violated", lambda r: r["critical"]), F.lit(False)))
-        .select(*compact.columns, *_RESULT)
+        joined.selectExpr(
+            "*", "coalesce(abs(nanvl(angles[offset_angle], NULL)) > offset_thresh, false) AS bad_posture"
+        )
+        .selectExpr("*", f"{_reject_reason('_exercise IS NULL', missing)} AS reject_reason")
+        .selectExpr("*", "NOT bad_posture AND reject_reason IS NULL AS _good")
+        .selectExpr("*", f"{state} AS state")
+        .withColumn("_violated", F.when(F.expr("_good AND NOT (state <=> 's1')"), violated))
+        .selectExpr(
+            *[f"`{c}`" for c in compact.columns],
+            "bad_posture",
+            "state",
+            f"coalesce(transform(_violated, r -> r.feedback), {_NO_IDS}) AS feedback_ids",
+            "coalesce(exists(_violated, r -> r.critical), false) AS critical",
+            "reject_reason",
+        )
     )
 
 

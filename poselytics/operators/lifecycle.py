@@ -192,7 +192,7 @@ class LifecycleMachine:
 
 def order_frames(compact: DataFrame, n_chunks: int | None = None) -> Chunked:
     """Frames in replay order, a session spread over as many chunks as it fills."""
-    return chunk_rows(compact, ["session_uuid", *ORDER], n_chunks)
+    return chunk_rows(compact, "session_uuid", ORDER, n_chunks)
 
 
 def with_lifecycle(ordered: Chunked, **options: float | None) -> Chunked:

@@ -6,9 +6,10 @@ partitioned on ``(key, order)``: a large session is spread over many partitions
 and every partition (a *chunk*) is an equal, sorted slice. A scan then takes
 three steps:
 
-1. each chunk describes its first key as a *transfer*: what leaves the chunk as
-   a function of what enters it. The last key of a chunk, if it began inside
-   it, has a known exit. Keys in between need nothing.
+1. only keys that lie in several chunks matter here, so at most the first and the
+   last key of a chunk. The first is described as a *transfer*: what leaves the
+   chunk as a function of what enters it. The last, begun inside the chunk, has
+   a known exit.
 2. the (at most two) descriptions per chunk are chained per key, which gives the
    state entering each chunk. That is one small record per chunk, not per key.
 3. each chunk replays its rows from the right entry state.
@@ -20,8 +21,8 @@ replayed with its actual entry state, round by round, so results stay exact.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, replace
 from typing import Any, Protocol
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from poselytics.session import materialise
 
@@ -54,27 +55,69 @@ class Machine(Protocol):
         """Exit state for an entry state, or None if the transfer cannot tell."""
 
 
+Step = Callable[[DataFrame], DataFrame]
+
+
 @dataclass(frozen=True)
 class Chunked:
-    """Rows sorted within range partitions; ``chunk`` names the partition."""
+    """Rows sorted within range partitions (``chunk`` names the partition), and narrow steps on them."""
 
-    df: DataFrame
+    source: DataFrame
+    key: str
     n_chunks: int
-
-
-def chunk_rows(df: DataFrame, order: list, n_chunks: int | None = None) -> Chunked:
-    """Range partition and sort by ``order``, written once to the shared folder.
+    # (chunk, key) where a key is spread over several chunks: at most two per chunk
+    spread: list[tuple[int, str]]
+    steps: tuple[Step, ...] = ()
+
+    def then(self, step: Step) -> Chunked:
+        """Add a step that keeps rows in their chunk and order."""
+        return replace(self, steps=(*self.steps, step))
+
+    @property
+    def df(self) -> DataFrame:
+        return self._after_steps(self.source)
+
+    def spread_rows(self) -> DataFrame:
+        """Rows of the keys that lie in several chunks, filtered before any step runs."""
+        table = pa.table(
+            {
+                "_chunk": pa.array([c for c, _ in self.spread], pa.int32()),
+                "_key": pa.array([k for _, k in self.spread], pa.string()),
+            }
+        )
+        places = F.broadcast(self.source.sparkSession.createDataFrame(table))
+        same = (F.col(CHUNK) == F.col("_chunk")) & (F.col(self.key) == F.col("_key"))
+        return self._after_steps(self.source.join(places, same, "left_semi"))
+
+    def _after_steps(self, df: DataFrame) -> DataFrame:
+        for step in self.steps:
+            df = step(df)
+        return df
+
+
+def chunk_rows(df: DataFrame, key: str, order: list, n_chunks: int | None = None) -> Chunked:
+    """Range partition and sort by ``key`` and ``order``, written once to the shared folder.
 
     The range bounds come from a sample, so the chunks must not be computed
     twice: writing them fixes the bounds for all later passes and retries.
     Without ``n_chunks`` the number follows ``spark.sql.shuffle.partitions``,
     and adaptive execution merges small ones.
     """
-    spread = df.repartitionByRange(n_chunks, *order) if n_chunks else df.repartitionByRange(*order)
+    columns = [key, *order]
+    ranged = df.repartitionByRange(n_chunks, *columns) if n_chunks else df.repartitionByRange(*columns)
     chunks = materialise(
-        spread.sortWithinPartitions(*order).withColumn(CHUNK, F.spark_partition_id())
+        ranged.sortWithinPartitions(*columns).withColumn(CHUNK, F.spark_partition_id())
     )
-    return Chunked(chunks, chunks.rdd.getNumPartitions())
+    count = chunks.rdd.getNumPartitions()
+    places: dict[str, list[int]] = {}
+    if count > 1:
+        # one row per chunk, like the range bounds Spark itself keeps on the driver
+        ends = chunks.groupBy(CHUNK).agg(F.min(key).alias("low"), F.max(key).alias("high"))
+        for row in ends.collect():
+            for value in {row.low, row.high}:
+                places.setdefault(value, []).append(row.chunk)
+    spread = [(c, value) for value, found in places.items() if len(found) > 1 for c in found]
+    return Chunked(chunks, key, count, spread)
 
 
 def _key_starts(batch: pa.RecordBatch, keys: list[str]) -> list[int]:
@@ -195,9 +238,10 @@ def _chain(ends: DataFrame, keys: list[str], machine: Machine, exact: dict[int,
 
 
 def _entry_states(chunked: Chunked, keys: list[str], machine: Machine) -> dict[int, Any]:
-    if chunked.n_chunks == 1:
+    if not chunked.spread:
         return {}
-    ends = _describe(chunked.df, keys, machine, {})
+    rows_of_spread = chunked.spread_rows()
+    ends = _describe(rows_of_spread, keys, machine, {})
     exact: dict[int, Any] = {}
     while True:
         rows = _chain(ends, keys, machine, exact)
@@ -206,7 +250,7 @@ def _entry_states(chunked: Chunked, keys: list[str], machine: Machine) -> dict[i
             return {r.chunk: pickle.loads(r.blob) for r in rows if r.kind == "entry"}
         if not exact:
             ends = materialise(ends)
-        stopped = chunked.df.filter(F.col(CHUNK).isin(list(opened)))
+        stopped = rows_of_spread.filter(F.col(CHUNK).isin(list(opened)))
         for r in _describe(stopped, keys, machine, opened).collect():
             exact[r.chunk] = pickle.loads(r.blob)
 
@@ -214,10 +258,6 @@ def _entry_states(chunked: Chunked, keys: list[str], machine: Machine) -> dict[i
 def ordered_scan(chunked: Chunked, keys: list[str], machine: Machine) -> Chunked:
     """Add the machine's output columns to every row. Rows keep their chunk and order."""
     entries = _entry_states(chunked, keys, machine)
-    df = chunked.df
-    schema = StructType(list(df.schema.fields))
-    for name, kind in machine.outputs:
-        schema = schema.add(name, from_arrow_type(kind))
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: tuple | None = None
@@ -241,4 +281,8 @@ def ordered_scan(chunked: Chunked, keys: list[str], machine: Machine) -> Chunked
                 [*batch.columns, *added], names=[*batch.schema.names, *out]
             )
 
-    return Chunked(df.mapInArrow(replay, schema), chunked.n_chunks)
+    def scan(df: DataFrame) -> DataFrame:
+        added = [StructField(name, from_arrow_type(kind)) for name, kind in machine.outputs]
+        return df.mapInArrow(replay, StructType([*df.schema.fields, *added]))
+
+    return chunked.then(scan)

@@ -338,10 +338,13 @@ def session_trace(tracked: Chunked, catalog: Catalog, window_s: float = WINDOW_S
     Classification is narrow (broadcast join), so the chunks and their order
     survive it and nothing is shuffled again.
     """
-    frames = tracked.df.withColumn("level", F.col("session_level"))
-    classified = classify(frames, catalog, exercise="session_exercise").drop("angles")
+
+    def judged(frames: DataFrame) -> DataFrame:
+        leveled = frames.withColumn("level", F.col("session_level"))
+        return classify(leveled, catalog, exercise="session_exercise").drop("angles")
+
     machine = SessionFoldMachine(fold_rules(catalog), window_s)
-    return ordered_scan(Chunked(classified, tracked.n_chunks), KEYS, machine).df
+    return ordered_scan(tracked.then(judged), KEYS, machine).df
 
 
 def rep_events(trace: DataFrame) -> DataFrame:
