@@ -270,10 +270,10 @@ messages AS (
 ),
 checked AS (
   SELECT *, CASE WHEN NOT json_valid(raw) THEN 'bad_json'
-    WHEN json_extract_string(raw, '$.exercise') IS NULL THEN 'missing_exercise'
-    WHEN json_extract_string(raw, '$.session_uuid') IS NULL THEN 'missing_session_uuid'
-    WHEN json_extract_string(raw, '$.landmarks') IS NULL THEN 'missing_landmarks'
+        WHEN NOT list_contains(json_keys(raw), 'session_uuid') THEN 'missing_session_uuid'
     WHEN NOT list_contains(json_keys(raw), 'current_time') THEN 'missing_current_time'
+    WHEN json_type(raw, '$.exercise') = 'NULL' THEN 'invalid_exercise'
+    WHEN json_type(raw, '$.landmarks') = 'NULL' THEN 'invalid_landmarks'
     WHEN TRY_CAST(json_extract_string(raw, '$.timestamp') AS TIMESTAMP) IS NULL THEN 'invalid_timestamp'
     WHEN json_type(raw, '$.current_time') = 'VARCHAR' THEN 'invalid_current_time'
     WHEN json_extract_string(raw, '$.landmarks[0].y') IS NULL THEN 'invalid_landmarks'

@@ -33,35 +33,35 @@ DOMINANT_SIDE = _struct(("side", StringType()), ("probability", DoubleType()))
 
 METRICS = _struct(("angles", ArrayType(ANGLE)), ("dominant_side", DOMINANT_SIDE))
 
+FRAME = _struct(
+    ("frame_track_uuid", StringType()),
+    ("timestamp", TimestampType()),
+    ("exercise", StringType()),
+    ("video_duration", DoubleType()),
+    ("session_uuid", StringType()),
+    ("landmarks", ArrayType(LANDMARK)),
+    ("metrics", METRICS),
+    ("current_time", DoubleType()),
+)
+
+# on the wire the time is ISO-8601 text and the scalars may be quoted; the side is
+# kept as a map to see whether its nullable key is there
+FRAME_WIRE = _struct(
+    ("frame_track_uuid", StringType()),
+    ("timestamp", StringType()),
+    ("exercise", StringType()),
+    ("video_duration", StringType()),
+    ("session_uuid", StringType()),
+    ("landmarks", ArrayType(LANDMARK)),
+    (
+        "metrics",
+        _struct(("angles", ArrayType(ANGLE)), ("dominant_side", MapType(StringType(), StringType()))),
+    ),
+    ("current_time", StringType()),
+)
 
-def _frame(timestamp: object) -> StructType:
-    return _struct(
-        ("frame_track_uuid", StringType()),
-        ("timestamp", timestamp),
-        ("exercise", StringType()),
-        ("video_duration", DoubleType()),
-        ("session_uuid", StringType()),
-        ("landmarks", ArrayType(LANDMARK)),
-        ("metrics", METRICS),
-        ("current_time", DoubleType()),
-    )
-
-
-FRAME = _frame(TimestampType())
-
-# on the wire the time is ISO-8601 text, parsed after the JSON decode
-FRAME_WIRE = _frame(StringType())
-
-# the key must be present; the value may be null only for the nullable ones
-FRAME_REQUIRED = [
-    "frame_track_uuid",
-    "timestamp",
-    "exercise",
-    "session_uuid",
-    "landmarks",
-    "metrics",
-]
-FRAME_REQUIRED_NULLABLE = ["video_duration", "current_time"]
+# every key must be present; only these may hold null
+FRAME_NULLABLE = ["video_duration", "current_time"]
 
 _LEVEL_STATES = _struct(
     ("states", ArrayType(_struct(("id", StringType()), ("condition", StringType())))),

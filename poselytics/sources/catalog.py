@@ -221,9 +221,8 @@ def _validated(raw: DataFrame) -> DataFrame:
 def read_catalog(spark: SparkSession, folder: str) -> Catalog:
     """Scan ``folder`` for ``*.json``; the exercise key is the file stem."""
     raw = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.json")
-        .text(folder)
+        spark.read.option("pathGlobFilter", "*.json")
+        .text(folder, wholetext=True)
         .select(
             F.regexp_replace("_metadata.file_name", r"\.json", "").alias("exercise"),
             F.col("value").alias("text"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
 
-from poselytics.schema import FRAME, FRAME_REQUIRED, FRAME_REQUIRED_NULLABLE, FRAME_WIRE
+from poselytics.schema import FRAME, FRAME_NULLABLE, FRAME_WIRE
 from poselytics.sources.catalog import Catalog
 
 
@@ -28,50 +28,55 @@ def _invalid_angle(a: Column) -> Column:
 def parse_frames(messages: DataFrame, value: str = "value") -> DataFrame:
     """Decode JSON text into frame columns plus ``reject_reason`` (NULL when valid).
 
-    Reasons: ``bad_json``, ``missing_<field>`` (absent, or null where a value is
-    needed) and ``invalid_<field>`` (present with an unusable value).
+    Reasons: ``bad_json`` (not a JSON object), ``missing_<field>`` (no such key) and
+    ``invalid_<field>`` (unusable value, or null where one is needed).
     """
-    text = F.col(value).cast("string")
-    decoded = messages.select(
-        text.alias("raw"),
-        F.from_json(text, FRAME_WIRE).alias("f"),
-        F.json_object_keys(text).alias("keys"),
-    ).select(
+    # a generator row decodes each message once: later filters and projections
+    # cannot be merged into it and repeat the work per field
+    decoded = messages.select(F.col(value).cast("string").alias("raw")).select(
+        "raw",
+        F.inline(
+            F.array(F.struct(F.from_json("raw", FRAME_WIRE).alias("f"), F.json_object_keys("raw").alias("keys")))
+        ),
+    )
+    side = F.col("f.metrics.dominant_side")
+    typed = decoded.select(
         "raw",
         "keys",
-        "f.*",
-        F.try_to_timestamp("f.timestamp").alias("parsed_ts"),
-        F.json_object_keys(F.get_json_object("raw", "$.metrics.dominant_side")).alias("side_keys"),
+        "f",
+        F.try_to_timestamp("f.timestamp").alias("timestamp"),
+        F.col("f.video_duration").try_cast("double").alias("video_duration"),
+        F.col("f.current_time").try_cast("double").alias("current_time"),
     )
-
-    def raw_value(name: str) -> Column:
-        return F.get_json_object("raw", f"$.{name}")
-
-    # try_parse_json-like strictness is not wanted here: only whether the text is an object
     reasons: list[tuple[Column, str]] = [(F.col("keys").isNull(), "bad_json")]
-    for name in FRAME_REQUIRED + FRAME_REQUIRED_NULLABLE:
-        absent = ~F.array_contains("keys", name)
-        if name in FRAME_REQUIRED:
-            absent = absent | raw_value(name).isNull()
-        reasons.append((absent, f"missing_{name}"))
-    for name in FRAME_REQUIRED + FRAME_REQUIRED_NULLABLE:
-        unusable = F.col("parsed_ts" if name == "timestamp" else name).isNull() & raw_value(name).isNotNull()
+    for name in FRAME.fieldNames():
+        reasons.append((~F.array_contains("keys", name), f"missing_{name}"))
+    for name in FRAME.fieldNames():
+        if name in FRAME_NULLABLE:
+            unusable = F.col(name).isNull() & F.col(f"f.{name}").isNotNull()
+        else:
+            unusable = F.col("timestamp" if name == "timestamp" else f"f.{name}").isNull()
         reasons.append((unusable, f"invalid_{name}"))
     reasons += [
-        (F.exists("landmarks", _invalid_landmark), "invalid_landmarks"),
+        (F.exists("f.landmarks", _invalid_landmark), "invalid_landmarks"),
         (
-            F.col("metrics.angles").isNull()
-            | F.exists("metrics.angles", _invalid_angle)
-            | F.col("metrics.dominant_side.side").isNull()
-            | F.coalesce(~F.array_contains("side_keys", "probability"), F.lit(True)),
+            F.col("f.metrics.angles").isNull()
+            | F.exists("f.metrics.angles", _invalid_angle)
+            | side["side"].isNull()
+            | ~F.coalesce(F.map_contains_key(side, "probability"), F.lit(False))
+            | (side["probability"].isNotNull() & side["probability"].try_cast("double").isNull()),
             "invalid_metrics",
         ),
     ]
-    return decoded.select(
-        *[
-            F.col("parsed_ts").alias("timestamp") if field.name == "timestamp" else F.col(field.name)
-            for field in FRAME.fields
-        ],
+    metrics = F.struct(
+        F.col("f.metrics.angles").alias("angles"),
+        F.struct(
+            side["side"].alias("side"), side["probability"].try_cast("double").alias("probability")
+        ).alias("dominant_side"),
+    )
+    own = {"metrics": metrics} | {n: F.col(n) for n in ("timestamp", "video_duration", "current_time")}
+    return typed.select(
+        *[own.get(name, F.col(f"f.{name}")).alias(name) for name in FRAME.fieldNames()],
         "raw",
         _first_reason(reasons).alias("reject_reason"),
     )
