@@ -38,6 +38,10 @@ from poselytics.session import materialise
 
 CHUNK = "chunk"
 
+CHUNK_BYTES = 128 << 20
+# the planner's placeholder sizes are far above any real table
+UNKNOWN_BYTES = 1 << 57
+
 
 class Machine(Protocol):
     """A fold over ordered rows. States and transfers are plain picklable values."""
@@ -95,15 +99,27 @@ class Chunked:
         return df
 
 
+def _enough_chunks(df: DataFrame) -> int | None:
+    """Chunks the estimated input size needs, if more than the configured shuffle partitions."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate > UNKNOWN_BYTES:
+        return None
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = estimate // CHUNK_BYTES
+    return wanted if wanted > configured else None
+
+
 def chunk_rows(df: DataFrame, key: str, order: list, n_chunks: int | None = None) -> Chunked:
     """Range partition and sort by ``key`` and ``order``, written once to the shared folder.
 
     The range bounds come from a sample, so the chunks must not be computed
     twice: writing them fixes the bounds for all later passes and retries.
     Without ``n_chunks`` the number follows ``spark.sql.shuffle.partitions``,
-    and adaptive execution merges small ones.
+    more if the estimated input asks for it, and adaptive execution merges small
+    ones.
     """
     columns = [key, *order]
+    n_chunks = n_chunks or _enough_chunks(df)
     ranged = df.repartitionByRange(n_chunks, *columns) if n_chunks else df.repartitionByRange(*columns)
     chunks = materialise(
         ranged.sortWithinPartitions(*columns).withColumn(CHUNK, F.spark_partition_id())
@@ -214,27 +230,39 @@ def _describe(df: DataFrame, keys: list[str], machine: Machine, known: dict[int,
 
 
 def _chain(ends: DataFrame, keys: list[str], machine: Machine, exact: dict[int, Any]) -> list:
-    """Entry state of every chunk whose first key began earlier; ``open`` where the chain stopped."""
+    """Entry state of every chunk whose first key began earlier; ``open`` where the chain stopped.
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        result = []
-        state = None
-        for position, row in enumerate(pdf.sort_values("chunk").itertuples(index=False)):
-            value = pickle.loads(row.blob)
-            if row.kind == "exit":
-                state = value
-                continue
-            if position:
-                result.append((row.chunk, "entry", pickle.dumps(state)))
-            following = exact.get(row.chunk) if row.chunk in exact else machine.apply(value, state)
-            if following is None:
-                result.append((row.chunk, "open", pickle.dumps(state)))
-                break
-            state = following
-        return pd.DataFrame(result, columns=["chunk", "kind", "blob"])
+    The descriptions of a key are read one after the other from a sorted stream,
+    never as a group.
+    """
 
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state, stopped, position = None, None, False, 0
+        for batch in batches:
+            result = []
+            for row in batch.itertuples(index=False):
+                key = tuple(getattr(row, k) for k in keys)
+                if key != current:
+                    current, state, stopped, position = key, None, False, 0
+                if stopped:
+                    continue
+                value = pickle.loads(row.blob)
+                if row.kind == "exit":
+                    state = value
+                else:
+                    if position:
+                        result.append((row.chunk, "entry", pickle.dumps(state)))
+                    following = exact[row.chunk] if row.chunk in exact else machine.apply(value, state)
+                    if following is None:
+                        result.append((row.chunk, "open", pickle.dumps(state)))
+                        stopped = True
+                    state = following
+                position += 1
+            yield pd.DataFrame(result, columns=["chunk", "kind", "blob"])
+
+    ordered = ends.repartition(*keys).sortWithinPartitions(*keys, "chunk")
     # at most one row per chunk: as small as the range bounds Spark itself keeps on the driver
-    return ends.groupBy(*keys).applyInPandas(chain, "chunk int, kind string, blob binary").collect()
+    return ordered.mapInPandas(chain, "chunk int, kind string, blob binary").collect()
 
 
 def _entry_states(chunked: Chunked, keys: list[str], machine: Machine) -> dict[int, Any]:

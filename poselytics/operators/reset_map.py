@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 
 # pieces kept per chunk; beyond them the chunk is replayed with its real entry value
-MAX_PIECES = 4096
+MAX_PIECES = 1024
 
 
 class ResetMap(NamedTuple):

@@ -18,7 +18,7 @@ from poselytics.sources.catalog import (
     read_catalog,
 )
 from poselytics.sources.events import events_frames
-from poselytics.sources.frames import parse_frames, rejected_frames, valid_frames
+from poselytics.sources.frames import parse_frames, read_frames, rejected_frames, valid_frames
 from tests.conftest import SMALL
 
 COMPACT = (
@@ -157,6 +157,19 @@ def test_parse_and_rejects(spark):
     ]
 
 
+def test_the_scan_reads_only_what_is_used(spark, tmp_path, capsys):
+    path = str(tmp_path / "frames")
+    events_frames(spark, SMALL).drop("level").write.parquet(path)
+    recent = read_frames(spark, path).filter(F.col("timestamp") > F.lit("2024-01-01 00:00:30").cast("timestamp"))
+    classify(compact_frames(recent), builtin_catalog(spark)).explain("formatted")
+    plan = capsys.readouterr().out
+    schema = plan[plan.rindex("ReadSchema") :].split("\n")[0]
+    assert "angles:array<struct<name:string,value:double>>" in schema
+    assert "landmarks" not in schema and "point1" not in schema and "dominant_side" not in schema
+    assert "GreaterThan(timestamp" in plan
+    assert "Exchange hashpartitioning" not in plan
+
+
 def test_retention_by_arrival(spark):
     arrivals = [("s", 0, 1), ("s", 10_000, 2), ("s", 31_000, 3), ("s", 5_000, 4), ("t", 0, 1), ("t", 30_000, 2)]
     df = spark.createDataFrame(arrivals, "session_uuid string, ts_ms bigint, arrival_seq bigint")

@@ -99,7 +99,7 @@ def test_reset_map_is_compact_for_a_regular_frame_rate():
 def test_too_many_pieces_leave_the_chunk_open():
     steps = np.ones(20_000, dtype=np.int64)
     described = reset_map(steps, 15_000)
-    assert described.exit(15_000 - 4_000, 15_000) is not None
+    assert described.exit(15_000 - 1_000, 15_000) is not None
     assert described.exit(0, 15_000) is None
     assert reset_map(steps, 30_000).exit(100, 30_000) == (20_100, 0)
 
