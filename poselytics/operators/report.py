@@ -5,20 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from poselytics.operators.feedback import exercise_summary, feedback_windows
 from poselytics.operators.lifecycle import SESSION_TIMEOUT_S
-from poselytics.operators.session_fold import session_states
-from poselytics.session import materialise
-
-
-def session_summaries(trace: DataFrame, **window_options: object) -> DataFrame:
-    """State, counts and feedback per session instance.
-
-    The trace feeds two aggregations of different grain, so it is written once
-    instead of being folded twice.
-    """
-    kept = materialise(trace)
-    return exercise_summary(session_states(kept), feedback_windows(kept, **window_options))
 
 
 def session_reports(

@@ -25,13 +25,14 @@ from poselytics.operators.lifecycle import (
     session_lifecycle,
     with_lifecycle,
 )
-from poselytics.operators.report import session_reports, session_summaries
+from poselytics.operators.report import session_reports
 from poselytics.operators.session_fold import (
     rep_events,
     reset_events,
     session_states,
     session_trace,
 )
+from poselytics.plans.analysis import SessionAnalysis
 from poselytics.session import configure, shared_folder
 from poselytics.sources.catalog import builtin_catalog
 from poselytics.sources.events import EPOCH_US, events_frames, frames_of
@@ -77,6 +78,12 @@ def _trace(spark: SparkSession, sf_dir: str, inactive_s: float | None = None, **
     return session_trace(tracked, catalog)
 
 
+def _analysis(spark: SparkSession, sf_dir: str, **options: float | bool) -> SessionAnalysis:
+    frames = events_frames(configure(spark), sf_dir)
+    options = {"dedup": False, **options}
+    return SessionAnalysis(frames, builtin_catalog(spark), F.col("level"), **options)
+
+
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame messages as JSON text; one in two is broken in one of several ways."""
     events = configure(spark).read.parquet(f"{sf_dir}/events.parquet")
@@ -347,7 +354,7 @@ def issue_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exercise_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session_summaries(_trace(spark, sf_dir)).select(
+    return _analysis(spark, sf_dir).summaries.select(
         "session_uuid",
         "session_instance",
         "total_windows",
@@ -382,18 +389,19 @@ def _flat_reports(reports: DataFrame) -> DataFrame:
 
 
 def session_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat_reports(session_reports(session_summaries(_trace(spark, sf_dir))))
+    # the full chain, identical frames collapsed first
+    return _flat_reports(_analysis(spark, sf_dir, dedup=True).reports())
 
 
 def running_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports of sessions closed one minute in, with a short timeout."""
-    summaries = session_summaries(_trace(spark, sf_dir, timeout_s=SHORT_TIMEOUT_S))
+    """Reports of the sessions closed by the end of the data; the rest still run."""
+    summaries = _analysis(spark, sf_dir, timeout_s=SHORT_TIMEOUT_S).summaries
     reports = session_reports(summaries, EPOCH_US + 72_000_000, 1.0)
     return reports.select("session_uuid", "session_instance", "status")
 
 
 def report_message_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = report_messages(session_reports(session_summaries(_trace(spark, sf_dir))))
+    messages = report_messages(_analysis(spark, sf_dir).reports())
 
     def field(path: str) -> Column:
         return F.get_json_object("value", f"$.{path}")
@@ -409,7 +417,7 @@ def report_message_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_texts(session_summaries(_trace(spark, sf_dir)))
+    return with_texts(_analysis(spark, sf_dir).summaries)
 
 
 def timeline_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ from poselytics.operators import session_fold
 from poselytics.operators.classify import compact_frames
 from poselytics.operators.feedback import feedback_summary, feedback_windows
 from poselytics.operators.lifecycle import order_frames, session_lifecycle, with_lifecycle
-from poselytics.operators.report import session_reports, session_summaries
 from poselytics.operators.session_fold import SessionFoldMachine, session_states, session_trace
+from poselytics.plans.analysis import SessionAnalysis
 from poselytics.sources.catalog import BUILTIN_FOLDER, builtin_catalog, catalog_from_documents
 from poselytics.sources.events import events_frames
 from poselytics.sources.sinks import report_messages
@@ -142,8 +142,10 @@ def test_lifecycle_reopens_sessions(spark):
 
 def test_reports_as_messages(spark):
     frames = frames_of(spark, [("r", t, 120.0, 20.0, 0.0, c) for t, c in [(0, 0.0), (5, 99.95)]])
-    reports = session_reports(session_summaries(trace_of(spark, frames)))
-    message = report_messages(reports).first()
+    analysis = SessionAnalysis(frames.unionByName(frames), builtin_catalog(spark))
+    assert analysis.lifecycle.first().n_frames == 2
+    assert (analysis.reps.count(), analysis.resets.count(), analysis.feedback.count()) == (0, 0, 0)
+    message = report_messages(analysis.reports()).first()
     assert message.key == "r"
     assert '"status":"completed"' in message.value
     assert '"timestamp":"2024-01-01T00:00:05.000000Z"' in message.value
