@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -41,6 +42,10 @@ def _ship_package(spark: SparkSession) -> None:
         for source in sorted(root.rglob("*.py")):
             z.write(source, source.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(archive))
+    # stateful streaming also starts a worker beside the driver, which gets no added files
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH")
+    environment["PYTHONPATH"] = os.pathsep.join(filter(None, [str(root.parent), known]))
     _shipped.add(application)
 
 
