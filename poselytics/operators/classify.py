@@ -241,6 +241,14 @@ def _joined(
     )
 
 
+def rule_rejects(compact: DataFrame, catalog: Catalog) -> DataFrame:
+    """Frames the rules cannot judge, with ``reject_reason``."""
+    judged = classify(compact, catalog, keep_rejects=True)
+    return judged.filter(F.col("reject_reason").isNotNull()).select(
+        "session_uuid", "frame_track_uuid", "exercise", "reject_reason"
+    )
+
+
 def frame_angles(compact: DataFrame) -> DataFrame:
     """One row per frame and angle name (NaN shown as NULL)."""
     return compact.select(

@@ -392,6 +392,16 @@ def oracle_sql() -> dict[str, str]:
             "SELECT session_uuid, frame_track_uuid, event_type AS exercise FROM frames WHERE event_type <> 'click'",
             FRAMES,
         ),
+        "frame_rule_rejects": _sql(
+            """SELECT session_uuid, frame_track_uuid, exercise, reject_reason FROM (
+                 SELECT *, CASE WHEN event_type IN ('click', 'view') THEN 'dumbbell-arm' ELSE event_type END AS exercise,
+                   CASE WHEN event_type NOT IN ('click', 'view') THEN 'unknown_exercise'
+                        WHEN event_id % 4 = 2 THEN 'missing_angle'
+                        WHEN event_id % 4 = 1 AND abs(offset_angle) <= 45.0 THEN 'missing_angle' END AS reject_reason
+                 FROM frames)
+               WHERE reject_reason IS NOT NULL""",
+            FRAMES,
+        ),
         "frame_violations": _sql(
             """SELECT session_uuid, frame_track_uuid, feedback_id,
                  CAST(row_number() OVER (PARTITION BY event_id ORDER BY seq) - 1 AS INTEGER) AS seq

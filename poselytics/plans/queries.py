@@ -16,6 +16,7 @@ from poselytics.operators.classify import (
     compact_frames,
     frame_angles,
     frame_violations,
+    rule_rejects,
     session_exercise,
     with_messages,
 )
@@ -257,6 +258,17 @@ def unknown_exercises(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def frame_rule_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two event types have rules; a quarter each of the frames lacks the elbow or the offset angle."""
+    frames = events_frames(configure(spark), sf_dir, None)
+    known = F.when(F.col("exercise").isin("click", "view"), F.lit("dumbbell-arm")).otherwise(F.col("exercise"))
+    number = F.substring("frame_track_uuid", 3, 20).cast("bigint") % 4
+    lacking = F.when(number == 1, F.lit("elbow_angle")).when(number == 2, F.lit("offset_angle")).otherwise(F.lit(""))
+    angles = F.filter("metrics.angles", lambda a: a["name"] != lacking)
+    frames = frames.withColumn("exercise", known).withColumn("metrics", F.col("metrics").withField("angles", angles))
+    return rule_rejects(compact_frames(frames, F.col("level")), builtin_catalog(spark))
+
+
 def frame_violation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame_violations(_classified(spark, sf_dir, stop_at_critical=False)).drop("exercise")
 
@@ -533,6 +545,7 @@ QUERIES: dict[str, Query] = {
     "frame_states": frame_states,
     "session_exercise": session_exercises,
     "unknown_exercise": unknown_exercises,
+    "frame_rule_rejects": frame_rule_rejects,
     "frame_violations": frame_violation_list,
     "frame_feedback": frame_feedback,
     "feedback_messages": feedback_messages,

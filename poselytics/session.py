@@ -52,26 +52,26 @@ def _ship_package(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is only ever chosen in local mode, where driver and
-    executors are one process.
+    Only where that is unset, as in tests, another one is taken; a machine-local
+    one only in local mode, where driver and executors are one process.
     """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
+        if current is None or folder.rstrip("/") not in current:
+            context.setCheckpointDir(folder)
         return folder
-    current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="poselytics-ckpt-")
-    spark.sparkContext.setCheckpointDir(folder)
+    context.setCheckpointDir(folder)
     return folder
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and cut its lineage."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
