@@ -7,21 +7,21 @@ chunks of one session can be processed independently and chained afterwards.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from typing import NamedTuple
 
 import numpy as np
 
-# pieces kept per chunk; beyond them the chunk is replayed with its real entry value
-MAX_PIECES = 1024
+# pieces kept per chunk (24 bytes each); beyond them the chunk is replayed with its
+# real entry value. A chunk needs as many as it has steps within twice the limit.
+MAX_PIECES = 1 << 14
 
 
 class ResetMap(NamedTuple):
     """Piecewise result: entry values that first reset at the same step share an exit."""
 
-    sums: list[int]  # running sum that must be reached, ascending
-    exits: list[int]
-    counts: list[int]
+    sums: np.ndarray  # running sum that must be reached, ascending
+    exits: np.ndarray
+    counts: np.ndarray
     total: int
     peak: int | None  # None: no steps at all
     fresh: tuple[int, int]  # exit and resets when restarted at the first step
@@ -31,16 +31,19 @@ class ResetMap(NamedTuple):
         need = limit - acc
         if self.peak is None or need > self.peak:
             return acc + self.total, 0
-        piece = bisect_left(self.sums, need)
+        piece = int(np.searchsorted(self.sums, need, side="left"))
         if piece < len(self.sums):
-            return self.exits[piece], self.counts[piece]
+            return int(self.exits[piece]), int(self.counts[piece])
         return None
 
 
+_EMPTY = np.empty(0, dtype=np.int64)
+
+
 def reset_map(steps: np.ndarray, limit: int) -> ResetMap:
     n = len(steps)
     if n == 0:
-        return ResetMap([], [], [], 0, None, (0, 0))
+        return ResetMap(_EMPTY, _EMPTY, _EMPTY, 0, None, (0, 0))
     sums = np.cumsum(steps, dtype=np.int64)
     highs = np.maximum.accumulate(sums)
     total, peak = int(sums[-1]), int(highs[-1])
@@ -53,7 +56,7 @@ def reset_map(steps: np.ndarray, limit: int) -> ResetMap:
             acc += step
             if acc >= limit:
                 acc, resets = 0, resets + 1
-        return ResetMap([], [], [], total, np.iinfo(np.int64).max, (acc, resets))
+        return ResetMap(_EMPTY, _EMPTY, _EMPTY, total, np.iinfo(np.int64).max, (acc, resets))
     # first step at which an accumulator restarted after step j resets again
     following = np.searchsorted(highs, sums + limit, side="left").tolist()
     ends = (total - sums).tolist()
@@ -76,5 +79,5 @@ def reset_map(steps: np.ndarray, limit: int) -> ResetMap:
         # entry values are never far below zero, so larger sums are never asked for
         if piece[0] >= 2 * limit:
             break
-    columns = [list(c) for c in zip(*pieces)]
+    columns = np.array(pieces, dtype=np.int64).T
     return ResetMap(*columns, total, peak, (exits[0], counts[0]))

@@ -85,7 +85,7 @@ class SessionRecord:
     reported: bool = False
     timer_ms: int | None = None
 
-    def open_instance(self) -> None:
+    def start_afresh(self) -> None:
         self.fold = SessionState()
         self.counts, self.issues = {}, {}
         self.windows = 0
@@ -101,6 +101,7 @@ class SessionProcessor(StatefulProcessor):
         min_frame_ratio: float = MIN_FRAME_RATIO,
         timeout_s: float = SESSION_TIMEOUT_S,
         grace_s: float = PROCESSING_DELAY_S,
+        state_ttl_s: float | None = None,
         forget_after_s: float = FORGET_AFTER_S,
     ):
         self.rules = rules
@@ -108,6 +109,8 @@ class SessionProcessor(StatefulProcessor):
         self.min_frame_ratio = min_frame_ratio
         self.timeout = round(timeout_s * 1_000_000)
         self.grace = round(grace_s * 1_000_000)
+        # a silence above the timeout opens a new instance anyway
+        self.ttl = self.timeout if state_ttl_s is None else round(state_ttl_s * 1_000_000)
         self.forget = round(forget_after_s * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -196,13 +199,13 @@ class SessionProcessor(StatefulProcessor):
         if record.life is None:
             record.life = LifecycleState(0, 0, ts, ts if complete else None, exercise, level)
         else:
-            instance, completed = record.life.instance, record.life.completed_us
-            # ttl is a batch option: state lives until the session closes
-            record.life.step(ts, complete, self.timeout, self.grace, self.timeout)
-            if record.life.instance != instance:
-                if not record.reported:
-                    self._report(record, session, events, instance, completed)
-                record.open_instance()
+            life = record.life
+            instance, epoch, completed = life.instance, life.epoch, life.completed_us
+            life.step(ts, complete, self.timeout, self.grace, self.ttl)
+            if life.instance != instance and not record.reported:
+                self._report(record, session, events, instance, completed)
+            if (life.instance, life.epoch) != (instance, epoch):
+                record.start_afresh()
         life = record.life
         record.last_exercise = exercise
         success, limit = self.rules[life.exercise, life.level]

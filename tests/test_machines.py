@@ -97,11 +97,11 @@ def test_reset_map_is_compact_for_a_regular_frame_rate():
 
 
 def test_too_many_pieces_leave_the_chunk_open():
-    steps = np.ones(20_000, dtype=np.int64)
-    described = reset_map(steps, 15_000)
-    assert described.exit(15_000 - 1_000, 15_000) is not None
-    assert described.exit(0, 15_000) is None
-    assert reset_map(steps, 30_000).exit(100, 30_000) == (20_100, 0)
+    steps = np.ones(80_000, dtype=np.int64)
+    described = reset_map(steps, 60_000)
+    assert described.exit(60_000 - 10_000, 60_000) == (10_000, 2)
+    assert described.exit(0, 60_000) is None
+    assert reset_map(steps, 90_000).exit(100, 90_000) == (80_100, 0)
 
 
 def test_initial_state():

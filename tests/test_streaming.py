@@ -33,7 +33,7 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(FRAME).option("maxFilesPerTrigger", 1).parquet(str(source))
     catalog = builtin_catalog(spark)
     query = write_stream(
-        session_events(dedup_stream(stream), catalog, watermarked=True),
+        session_events(dedup_stream(stream), catalog, watermarked=True, state_ttl_s=3.0),
         str(tmp_path / "events"),
         str(tmp_path / "checkpoint"),
         once=True,
@@ -41,7 +41,7 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination()
     events = spark.read.schema(EVENT_SCHEMA).parquet(str(tmp_path / "events")).filter("session_uuid <> 'end'")
 
-    trace = session_trace(with_lifecycle(order_frames(compact_frames(frames))), catalog)
+    trace = session_trace(with_lifecycle(order_frames(compact_frames(frames)), state_ttl_s=3.0), catalog)
     key = ["session_uuid", "session_instance"]
 
     def rows(df, *columns):
