@@ -158,16 +158,15 @@ def _compiled(
     which = _case([(_uses(g, exercise), str(i)) for i, g in enumerate(groups)], "CAST(NULL AS INT)")
     pairs = {r: _violations(r, angle_of, stop_at_critical) for r in sets}
     checked = "_good AND NOT (state <=> 's1')"
+    picked = [
+        f"{which} AS _set",
+        *[f"nanvl(angles[{sql_string(n)}], NULL) AS _angle_{i}" for n, i in place.items()],
+        *[f"coalesce(map_contains_key(angles, {sql_string(n)}), false) AS _has_{i}" for n, i in place.items()],
+    ]
     return (
-        compact.selectExpr(
-            "*",
-            f"{which} AS _set",
-            *[f"nanvl(angles[{sql_string(n)}], NULL) AS _angle_{i}" for n, i in place.items()],
-            *[
-                f"coalesce(map_contains_key(angles, {sql_string(n)}), false) AS _has_{i}"
-                for n, i in place.items()
-            ],
-        )
+        # a generator row picks the angles once; a filter on the outcome cannot be
+        # moved below it, where it would build them again
+        compact.selectExpr("*", f"inline(array(struct({', '.join(picked)})))")
         .selectExpr("*", f"{per_set(bad_posture, 'false')} AS bad_posture")
         .selectExpr("*", f"{_reject_reason('_set IS NULL', per_set(missing, 'false'))} AS reject_reason")
         .selectExpr("*", "NOT bad_posture AND reject_reason IS NULL AS _good")
