@@ -17,8 +17,8 @@ from poselytics.llm.common import keep, text_of, without
 BUCKETS = 1 << 16
 #: Most trusted documents that are counted; all documents count for the corpus.
 MAX_TRUSTED = 20_000
-#: Added to each count, in expected occurrences of an average bucket.
-SMOOTHING = 0.05
+#: Occurrences that speak for a ratio of one in every bucket, so that what is merely rare says little.
+SMOOTHING = 3.0
 THRESHOLD = -0.16
 MIN_WORDS = 50
 #: Percent of words that may stand in repeated windows.
@@ -110,9 +110,10 @@ def _buckets(hashes: Column) -> Column:
 
 
 def weights(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
-    """bucket, weight: log of the bucket's share of trusted texts over its share of all.
+    """bucket, other, own: log of the bucket's share of trusted texts over its share of all.
 
-    ``trusted`` holds at most ``MAX_TRUSTED`` ids (doc_id). A bucket that never occurs has no row.
+    Each occurrence is judged by the others: ``other`` leaves one out of all texts, ``own``, for trusted
+    documents, one out of both. Else every rare word would speak against its only text. ``trusted`` holds at most ``MAX_TRUSTED`` ids (doc_id). A bucket that never occurs has no row.
     """
     marked = docs.select("doc_id", text_of(docs).alias("text")).join(
         F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left"
@@ -128,9 +129,10 @@ def weights(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, smoo
     total = counts.agg(F.sum("n_all").alias("a"), F.sum("n_good").alias("g")).first()
     n_all, n_good = total["a"] or 0, total["g"] or 0
     if not n_good:  # nothing is trusted: nothing tells texts apart
-        return counts.select("bucket", F.lit(0.0).alias("weight"))
-    share = lambda n, of: (F.col(n) + F.lit(smoothing * of / buckets)) / F.lit(of * (1 + smoothing))
-    return counts.select("bucket", F.log(share("n_good", n_good) / share("n_all", n_all)).alias("weight"))
+        return counts.select("bucket", F.lit(0.0).alias("other"), F.lit(0.0).alias("own"))
+    expected = (F.col("n_all") - 1) * F.lit(n_good / n_all) + smoothing
+    ratio = lambda good: F.log((F.greatest(good, F.lit(0)) + smoothing) / expected)
+    return counts.select("bucket", ratio(F.col("n_good")).alias("other"), ratio(F.col("n_good") - 1).alias("own"))
 
 
 def trusted_ids(labels: DataFrame, *, label: str = "quality", limit: int = MAX_TRUSTED) -> DataFrame:
@@ -145,12 +147,15 @@ def judge(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, thresho
     A text without n-grams scores 0; it fails the rules anyway. Rows with the same id, or
     none, are judged each by itself.
     """
-    table = keep(weights(docs, trusted_ids(labels), buckets=buckets), "ngram-weights")
+    trusted = keep(trusted_ids(labels), "trusted")
+    table = keep(weights(docs, trusted, buckets=buckets), "ngram-weights")
     rows = base_rules(docs.select("doc_id", "text")).drop("text")
-    rows = rows.withColumn("__row", F.monotonically_increasing_id())
+    good = F.broadcast(trusted.select("doc_id", F.lit(True).alias("__good")))
+    rows = rows.join(good, "doc_id", "left").withColumn("__row", F.monotonically_increasing_id())
     carried = ["__row", "doc_id", *RULES, "base_failed"]
-    grams = rows.select(*carried, F.explode_outer(_bound(F.col("__hashes"), _buckets)).alias("h"))
+    grams = rows.select(*carried, "__good", F.explode_outer(_bound(F.col("__hashes"), _buckets)).alias("h"))
     # one row per bucket
     looked_up = grams.withColumn("bucket", F.pmod("h", F.lit(buckets))).join(F.broadcast(table), "bucket", "left")
-    scored = looked_up.groupBy(*carried).agg(F.coalesce(F.avg("weight"), F.lit(0.0)).alias("ngram_score"))
+    weight = F.when(F.col("__good"), F.col("own")).otherwise(F.col("other"))
+    scored = looked_up.groupBy(*carried).agg(F.coalesce(F.avg(weight), F.lit(0.0)).alias("ngram_score"))
     return scored.drop("__row").withColumn("kept", ~F.col("base_failed") & (F.col("ngram_score") >= threshold))
