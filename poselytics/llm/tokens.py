@@ -12,6 +12,7 @@ import re
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import regex
 
 #: Words that one worker remembers; past that it forgets all and starts again.
 MEMORY = 1_000_000
@@ -21,6 +22,15 @@ _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 #: A word with the space before it, or white space that no word takes along.
 _SPACED = re.compile(rb" ?[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+(?![^ \t\n\x0b\x0c\r])|[ \t\n\x0b\x0c\r]+")
 
+# How both vocabularies cut a text before merging.
+_WITH_SPACES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_WITHOUT_SPACES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Letters for which normalising is lower case alone.
+_LATIN = re.compile("[\x20-\x7e\xa1-\u024f]+").fullmatch
+#: Bytes as the vocabularies write them: printable ones as they are, others moved past 255.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_VISIBLE = {b: chr(256 + k) for k, b in enumerate(_HIDDEN)}
+
 _loaded: dict[str, WordEncoder] = {}
 
 
@@ -37,7 +47,23 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._split: Callable[[bytes], list[bytes]] = _SPACED.findall if spaces else bytes.split
-        self._known: dict[bytes, bytes] = {}
+        self._lower = not spaces
+        self._cut = regex.compile(_WITH_SPACES if spaces else _WITHOUT_SPACES).findall
+        self._known = _Words(self._learn)
+        self._pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        found = self._tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(_VISIBLE))
+        ids = self._pieces[piece] = np.array([t.id for t in found], dtype="<u4").tobytes()
+        return ids
+
+    def _learn(self, word: bytes) -> bytes:
+        """Ids of a new word. A Latin one is cut as the tokenizer would, and each piece is merged once."""
+        text, pieces = word.decode(), self._pieces
+        if not _LATIN(text):
+            return self._encode([text])[0]
+        cut = self._cut(text.lower() if self._lower else text)
+        return b"".join([pieces.get(p) or self._piece(p) for p in cut])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -45,31 +71,30 @@ class WordEncoder:
 
     def ids(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Ids of each text; none for an empty or missing one."""
-        words: list[list[bytes] | None] = []
-        whole: list[str] = []
-        unknown: set[bytes] = set()
-        known = self._known
-        if len(known) > MEMORY:
-            known.clear()
+        known, split = self._known, self._split
+        for memory in (known, self._pieces):
+            if len(memory) > MEMORY:
+                memory.clear()
+        get, out = known.__getitem__, []
         for text in texts:
-            text = text or ""
-            if _ODD_SPACE.search(text):
-                words.append(None)
-                whole.append(text)
-                continue
-            found = self._split(text.encode("utf-8", "replace"))
-            words.append(found)
-            unknown.update(found)
-        unknown.difference_update(known)
-        fresh = list(unknown)
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            known.update(zip(part, self._encode([w.decode() for w in part]), strict=True))
-        rest = iter(self._encode(whole) if whole else ())
-        get = known.__getitem__
-        return [
-            np.frombuffer(next(rest) if found is None else b"".join(map(get, found)), dtype="<u4") for found in words
-        ]
+            if text and _ODD_SPACE.search(text):
+                found = self._encode([text])[0]
+            else:
+                found = b"".join(map(get, split((text or "").encode("utf-8", "replace"))))
+            out.append(np.frombuffer(found, dtype="<u4"))
+        return out
+
+
+class _Words(dict):
+    """Ids by word; a new one is learnt when it is asked for."""
+
+    def __init__(self, learn: Callable[[bytes], bytes]) -> None:
+        super().__init__()
+        self._learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self._learn(word)
+        return ids
 
 
 def encoder(path: str, spaces: bool) -> WordEncoder:
