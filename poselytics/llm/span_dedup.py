@@ -105,13 +105,10 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         _short_hashes(docs, min_words).groupBy("short").agg(F.count("*").alias("n")).where("n > 1").select("short"),
         "repeated-hashes",
     )
-    if twice.count() * 8 <= BROADCAST_BYTES:
-        table = np.sort(np.array(twice.toPandas()["short"], dtype=np.int64))
-        some = _runs_of(docs, min_words, spark.sparkContext.broadcast(table))
-    else:  # more than every worker should hold
-        every = _runs_of(docs, min_words)
-        short = F.conv(F.hex(F.reverse(F.substring("span", 1, 8))), 16, -10).cast("long")
-        some = every.withColumn("short", short).join(twice, "short", "left_semi").drop("short")
+    # the hashes of a large corpus fit neither a worker nor the driver, so the runs are joined with them
+    every = _runs_of(docs, min_words)
+    short = F.conv(F.hex(F.reverse(F.substring("span", 1, 8))), 16, -10).cast("long")
+    some = every.withColumn("short", short).join(twice, "short", "left_semi").drop("short")
     some = keep(some, "repeated-runs")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "twin", "start")
     firsts = some.groupBy("span").agg(F.min(place).alias("first"))
