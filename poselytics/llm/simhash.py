@@ -3,8 +3,8 @@
 Equal fingerprints are one class, so copies never meet each other. Distinct
 fingerprints are dealt to shards such that any two within the radius share one: the
 64 bits are cut into radius + 1 blocks, one of which must be equal, and a shard
-is a block with its value. A shard that many fingerprints share is cut again,
-on its remaining bits, as often as it takes. Each shard's BK-tree is built
+is a block with its value. A shard that many fingerprints share is cut again
+on its remaining bits. Each shard's BK-tree is built
 where its members are and walked with all of them at once, following only edges
 within the radius. A broadcast tree over all fingerprints would grow with the
 data and, at a radius of 4 of 64 bits, prune next to nothing.
@@ -15,13 +15,12 @@ components put the forests together.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poselytics.llm.common import free_name, keep, text_of
@@ -122,57 +121,36 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(mark, schema + "fp long")
 
 
-def _blocks(bits: list[int], n: int) -> list[list[int]]:
-    size, more = divmod(len(bits), n)
-    out, at = [], 0
-    for k in range(n):
-        end = at + size + (k < more)
-        out.append(bits[at:end])
-        at = end
-    return out
-
-
-def _masks(bits: list[int], n: int) -> list[tuple[int, list[int]]]:
-    """For each block of ``bits``: its mask (as a signed long) and the bits that are left."""
+def _masks(bits: list[int], radius: int) -> list[tuple[int, list[int]]]:
+    """``bits`` in radius + 1 blocks: the mask of each (a signed long) and the bits outside it."""
     found = []
-    for block in _blocks(bits, n):
+    for k in range(radius + 1):
+        block = bits[k * len(bits) // (radius + 1) : (k + 1) * len(bits) // (radius + 1)]
         mask = sum(1 << b for b in block)
         found.append((mask - (1 << 64) if mask >> 63 else mask, [b for b in bits if b not in block]))
     return found
 
 
 def _shards(prints: DataFrame, radius: int, limit: int) -> DataFrame:
-    """fp, mask, value: every shard of every fingerprint; none but the last cut holds over ``limit``."""
-    done: DataFrame | None = None
-    here = prints.select("fp", F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("value"))
-    cuts: dict[int, list[int]] = {0: list(range(64))}
-    while True:
-        options: list[Column] = []
-        below: dict[int, list[int]] = {}
-        for mask, bits in cuts.items():
-            if not bits:
-                continue
-            masks = []
-            for part, rest in _masks(bits, radius + 1):
-                if part:
-                    masks.append(part | mask)
-                    below[part | mask] = rest
-            options.append(F.when(F.col("mask") == mask, F.array(*[F.lit(m).cast("long") for m in masks])))
-        if not options:
-            return here if done is None else done.union(here)
-        cut = here.select("fp", F.explode(F.coalesce(*options)).alias("mask"))
-        cut = cut.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
-        full = cut.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > limit)
-        full = keep(full.select("mask", "value"), "full-shards")
-        found = {row["mask"] for row in full.select("mask").distinct().collect()}  # at most one per cut
-        small = cut if not found else cut.join(full, ["mask", "value"], "left_anti")
-        done = small if done is None else done.union(small)
-        if not found:
-            return done
-        here = keep(cut.join(full, ["mask", "value"], "left_semi").select("fp", "mask", "value"), "full-shards")
-        cuts = {mask: bits for mask, bits in below.items() if mask in found}
-        if all(not bits for bits in cuts.values()):
-            return done.union(here)
+    """fp, mask, value: the shards of every fingerprint.
+
+    Shards over ``limit`` are cut once more. What is still over it then agrees in a third of
+    all bits or more and is one family of near copies, which further cuts would only repeat.
+    """
+    masks = _masks(list(range(64)), radius)
+    first = prints.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m, _ in masks])).alias("mask"))
+    first = first.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+    full = first.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    full = keep(full.select("mask", "value"), "full-shards")
+    if full.isEmpty():
+        return first
+    within = [
+        F.when(F.col("mask") == m, F.array(*[F.lit(m | part).cast("long") for part, _ in _masks(rest, radius)]))
+        for m, rest in masks
+    ]
+    second = first.join(full, ["mask", "value"], "left_semi").select("fp", F.explode(F.coalesce(*within)).alias("mask"))
+    second = second.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+    return first.join(full, ["mask", "value"], "left_anti").select("fp", "mask", "value").union(second)
 
 
 def link(prints: DataFrame, radius: int = RADIUS, limit: int = SHARD) -> DataFrame:
@@ -187,7 +165,7 @@ def link(prints: DataFrame, radius: int = RADIUS, limit: int = SHARD) -> DataFra
         b: list[int] = []
 
         def close() -> None:
-            values = np.concatenate(held)
+            values = np.unique(np.concatenate(held))
             if len(values) > 1:
                 for x, y in forest(values.view(np.uint64), radius):
                     a.append(int(values[x]))

@@ -2,7 +2,8 @@
 
 Every run of consecutive sentences is hashed: from each sentence on, the fewest
 (two at least) that have the wanted number of words, or the whole of a text that has
-fewer. Of equal runs anywhere, the first (by doc_id and place) stays; sentences that
+fewer; and back from the end of each line in the same way, so that a repeated
+passage is covered to its last sentence. Of equal runs anywhere, the first (by doc_id and place) stays; sentences that
 any other one covers go. Only hashes are joined: a first pass finds those
 that occur twice, a second one asks for the places of these alone.
 """
@@ -13,23 +14,41 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poselytics.llm.common import BROADCAST_BYTES, keep, lower_ascii, text_of, without
+from poselytics.llm.common import keep, lower_ascii, text_of, without
 
 MIN_SENTENCES = 2
 MIN_WORDS = 15
+LONG = 24
 
+_WORD = re.compile(r"\S+")
 _SENTENCE = re.compile(r"[^\s](?:[^.!?\n]|[.!?]+(?![\s.!?]|$))*(?:[.!?]+|(?=\n)|$)")
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
-    """Start and end of each sentence: up to closing marks before white space, or to the end of the line."""
-    return [m.span() for m in _SENTENCE.finditer(text or "")]
+    """Start and end of each sentence: up to closing marks before white space, or to the end of the line.
+
+    One of more than ``LONG`` words counts as several: it is cut after a comma or semicolon eight words or
+    more behind the last cut, and after ``LONG`` words at the latest.
+    """
+    found = []
+    for m in _SENTENCE.finditer(text or ""):
+        start, end = m.span()
+        if end - start <= 2 * LONG or len(words := list(_WORD.finditer(text, start, end))) <= LONG:
+            found.append((start, end))
+            continue
+        n = 0
+        for k, word in enumerate(words):
+            n += 1
+            if k + 1 < len(words) and (n >= LONG or (n >= 8 and word[0][-1] in ",;")):
+                found.append((start, word.end()))
+                start, n = words[k + 1].start(), 0
+        found.append((start, end))
+    return found
 
 
 def runs(text: str | None, min_words: int = MIN_WORDS) -> tuple[list[tuple[int, int]], list[tuple[int, int, bytes]]]:
@@ -53,33 +72,37 @@ def runs(text: str | None, min_words: int = MIN_WORDS) -> tuple[list[tuple[int,
         if not full:
             break
         words -= counts[start]
+    forward = {(start, stop) for start, stop, _ in found}
+    for last in range(len(parts)):
+        after = spots[last + 1][0] if last + 1 < len(parts) else len(text)
+        if last + 1 < len(parts) and "\n" not in text[spots[last][1] : after]:
+            continue
+        start, words = last, counts[last]
+        while start and (words < min_words or last + 1 - start < MIN_SENTENCES):
+            start -= 1
+            words += counts[start]
+        full = words >= min_words and last + 1 - start >= MIN_SENTENCES
+        if full and (start, last + 1) not in forward:
+            found.append((start, last + 1, xxhash.xxh3_128_digest(" ".join(parts[start : last + 1]))))
     return spots, found
 
 
-def _runs_of(docs: DataFrame, min_words: int, wanted=None) -> DataFrame:
-    """doc_id, twin, start, stop, span: all runs, or those whose short hash is in the sorted array ``wanted``."""
+def _runs_of(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, twin, start, stop, span and its first half as a number, of all runs."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = None if wanted is None else wanted.value
+        names = ["doc_id", "twin", "start", "stop", "span", "short"]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, twin, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = runs(text, min_words)[1]
-                if only is not None and found:
-                    short = np.array([_short(r[2]) for r in found], dtype=np.int64)
-                    at = np.searchsorted(only, short)
-                    hit = (at < len(only)) & (only[np.minimum(at, len(only) - 1)] == short) if len(only) else short != short
-                    found = [r for r, h in zip(found, hit.tolist(), strict=True) if h]
-                for start, stop, span in found:
-                    for column, value in zip(out, (doc, twin, start, stop, span), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
-                names=["doc_id", "twin", "start", "stop", "span"],
-            )
-
-    return docs.mapInArrow(emit, "doc_id long, twin long, start int, stop int, span binary")
+            rows = [
+                (doc, twin, start, stop, span, _short(span))
+                for doc, twin, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                for start, stop, span in runs(text, min_words)[1]
+            ]
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return docs.mapInArrow(emit, "doc_id long, twin long, start int, stop int, span binary, short long")
 
 
 def _short(span: bytes) -> int:
@@ -100,17 +123,14 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     ``docs``: doc_id, twin (tells rows of the same id apart), text without nulls.
     """
-    spark = docs.sparkSession
     twice = keep(
         _short_hashes(docs, min_words).groupBy("short").agg(F.count("*").alias("n")).where("n > 1").select("short"),
         "repeated-hashes",
     )
     # the hashes of a large corpus fit neither a worker nor the driver, so the runs are joined with them
-    every = _runs_of(docs, min_words)
-    short = F.conv(F.hex(F.reverse(F.substring("span", 1, 8))), 16, -10).cast("long")
-    some = every.withColumn("short", short).join(twice, "short", "left_semi").drop("short")
+    some = _runs_of(docs, min_words).join(twice, "short", "left_semi").drop("short")
     some = keep(some, "repeated-runs")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "twin", "start")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "twin", "start", "stop")
     firsts = some.groupBy("span").agg(F.min(place).alias("first"))
     return (
         some.join(firsts, "span")
