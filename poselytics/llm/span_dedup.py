@@ -131,7 +131,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     some = _runs_of(docs, min_words).join(twice, "short", "left_semi").drop("short")
     some = keep(some, "repeated-runs")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "twin", "start", "stop")
-    firsts = some.groupBy("span").agg(F.min(place).alias("first"))
+    # written, so that both sides of the join are plain exchanges and a run that many texts share is split
+    firsts = keep(some.groupBy("span").agg(F.min(place).alias("first")), "first-runs")
     return (
         some.join(firsts, "span")
         .where(~(place == F.col("first")))
