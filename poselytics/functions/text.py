@@ -116,23 +116,32 @@ def score_prompts(
 ) -> DataFrame:
     """Add ``reply``: a caller-supplied batch function over the prompts.
 
-    Without a scorer the frame is returned as it is. Rows without a prompt, and
-    batches whose scorer fails, get NULL.
+    Without a scorer the frame is returned as it is. Rows without a prompt get
+    NULL, and so do those whose prompt fails when it is asked by itself.
     """
     if scorer is None:
         return df
     schema = StructType(list(df.schema.fields)).add("reply", StringType())
 
+    def alone(one: pd.Series) -> str | None:
+        try:
+            return list(scorer(one, language))[0]
+        except Exception as error:  # noqa: BLE001
+            print(f"scorer failed on a prompt: {error}")
+            return None
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch["reply"] = None
             asked = batch[prompt].notna()
             if asked.any():
+                prompts = batch.loc[asked, prompt]
                 try:
-                    replies = scorer(batch.loc[asked, prompt], language)
-                    batch.loc[asked, "reply"] = list(replies)
-                except Exception as error:  # noqa: BLE001 - a failing model must not fail the job
-                    print(f"scorer failed on {int(asked.sum())} prompts: {error}")
+                    replies = list(scorer(prompts, language))
+                except Exception:  # noqa: BLE001 - a failing model must not fail the job
+                    # one prompt may be to blame, so each is asked by itself
+                    replies = [alone(prompts.iloc[[k]]) for k in range(len(prompts))]
+                batch.loc[asked, "reply"] = replies
             yield batch
 
     return df.mapInPandas(score, schema)
