@@ -12,7 +12,15 @@ from poselytics.functions.angles import nan_to_null
 
 _COMPARE = {ast.Lt: "<", ast.LtE: "<=", ast.Gt: ">", ast.GtE: ">=", ast.Eq: "="}
 
-_ARITHMETIC = {ast.Add: "{0} + {1}", ast.Sub: "{0} - {1}", ast.Mult: "{0} * {1}", ast.Div: "try_divide({0}, {1})"}
+_ARITHMETIC = {
+    ast.Add: "{0} + {1}",
+    ast.Sub: "{0} - {1}",
+    ast.Mult: "{0} * {1}",
+    ast.Div: "try_divide({0}, {1})",
+    # the sign of a remainder is the divisor's
+    ast.Mod: "(try_mod({0}, {1}) + CASE WHEN try_mod({0}, {1}) * sign({1}) < 0 THEN {1} ELSE double('0') END)",
+    ast.Pow: "power({0}, {1})",
+}
 
 
 def sql_string(text: str) -> str:
@@ -33,7 +41,7 @@ def condition_sql(text: str, angle_of: Callable[[str], str]) -> str:
     """Compile a catalog condition such as ``a <= 110 and a > 70`` to a boolean SQL expression.
 
     ``angle_of`` gives the expression of an angle, NULL for NaN. Only angle names,
-    numbers, comparisons, ``and/or/not`` and ``+ - * /`` are accepted, so catalog
+    numbers, comparisons, ``and/or/not`` and ``+ - * / % **`` are accepted, so catalog
     text can never run code. A comparison with a NaN or an absent angle is false.
     """
 

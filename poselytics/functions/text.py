@@ -12,9 +12,32 @@ from pyspark.sql.types import StringType, StructType
 from poselytics.schema import ANALYSIS
 
 
-def _fixed(value: Column, digits: int) -> Column:
-    """Fixed-point text; ties go to the even digit."""
-    return F.format_string(f"%.{digits}f", F.bround(value, digits))
+def fixed_text(value: Column, digits: int) -> Column:
+    """Fixed-point text of a double of at most 10^15, with one or two digits.
+
+    The exact binary value is rounded, so 0.615, which lies just below the tie, gives 0.61; true ties
+    go to the even digit. The fraction is taken in units of 2^-60: it has no finer bits
+    unless it is too small to reach the first tie.
+    """
+    scale = 10**digits
+    size = F.abs(value)
+    whole = F.floor(size)
+    fraction = ((size - whole) * F.lit(float(1 << 60))).cast("long")
+
+    # times 10^digits in two halves of 30 bits: low are the digits to keep, rest is cut off
+    bits = F.lit((1 << 30) - 1)
+    lower = fraction.bitwiseAND(bits) * F.lit(scale)
+    upper = F.shiftright(fraction, 30) * F.lit(scale) + F.shiftright(lower, 30)
+    low = F.shiftright(upper, 30)
+    rest = F.shiftleft(upper.bitwiseAND(bits), 30) + lower.bitwiseAND(bits)
+    tie = F.lit(1 << 59)
+    kept = low + ((rest > tie) | ((rest == tie) & (low % 2 == 1))).cast("long")
+    text = F.concat(
+        (whole + (kept == scale).cast("long")).cast("string"),
+        F.lit("."),
+        F.lpad((kept % F.lit(scale)).cast("string"), digits, "0"),
+    )
+    return F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
 
 def timeline_text(windows: Column) -> Column:
@@ -24,14 +47,14 @@ def timeline_text(windows: Column) -> Column:
         lines = F.transform(
             w["feedback"],
             lambda f: F.concat(
-                F.lit("- "), f["id"], F.lit(" (persistence: "), _fixed(f["frame_ratio"], 2), F.lit(")")
+                F.lit("- "), f["id"], F.lit(" (persistence: "), fixed_text(f["frame_ratio"], 2), F.lit(")")
             ),
         )
         return F.concat(
             F.lit("Time "),
-            _fixed(w["start_us"] / F.lit(1e6), 1),
+            fixed_text(w["start_us"] / F.lit(1e6), 1),
             F.lit("-"),
-            _fixed(w["end_us"] / F.lit(1e6), 1),
+            fixed_text(w["end_us"] / F.lit(1e6), 1),
             F.lit("s:\n"),
             F.array_join(lines, "\n"),
         )
@@ -49,7 +72,7 @@ def summary_text(issues: Column) -> Column:
                 F.lit("- "),
                 i["id"],
                 F.lit(": occurred in "),
-                _fixed(i["window_ratio"] * F.lit(100.0), 1),
+                fixed_text(i["window_ratio"] * F.lit(100.0), 1),
                 F.lit("% of exercise time"),
             ),
         ),

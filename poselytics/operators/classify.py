@@ -16,7 +16,7 @@ from poselytics.functions.rules import (
     up_to_first_critical,
     violated_rules,
 )
-from poselytics.sources.catalog import Catalog, LevelRules
+from poselytics.sources.catalog import MAX_BYTES, Catalog, LevelRules
 
 # replay order inside a session: epoch ms, ties by frame id, then full precision
 ORDER = ["ts_ms", "frame_track_uuid", "ts_us"]
@@ -109,21 +109,24 @@ def _first_state(rules: LevelRules, angle_of: Callable[[str], str]) -> str:
 def _violations(
     rules: LevelRules, angle_of: Callable[[str], str], stop_at_critical: bool
 ) -> tuple[str, str]:
-    """Feedback ids of the broken rules in order, and whether one was critical."""
+    """Feedback ids of the broken rules in order, and the place of the first broken critical one.
+
+    The ids read that place as ``_stop``, so the text grows with the rules and no faster.
+    """
     ids, critical = [_NO_IDS], []
-    for name, low, high, feedback_id, is_critical in rules.thresholds:
+    for place, (name, low, high, feedback_id, is_critical) in enumerate(rules.thresholds):
         value = angle_of(name)
         bounds = [f"{value} {sign} {sql_double(b)}" for sign, b in (("<", low), (">", high)) if b is not None]
         broken = " OR ".join(f"coalesce({b}, false)" for b in bounds) or "false"
-        if stop_at_critical and critical:
-            broken = f"({broken}) AND NOT ({' OR '.join(critical)})"
-        ids.append(_case([(broken, f"array({sql_string(feedback_id)})")], _NO_IDS))
+        counted = f"({broken}) AND coalesce(_stop >= {place}, true)" if stop_at_critical and critical else broken
+        ids.append(_case([(counted, f"array({sql_string(feedback_id)})")], _NO_IDS))
         if is_critical:
-            critical.append(f"({broken})")
-    return f"concat({', '.join(ids)})", " OR ".join(critical) or "false"
+            critical.append((broken, str(place)))
+    return f"concat({', '.join(ids)})", _case(critical, _NO_PLACE)
 
 
 _NO_IDS = "CAST(array() AS ARRAY<STRING>)"
+_NO_PLACE = "CAST(NULL AS INT)"
 
 
 def _compiled(
@@ -174,12 +177,13 @@ def _compiled(
             "*",
             _case([("_good", per_set(lambda r: _first_state(r, angle_of), "NULL"))], "CAST(NULL AS STRING)") + " AS state",
         )
+        .selectExpr("*", _case([(checked, per_set(lambda r: pairs[r][1], _NO_PLACE))], _NO_PLACE) + " AS _stop")
         .selectExpr(
             *[f"`{c}`" for c in compact.columns],
             "bad_posture",
             "state",
             _case([(checked, per_set(lambda r: pairs[r][0], _NO_IDS))], _NO_IDS) + " AS feedback_ids",
-            _case([(checked, per_set(lambda r: pairs[r][1], "false"))], "false") + " AS critical",
+            "_stop IS NOT NULL AS critical",
             "reject_reason",
         )
     )
@@ -274,5 +278,7 @@ def frame_violations(classified: DataFrame) -> DataFrame:
 
 def with_messages(violations: DataFrame, catalog: Catalog) -> DataFrame:
     """Attach message text and severity; unknown ids keep NULLs."""
-    messages = F.broadcast(catalog.feedback_messages.withColumnRenamed("id", "feedback_id"))
+    messages = catalog.feedback_messages.withColumnRenamed("id", "feedback_id")
+    if catalog.n_bytes <= MAX_BYTES:
+        messages = F.broadcast(messages)
     return violations.join(messages, ["exercise", "feedback_id"], "left")

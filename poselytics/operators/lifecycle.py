@@ -27,10 +27,12 @@ class LifecycleState:
     epoch: int
     last_us: int
     completed_us: int | None  # first completing frame of the instance
-    exercise: str  # of the session's first frame
+    exercise: str  # of the instance's first frame
     level: int
 
-    def step(self, ts: int, complete: bool, timeout: int, grace: int, ttl: int) -> None:
+    def step(
+        self, ts: int, complete: bool, exercise: str, level: int, timeout: int, grace: int, ttl: int
+    ) -> None:
         """Move on to a frame (times in microseconds). Batch and streaming share this."""
         gap = ts - self.last_us
         self.last_us = ts
@@ -40,10 +42,18 @@ class LifecycleState:
         if gap > timeout or (completed is not None and ts > completed + grace):
             self.instance += 1
             self.completed_us = completed = None
+            self.exercise, self.level = exercise, level
         if complete and completed is None:
             self.completed_us = ts
 
 
+#: Exercise and level of the frame that opened an instance.
+_Kind = tuple[str, int]
+
+#: Completion pending at the end, instances opened on the way, and the kind of the last of them.
+_Exit = tuple[int | None, int, _Kind | None]
+
+
 class _Transfer(NamedTuple):
     first_us: int
     last_us: int
@@ -51,11 +61,13 @@ class _Transfer(NamedTuple):
     level: int
     epochs: int
     completing: list[int]  # running max time at completing frames, ascending
-    exits: list[tuple[int | None, int]]
+    exits: list[_Exit]
     truncated: bool
+    opening: list[int]  # running max time at the last frame of each run of one kind, ascending
+    kinds: list[_Kind]
     latest: int  # running max time at the end of the leading block
-    idle: tuple[int | None, int]  # exit when no completion is pending at entry
-    tail: tuple[int | None, int] | None  # from the first long gap on
+    idle: _Exit  # exit when no completion is pending at entry
+    tail: _Exit | None  # from the first long gap on
 
 
 class LifecycleMachine:
@@ -93,21 +105,16 @@ class LifecycleMachine:
             state = LifecycleState(0, 0, times[0], None, rows["exercise"][lo], rows["level"][lo])
         else:
             state = replace(state)
-        instances, epochs, completed = [], [], []
-        for ts, done in zip(times, complete):
-            state.step(ts, done, self.timeout, self.grace, self.ttl)
+        instances, epochs, completed, exercises, levels = [], [], [], [], []
+        for ts, done, exercise, level in zip(times, complete, rows["exercise"][lo:hi], rows["level"][lo:hi]):
+            state.step(ts, done, exercise, level, self.timeout, self.grace, self.ttl)
             instances.append(state.instance)
             epochs.append(state.epoch)
             completed.append(state.completed_us)
+            exercises.append(state.exercise)
+            levels.append(state.level)
         if out is not None:
-            added = (
-                instances,
-                epochs,
-                previous,
-                completed,
-                [state.exercise] * len(times),
-                [state.level] * len(times),
-            )
+            added = (instances, epochs, previous, completed, exercises, levels)
             for (name, _), values in zip(self.outputs, added):
                 out[name].extend(values)
         return state
@@ -122,23 +129,25 @@ class LifecycleMachine:
         if end < len(times):
             start = LifecycleState(0, 0, int(times[end - 1]), None, "", 0)
             left = self.run(start, rows, end, len(times), None)
-            tail = (left.completed_us, left.instance)
+            tail = (left.completed_us, left.instance, (left.exercise, left.level))
         highs = np.maximum.accumulate(times[:end])
         marks = np.flatnonzero(complete[:end])
-        exits: list[tuple[int | None, int]] = [(None, 0)] * len(marks)
+        exits: list[_Exit] = [(None, 0, None)] * len(marks)
         # the frame that re-opens the session, and the next completion from there on
         reopen = np.searchsorted(highs, times[marks] + self.grace, side="right")
         following = np.searchsorted(marks, reopen).tolist()
         for k in range(len(marks) - 1, -1, -1):
             if reopen[k] == end:
-                exits[k] = (int(times[marks[k]]), 0)
-            elif following[k] == len(marks):
-                exits[k] = (None, 1)
+                exits[k] = (int(times[marks[k]]), 0, None)
+                continue
+            opened = rows["exercise"][reopen[k]], rows["level"][reopen[k]]
+            if following[k] == len(marks):
+                exits[k] = (None, 1, opened)
             else:
-                completed, splits = exits[following[k]]
-                exits[k] = (completed, splits + 1)
+                completed, splits, last = exits[following[k]]
+                exits[k] = (completed, splits + 1, last or opened)
         completing: list[int] = []
-        kept: list[tuple[int | None, int]] = []
+        kept: list[_Exit] = []
         truncated = False
         for high, left in zip(highs[marks].tolist(), exits):
             if kept and kept[-1] == left:
@@ -150,6 +159,7 @@ class LifecycleMachine:
                 break
             completing.append(high)
             kept.append(left)
+        opening, kinds = self._openings(rows, highs)
         return _Transfer(
             int(times[0]),
             int(times[-1]),
@@ -159,35 +169,60 @@ class LifecycleMachine:
             completing,
             kept,
             truncated,
+            opening,
+            kinds,
             int(highs[-1]),
-            exits[0] if exits else (None, 0),
+            exits[0] if exits else (None, 0, None),
             tail,
         )
 
+    @staticmethod
+    def _openings(rows, highs: np.ndarray) -> tuple[list[int], list[_Kind]]:
+        """What the frame that first goes beyond a time is of; only frames later than all before can be it."""
+        later = np.flatnonzero(np.diff(highs, prepend=highs[0] - 1) > 0).tolist()
+        opening: list[int] = []
+        kinds: list[_Kind] = []
+        for at in later:
+            kind = rows["exercise"][at], rows["level"][at]
+            if kinds and kinds[-1] == kind:
+                opening[-1] = int(highs[at])
+                continue
+            if len(kinds) == MAX_PIECES:
+                break
+            opening.append(int(highs[at]))
+            kinds.append(kind)
+        return opening, kinds
+
     def apply(self, transfer: _Transfer, state: LifecycleState | None) -> LifecycleState | None:
         t = transfer
         if state is None:
             state = LifecycleState(0, 0, t.first_us, None, t.exercise, t.level)
         instance, epoch, completed = state.instance, state.epoch, state.completed_us
+        kind = state.exercise, state.level
         gap = t.first_us - state.last_us
         epoch += t.epochs + (gap > self.ttl)
         if gap > self.timeout:
-            instance, completed = instance + 1, None
+            instance, completed, kind = instance + 1, None, (t.exercise, t.level)
+        opened = None
         if completed is None:
-            completed, splits = t.idle
+            completed, splits, opened = t.idle
         elif t.latest <= completed + self.grace:
             splits = 0
         else:
+            first = bisect_right(t.opening, completed + self.grace)
+            if first == len(t.kinds):
+                return None
             piece = bisect_right(t.completing, completed + self.grace)
             if piece == len(t.exits) and t.truncated:
                 return None
-            completed, splits = t.exits[piece] if piece < len(t.exits) else (None, 0)
-            splits += 1
+            completed, splits, opened = t.exits[piece] if piece < len(t.exits) else (None, 0, None)
+            splits, opened = splits + 1, opened or t.kinds[first]
         instance += splits
+        kind = opened or kind
         if t.tail is not None:
-            completed, more = t.tail
+            completed, more, kind = t.tail
             instance += more
-        return LifecycleState(instance, epoch, t.last_us, completed, state.exercise, state.level)
+        return LifecycleState(instance, epoch, t.last_us, completed, *kind)
 
 
 def order_frames(compact: DataFrame, n_chunks: int | None = None) -> Chunked:

@@ -501,6 +501,12 @@ def oracle_sql() -> dict[str, str]:
             FRAMES,
             _life(timeout_s=5.0),
         ),
+        "reopened_exercise": _sql(
+            """SELECT session_uuid, session_instance, arg_min(event_type, rn) AS session_exercise
+               FROM tracked GROUP BY session_uuid, session_instance""",
+            FRAMES,
+            _life(timeout_s=5.0),
+        ),
         "session_reports": _trace(
             """SELECT session_uuid, session_instance,
                  CASE WHEN done THEN 'completed' ELSE 'timeout' END AS status,
@@ -524,6 +530,9 @@ def oracle_sql() -> dict[str, str]:
                  correct, total_windows FROM summary""",
             _windows(),
         ),
+        "share_text": """
+            SELECT event_id, printf('%.2f', share) AS share, printf('%.1f', share * 100.0) AS percent
+            FROM (SELECT event_id, (CAST(json_extract_string(props, '$.k') AS DOUBLE) * 2 + 1) / 200.0 AS share FROM events)""",
         "timeline_text": _trace(
             "SELECT session_uuid, session_instance, timeline FROM texts", _windows(), TEXTS
         ),

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poselytics.functions.text import parse_analysis, score_prompts, with_texts
+from poselytics.functions.text import fixed_text, parse_analysis, score_prompts, with_texts
 from poselytics.operators import buffer, feedback
 from poselytics.operators.classify import (
     classify,
@@ -382,6 +382,13 @@ def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_lifecycle(_tracked(spark, sf_dir, timeout_s=SHORT_TIMEOUT_S).df)
 
 
+def reopened_exercises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exercise of each session instance: that of the frame that opened it."""
+    ordered = order_frames(_compact(spark, sf_dir, None))
+    tracked = with_lifecycle(ordered, timeout_s=SHORT_TIMEOUT_S).df
+    return tracked.select("session_uuid", "session_instance", "session_exercise").distinct()
+
+
 def _flat_reports(reports: DataFrame) -> DataFrame:
     return reports.select(
         "session_uuid",
@@ -444,6 +451,15 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("session_uuid", "session_instance", "prompt")
 
 
+def share_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares such as 123/200 as text, most of them just beside a tie."""
+    events = configure(spark).read.parquet(f"{sf_dir}/events.parquet")
+    share = (F.get_json_object("props", "$.k").cast("double") * 2 + 1) / F.lit(200.0)
+    return events.select(
+        "event_id", fixed_text(share, 2).alias("share"), fixed_text(share * F.lit(100.0), 1).alias("percent")
+    )
+
+
 def stub_scorer(prompts: pd.Series, language: str) -> pd.Series:
     """Deterministic stand-in for a model; prompts of a length divisible by 5 get no JSON."""
 
@@ -561,9 +577,11 @@ QUERIES: dict[str, Query] = {
     "issue_tiers": issue_tiers,
     "exercise_summary": exercise_summary,
     "session_lifecycle": lifecycle,
+    "reopened_exercise": reopened_exercises,
     "session_reports": session_report_rows,
     "running_sessions": running_sessions,
     "report_messages": report_message_values,
+    "share_text": share_texts,
     "timeline_text": timeline_texts,
     "summary_text": summary_texts,
     "prompt": prompts,

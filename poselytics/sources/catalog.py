@@ -7,16 +7,16 @@ from functools import cached_property
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from poselytics.functions.rules import condition_angles
+from poselytics.functions.rules import condition_angles, condition_sql
 from poselytics.schema import CATALOG_DOC
 
 BUILTIN_FOLDER = Path(__file__).resolve().parent.parent / "resources" / "catalog"
 
 # a catalog is configuration: it is read to the driver and broadcast, so its size is checked
-MAX_DOCUMENTS = 10_000
+MAX_BYTES = 64 << 20
 
 _LEVELS = {"beginner": 0, "pro": 1}
 
@@ -144,39 +144,67 @@ class Catalog:
         )
 
     @cached_property
+    def n_bytes(self) -> int:
+        """Size of the documents as JSON."""
+        return self.documents.agg(F.sum(F.octet_length(F.to_json("doc"))).alias("n")).first()["n"] or 0
+
+    @property
     def rules(self) -> list[LevelRules]:
-        """Rules per (exercise, level), read to the driver behind a size check."""
-        documents = self.documents.take(MAX_DOCUMENTS + 1)
-        if len(documents) > MAX_DOCUMENTS:
-            raise ValueError(f"catalog has more than {MAX_DOCUMENTS} documents")
-        result = []
-        for exercise, doc in sorted((d.exercise, d.doc) for d in documents):
-            offset = next((a.name for a in doc.angles if "offset" in a.name), None)
-            for name, level in _LEVELS.items():
-                machine, limits = doc.state_machine.get(name), doc.thresholds.get(name)
-                # a level needs both its state machine and its thresholds
-                if machine is None or limits is None or not machine.success_sequence:
-                    continue
-                seconds = self.inactive_override_s
-                if seconds is None:
-                    seconds = limits.INACTIVE_THRESH
-                result.append(
-                    LevelRules(
-                        exercise,
-                        level,
-                        tuple((s.id, s.condition) for s in machine.states),
-                        tuple(machine.success_sequence),
-                        tuple(
-                            (angle, t.min, t.max, t.feedback, bool(t.critical))
-                            for angle, rules in limits.angle_thresh.items()
-                            for t in rules
-                        ),
-                        offset,
-                        limits.OFFSET_THRESH,
-                        round(seconds * 1_000_000),
-                    )
+        """Rules per (exercise, level) of the documents that are sound."""
+        return self._read[0]
+
+    @property
+    def invalid(self) -> dict[str, str]:
+        """Reason for each document whose rules cannot be used; its exercise counts as unknown."""
+        return self._read[1]
+
+    @cached_property
+    def _read(self) -> tuple[list[LevelRules], dict[str, str]]:
+        """Rules and reasons, read to the driver behind a size check."""
+        if self.n_bytes > MAX_BYTES:
+            raise ValueError(f"catalog has more than {MAX_BYTES} bytes")
+        rules: list[LevelRules] = []
+        invalid: dict[str, str] = {}
+        for row in sorted(self.documents.collect(), key=lambda d: d.exercise):
+            try:
+                rules += self._levels(row.exercise, row.doc)
+            except _BadDocument as error:
+                invalid[row.exercise] = str(error)
+        return rules, invalid
+
+    def _levels(self, exercise: str, doc: Row) -> list[LevelRules]:
+        names = [a and a.name for a in doc.angles]
+        if None in names:
+            raise _BadDocument("an angle has no name")
+        offset = next((n for n in names if "offset" in n), None)
+        found = []
+        for name, level in _LEVELS.items():
+            machine, limits = doc.state_machine.get(name), doc.thresholds.get(name)
+            # a level needs both its state machine and its thresholds
+            if machine is None or limits is None or not machine.success_sequence:
+                continue
+            seconds = limits.INACTIVE_THRESH if self.inactive_override_s is None else self.inactive_override_s
+            if seconds is None:
+                raise _BadDocument(f"{name}: INACTIVE_THRESH is missing")
+            if offset is not None and limits.OFFSET_THRESH is None:
+                raise _BadDocument(f"{name}: OFFSET_THRESH is missing")
+            found.append(
+                LevelRules(
+                    exercise,
+                    level,
+                    tuple(_state(name, s) for s in machine.states or []),
+                    tuple(machine.success_sequence),
+                    tuple(
+                        _threshold(name, angle, t)
+                        for angle, rules in (limits.angle_thresh or {}).items()
+                        for t in rules or []
+                    ),
+                    offset,
+                    limits.OFFSET_THRESH,
+                    round(seconds * 1_000_000),
                 )
-        return result
+            )
+        return found
 
     def rule_table(self) -> DataFrame:
         """One row per (exercise, level), small enough to broadcast."""
@@ -194,6 +222,26 @@ class Catalog:
         return self.documents.sparkSession.createDataFrame(pa.Table.from_pylist(rows, _RULE_ROW))
 
 
+class _BadDocument(Exception):
+    """Why a document's rules cannot be used."""
+
+
+def _state(level: str, state: Row | None) -> tuple[str, str]:
+    if state is None or state.id is None or state.condition is None:
+        raise _BadDocument(f"{level}: a state lacks its id or condition")
+    try:
+        condition_sql(state.condition, lambda angle: "NULL")
+    except (ValueError, SyntaxError) as error:
+        raise _BadDocument(f"{level}: {error}") from error
+    return state.id, state.condition
+
+
+def _threshold(level: str, angle: str, rule: Row | None) -> tuple[str, float | None, float | None, str, bool]:
+    if rule is None or rule.feedback is None:
+        raise _BadDocument(f"{level}: a rule of {angle} has no feedback")
+    return angle, rule.min, rule.max, rule.feedback, bool(rule.critical)
+
+
 def _level() -> object:
     level = F.lit(None).cast("int")
     for name, number in _LEVELS.items():

@@ -201,7 +201,7 @@ class SessionProcessor(StatefulProcessor):
         else:
             life = record.life
             instance, epoch, completed = life.instance, life.epoch, life.completed_us
-            life.step(ts, complete, self.timeout, self.grace, self.ttl)
+            life.step(ts, complete, exercise, level, self.timeout, self.grace, self.ttl)
             if life.instance != instance and not record.reported:
                 self._report(record, session, events, instance, completed)
             if (life.instance, life.epoch) != (instance, epoch):

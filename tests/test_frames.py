@@ -107,6 +107,9 @@ def test_large_catalogs_classify_alike(spark, monkeypatch, stop):
         ("a != 2", [False, True, True]),
         ("a + b / 2 >= 2.5 or a == 0", [True, True, False]),
         ("-a < -1", [True, False, False]),
+        ("a % 3 == 2", [True, False, False]),
+        ("(a - 3) % 5 == 4", [True, False, False]),
+        ("(b - 4) % -3 > -2 and a ** 2 >= 0", [True, False, False]),
     ],
 )
 def test_condition_text(spark, text, expected):
