@@ -347,6 +347,15 @@ def session_trace(tracked: Chunked, catalog: Catalog, window_s: float = WINDOW_S
     return ordered_scan(tracked.then(judged), KEYS, machine).df
 
 
+def trace_rejects(tracked: Chunked, catalog: Catalog) -> DataFrame:
+    """Frames that the trace leaves out, with ``reject_reason``; judged by the exercise the fold goes by."""
+    leveled = tracked.df.withColumn("level", F.col("session_level"))
+    judged = classify(leveled, catalog, exercise="session_exercise", keep_rejects=True)
+    return judged.filter(F.col("reject_reason").isNotNull()).select(
+        "session_uuid", "session_instance", "frame_track_uuid", "session_exercise", "reject_reason"
+    )
+
+
 def rep_events(trace: DataFrame) -> DataFrame:
     """Every completed repetition, whether or not a later reset discarded it."""
     return trace.filter(F.col("rep").isNotNull()).select(

@@ -28,6 +28,7 @@ from poselytics.operators.session_fold import (
     reset_events,
     session_states,
     session_trace,
+    trace_rejects,
 )
 from poselytics.session import configure, materialise
 from poselytics.sources.catalog import Catalog
@@ -69,6 +70,11 @@ class SessionAnalysis:
     def trace(self) -> DataFrame:
         return materialise(session_trace(self.tracked, self.catalog, self.window_s))
 
+    @property
+    def rejects(self) -> DataFrame:
+        """Frames without rules or without an angle these need; with ``trace`` they are all frames."""
+        return trace_rejects(self.tracked, self.catalog)
+
     @property
     def lifecycle(self) -> DataFrame:
         return session_lifecycle(self.tracked.df)

@@ -501,6 +501,15 @@ def oracle_sql() -> dict[str, str]:
             FRAMES,
             _life(timeout_s=5.0),
         ),
+        "analysis_rejects": _sql(
+            """SELECT session_uuid, session_instance, frame_track_uuid, opened AS session_exercise,
+                 'unknown_exercise' AS reject_reason
+               FROM (SELECT *, first_value(event_type) OVER (
+                       PARTITION BY session_uuid, session_instance ORDER BY rn) AS opened FROM tracked)
+               WHERE opened NOT IN ('click', 'view')""",
+            FRAMES,
+            _life(timeout_s=5.0),
+        ),
         "reopened_exercise": _sql(
             """SELECT session_uuid, session_instance, arg_min(event_type, rn) AS session_exercise
                FROM tracked GROUP BY session_uuid, session_instance""",

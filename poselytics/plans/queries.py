@@ -389,6 +389,16 @@ def reopened_exercises(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracked.select("session_uuid", "session_instance", "session_exercise").distinct()
 
 
+def analysis_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two event types have rules; instances opened by another are rejected."""
+    frames = events_frames(configure(spark), sf_dir, None)
+    known = F.when(F.col("exercise").isin("click", "view"), F.lit("dumbbell-arm")).otherwise(F.col("exercise"))
+    renamed = frames.withColumn("exercise", known)
+    return SessionAnalysis(
+        renamed, builtin_catalog(spark), F.col("level"), dedup=False, timeout_s=SHORT_TIMEOUT_S
+    ).rejects
+
+
 def _flat_reports(reports: DataFrame) -> DataFrame:
     return reports.select(
         "session_uuid",
@@ -578,6 +588,7 @@ QUERIES: dict[str, Query] = {
     "exercise_summary": exercise_summary,
     "session_lifecycle": lifecycle,
     "reopened_exercise": reopened_exercises,
+    "analysis_rejects": analysis_rejects,
     "session_reports": session_report_rows,
     "running_sessions": running_sessions,
     "report_messages": report_message_values,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from poselytics.functions.text import fixed_text
 from poselytics.operators import classify as classify_module
 from poselytics.operators.classify import _violations, classify, compact_frames, rule_rejects
+from poselytics.plans.analysis import SessionAnalysis
 from poselytics.sources.catalog import BUILTIN_FOLDER, LevelRules, catalog_from_documents
 from poselytics.sources.events import events_frames
 from tests.conftest import SMALL
@@ -50,6 +51,16 @@ def test_bad_documents_leave_the_others_alone(spark):
     assert rule_rejects(compact, catalog).count() == compact.count() - clicks
 
 
+@pytest.mark.parametrize("chunks", [1, 7])
+def test_no_frame_is_lost(spark, chunks):
+    catalog = catalog_from_documents(spark, {"click": json.dumps(GOOD), "view": json.dumps(GOOD)})
+    frames = events_frames(spark, SMALL, None)
+    found = SessionAnalysis(frames, catalog, F.col("level"), dedup=False, timeout_s=2.0, n_chunks=chunks)
+    kept, rejected = found.trace.count(), found.rejects.count()
+    assert kept > 0 and rejected > 0 and kept + rejected == frames.count()
+    assert found.rejects.filter("reject_reason <> 'unknown_exercise'").isEmpty()
+
+
 @pytest.mark.parametrize("stop", [True, False])
 def test_many_critical_rules(spark, monkeypatch, stop):
     doc = copy.deepcopy(GOOD)
