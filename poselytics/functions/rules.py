@@ -3,80 +3,123 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from poselytics.functions.angles import nan_to_null
 
-_COMPARE = {ast.Lt: "<", ast.LtE: "<=", ast.Gt: ">", ast.GtE: ">=", ast.Eq: "="}
+# what a comparison says of a left side that is less, equal, greater, or has no order (NaN)
+_COMPARE = {
+    ast.Lt: (True, False, False, False),
+    ast.LtE: (True, True, False, False),
+    ast.Gt: (False, False, True, False),
+    ast.GtE: (False, True, True, False),
+    ast.Eq: (False, True, False, False),
+    ast.NotEq: (True, False, True, True),
+}
 
 _ARITHMETIC = {
-    ast.Add: "{0} + {1}",
-    ast.Sub: "{0} - {1}",
-    ast.Mult: "{0} * {1}",
-    ast.Div: "try_divide({0}, {1})",
+    "Add": "{0} + {1}",
+    "Sub": "{0} - {1}",
+    "Mult": "{0} * {1}",
+    "Div": "try_divide({0}, {1})",
     # the sign of a remainder is the divisor's
-    ast.Mod: "(try_mod({0}, {1}) + CASE WHEN try_mod({0}, {1}) * sign({1}) < 0 THEN {1} ELSE double('0') END)",
-    ast.Pow: "power({0}, {1})",
+    "Mod": "(try_mod({0}, {1}) + CASE WHEN try_mod({0}, {1}) * sign({1}) < 0 THEN {1} ELSE double('0') END)",
+    "Pow": "power({0}, {1})",
 }
 
+NO_STATE = -1
+
 
-def sql_string(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _simple(node: ast.expr) -> dict | None:
+    if isinstance(node, ast.Name):
+        return {"angle": node.id}
+    if isinstance(node, ast.Constant) and type(node.value) in (int, float):
+        return {"value": float(node.value)}
+    return None
 
 
-def sql_double(value: float) -> str:
-    return f"double('{float(value)!r}')"
+def _operand(node: ast.expr, text: str) -> dict:
+    """An angle, a number, or steps of arithmetic in postfix order."""
+    return _simple(node) or {"steps": _steps(node, text)}
 
 
-def condition_angles(text: str) -> list[str]:
-    """Angle names a condition mentions, in order of first use."""
-    names = [n.id for n in ast.walk(ast.parse(text, mode="eval")) if isinstance(n, ast.Name)]
-    return list(dict.fromkeys(names))
+def _steps(node: ast.expr, text: str) -> list[dict]:
+    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
+        return [*_steps(node.operand, text), {"op": "USub"}]
+    if isinstance(node, ast.BinOp) and type(node.op).__name__ in _ARITHMETIC:
+        return [*_steps(node.left, text), *_steps(node.right, text), {"op": type(node.op).__name__}]
+    if simple := _simple(node):
+        return [{"op": "read", **simple}]
+    raise ValueError(f"unsupported value in condition: {text!r}")
 
 
-def condition_sql(text: str, angle_of: Callable[[str], str]) -> str:
-    """Compile a catalog condition such as ``a <= 110 and a > 70`` to a boolean SQL expression.
+def state_terms(conditions: list[str]) -> list[dict]:
+    """Catalog conditions such as ``a <= 110 and a > 70``, in order, as one list of comparisons.
 
-    ``angle_of`` gives the expression of an angle, NULL for NaN. Only angle names,
-    numbers, comparisons, ``and/or/not`` and ``+ - * / % **`` are accepted, so catalog
-    text can never run code. A comparison with a NaN or an absent angle is false.
+    A comparison has a place, counted down to 0, and tells the place to go on at if it holds and if
+    not: ``NO_STATE`` if no condition is left, ``NO_STATE - 1 - n`` if the n-th (from 0) holds. So only
+    what decides is ever read. Only angle names, numbers, comparisons, ``and/or/not`` and
+    ``+ - * / % **`` are accepted; catalog text can never run code.
     """
+    terms: list[dict] = []
 
-    def number(node: ast.expr) -> str:
-        if isinstance(node, ast.Constant) and type(node.value) in (int, float):
-            return sql_double(node.value)
-        if isinstance(node, ast.Name):
-            return angle_of(node.id)
-        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
-            return f"(-{number(node.operand)})"
-        if isinstance(node, ast.BinOp) and type(node.op) in _ARITHMETIC:
-            value = _ARITHMETIC[type(node.op)].format(number(node.left), number(node.right))
-            return f"nanvl({value}, NULL)"
-        raise ValueError(f"unsupported value in condition: {text!r}")
-
-    def compare(op: ast.cmpop, left: str, right: str) -> str:
-        if isinstance(op, ast.NotEq):
-            return f"coalesce({left} != {right}, true)"
+    def compare(op: ast.cmpop, left: ast.expr, right: ast.expr, text: str, yes: int, no: int) -> int:
         if type(op) not in _COMPARE:
             raise ValueError(f"unsupported comparison in condition: {text!r}")
-        return f"coalesce({left} {_COMPARE[type(op)]} {right}, false)"
-
-    def boolean(node: ast.expr) -> str:
+        names = [n.id for side in (left, right) for n in ast.walk(side) if isinstance(n, ast.Name)]
+        outcome = dict(zip(("less", "equal", "greater", "unordered"), _COMPARE[type(op)]))
+        sides = {"left": _operand(left, text), "right": _operand(right, text)}
+        terms.append({"place": len(terms), "names": names, **sides, **outcome, "yes": yes, "no": no})
+        return len(terms) - 1
+
+    def add(node: ast.expr, text: str, yes: int, no: int) -> int:
+        """Where to begin with ``node``; what follows it is in the list already."""
         if isinstance(node, ast.BoolOp):
-            word = " AND " if isinstance(node.op, ast.And) else " OR "
-            return "(" + word.join(boolean(v) for v in node.values) + ")"
+            both = isinstance(node.op, ast.And)
+            for value in reversed(node.values):
+                first = add(value, text, yes, no)
+                yes, no = (first, no) if both else (yes, first)
+            return first
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
-            return f"(NOT {boolean(node.operand)})"
+            return add(node.operand, text, no, yes)
         if isinstance(node, ast.Compare):
-            operands = [number(n) for n in (node.left, *node.comparators)]
-            parts = [compare(op, a, b) for op, a, b in zip(node.ops, operands, operands[1:])]
-            return "(" + " AND ".join(parts) + ")"
+            sides = [node.left, *node.comparators]
+            for op, left, right in reversed(list(zip(node.ops, sides, sides[1:]))):
+                yes = compare(op, left, right, text, yes, no)
+            return yes
         raise ValueError(f"unsupported condition: {text!r}")
 
-    return boolean(ast.parse(text, mode="eval").body)
+    after = NO_STATE
+    for n, text in reversed(list(enumerate(conditions))):
+        after = add(ast.parse(text, mode="eval").body, text, NO_STATE - 1 - n, after)
+    return terms[::-1]
+
+
+def first_state_sql(terms: str, angles: str) -> str:
+    """Where the comparisons of ``state_terms`` end; NULL if one reads an angle that the map lacks."""
+
+    def angle(name: str) -> str:
+        return f"nanvl({angles}[{name}], NULL)"
+
+    def value(side: str) -> str:
+        work = " ".join(
+            f"WHEN '{op}' THEN concat(array(nanvl({text.format('s[1]', 's[0]')}, NULL)), slice(s, 3, size(s)))"
+            for op, text in _ARITHMETIC.items()
+        )
+        read = f"concat(array(CASE WHEN o.angle IS NULL THEN o.value ELSE {angle('o.angle')} END), s)"
+        step = f"CASE o.op WHEN 'read' THEN {read} WHEN 'USub' THEN concat(array(-s[0]), slice(s, 2, size(s))) {work} END"
+        steps = f"aggregate({side}.steps, CAST(array() AS ARRAY<DOUBLE>), (s, o) -> {step}, s -> s[0])"
+        return f"CASE WHEN {side}.angle IS NOT NULL THEN {angle(side + '.angle')} WHEN {side}.steps IS NULL THEN {side}.value ELSE {steps} END"
+
+    left, right = value("t.left"), value("t.right")
+    holds = (
+        f"CASE WHEN {left} < {right} THEN t.less WHEN {left} = {right} THEN t.equal "
+        f"WHEN {left} > {right} THEN t.greater ELSE t.unordered END"
+    )
+    absent = f"exists(t.names, n -> NOT map_contains_key({angles}, n))"
+    step = f"CASE WHEN {absent} THEN CAST(NULL AS INT) WHEN {holds} THEN t.yes ELSE t.no END"
+    return f"aggregate({terms}, size({terms}) - 1, (at, t) -> CASE WHEN at = t.place THEN {step} ELSE at END)"
 
 
 def violated_rules(rules: Column, angles: Column) -> Column:

@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from poselytics.functions.angles import angle_map, nan_to_null
-from poselytics.functions.rules import (
-    condition_sql,
-    sql_double,
-    sql_string,
-    up_to_first_critical,
-    violated_rules,
-)
-from poselytics.sources.catalog import MAX_BYTES, Catalog, LevelRules
+from poselytics.functions.rules import NO_STATE, first_state_sql, up_to_first_critical, violated_rules
+from poselytics.sources.catalog import MAX_BYTES, Catalog
 
 # replay order inside a session: epoch ms, ties by frame id, then full precision
 ORDER = ["ts_ms", "frame_track_uuid", "ts_us"]
 
 COMPLETION_TOLERANCE_S = 0.1
 
-# rule sets compiled into the plan; more of them would outgrow generated code
-MAX_COMPILED_RULE_SETS = 16
-
 
 def order_key() -> Column:
     return F.struct(*ORDER)
@@ -67,181 +55,50 @@ def classify(
     """Add ``bad_posture, state, feedback_ids, critical``; one narrow pass, no shuffle.
 
     ``exercise`` names the column that picks the rules. Frames of an unknown
-    exercise, or without an angle the rules must read, are dropped; with
+    exercise, or without an angle that a rule comes to read, are dropped; with
     ``keep_rejects`` they stay, marked by ``reject_reason``.
 
-    A catalog with few different rule sets is compiled into the plan, so it runs
-    inside generated code. A large one is broadcast and its rules are evaluated
-    as arrays; its size was checked on reading.
+    The rules are data: one row per exercise and level, broadcast (the catalog's size is
+    checked on reading), with the conditions and thresholds as arrays. The plan is the same for any catalog.
     """
-    users: dict[tuple, list[LevelRules]] = defaultdict(list)
-    for r in catalog.rules:
-        users[r.states, r.thresholds, r.offset_angle, r.offset_thresh].append(r)
-    few = len(users) <= MAX_COMPILED_RULE_SETS
-    method = _compiled if few else _joined
-    result = method(compact, catalog, list(users.values()), exercise, stop_at_critical)
-    if keep_rejects:
-        return result
-    return result.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-
-
-def _uses(group: list[LevelRules], exercise: str) -> str:
-    """Whether a frame is judged by the group's rules."""
-    names: dict[int, list[str]] = defaultdict(list)
-    for r in group:
-        names[r.level].append(sql_string(r.exercise))
-    return " OR ".join(
-        f"(level = {level} AND {exercise} IN ({', '.join(found)}))" for level, found in names.items()
-    )
-
-
-def _case(branches: list[tuple[str, str]], default: str) -> str:
-    whens = " ".join(f"WHEN {test} THEN {value}" for test, value in branches)
-    return f"CASE {whens} ELSE {default} END" if branches else default
-
-
-def _first_state(rules: LevelRules, angle_of: Callable[[str], str]) -> str:
-    """First condition that holds, else NULL."""
-    held = [(condition_sql(text, angle_of), sql_string(state)) for state, text in rules.states]
-    return _case(held, "CAST(NULL AS STRING)")
-
-
-def _violations(
-    rules: LevelRules, angle_of: Callable[[str], str], stop_at_critical: bool
-) -> tuple[str, str]:
-    """Feedback ids of the broken rules in order, and the place of the first broken critical one.
-
-    The ids read that place as ``_stop``, so the text grows with the rules and no faster.
-    """
-    ids, critical = [_NO_IDS], []
-    for place, (name, low, high, feedback_id, is_critical) in enumerate(rules.thresholds):
-        value = angle_of(name)
-        bounds = [f"{value} {sign} {sql_double(b)}" for sign, b in (("<", low), (">", high)) if b is not None]
-        broken = " OR ".join(f"coalesce({b}, false)" for b in bounds) or "false"
-        counted = f"({broken}) AND coalesce(_stop >= {place}, true)" if stop_at_critical and critical else broken
-        ids.append(_case([(counted, f"array({sql_string(feedback_id)})")], _NO_IDS))
-        if is_critical:
-            critical.append((broken, str(place)))
-    return f"concat({', '.join(ids)})", _case(critical, _NO_PLACE)
-
-
-_NO_IDS = "CAST(array() AS ARRAY<STRING>)"
-_NO_PLACE = "CAST(NULL AS INT)"
-
-
-def _compiled(
-    compact: DataFrame,
-    catalog: Catalog,
-    groups: list[list[LevelRules]],
-    exercise: str,
-    stop_at_critical: bool,
-) -> DataFrame:
-    sets = [group[0] for group in groups]
-    names: list[str] = []
-    for r in sets:
-        names += [*([r.offset_angle] if r.offset_angle else []), *r.state_angles, *(t[0] for t in r.thresholds)]
-    place = {name: i for i, name in enumerate(dict.fromkeys(names))}
-
-    def angle_of(name: str) -> str:
-        return f"_angle_{place[name]}"
-
-    def per_set(value: Callable[[LevelRules], str], default: str) -> str:
-        return _case([(f"_set = {i}", value(r)) for i, r in enumerate(sets)], default)
-
-    def bad_posture(r: LevelRules) -> str:
-        if r.offset_angle is None:
-            return "false"
-        return f"coalesce(abs({angle_of(r.offset_angle)}) > {sql_double(r.offset_thresh)}, false)"
-
-    def missing(r: LevelRules) -> str:
-        no_offset = f"NOT _has_{place[r.offset_angle]}" if r.offset_angle else "false"
-        unread = " OR ".join(f"NOT _has_{place[n]}" for n in r.state_angles) or "false"
-        return f"{no_offset} OR (NOT bad_posture AND ({unread}))"
-
-    which = _case([(_uses(g, exercise), str(i)) for i, g in enumerate(groups)], "CAST(NULL AS INT)")
-    pairs = {r: _violations(r, angle_of, stop_at_critical) for r in sets}
-    checked = "_good AND NOT (state <=> 's1')"
-    picked = [
-        f"{which} AS _set",
-        *[f"nanvl(angles[{sql_string(n)}], NULL) AS _angle_{i}" for n, i in place.items()],
-        *[f"coalesce(map_contains_key(angles, {sql_string(n)}), false) AS _has_{i}" for n, i in place.items()],
-    ]
-    return (
-        # a generator row picks the angles once; a filter on the outcome cannot be
-        # moved below it, where it would build them again
-        compact.selectExpr("*", f"inline(array(struct({', '.join(picked)})))")
-        .selectExpr("*", f"{per_set(bad_posture, 'false')} AS bad_posture")
-        .selectExpr("*", f"{_reject_reason('_set IS NULL', per_set(missing, 'false'))} AS reject_reason")
-        .selectExpr("*", "NOT bad_posture AND reject_reason IS NULL AS _good")
-        .selectExpr(
-            "*",
-            _case([("_good", per_set(lambda r: _first_state(r, angle_of), "NULL"))], "CAST(NULL AS STRING)") + " AS state",
-        )
-        .selectExpr("*", _case([(checked, per_set(lambda r: pairs[r][1], _NO_PLACE))], _NO_PLACE) + " AS _stop")
-        .selectExpr(
-            *[f"`{c}`" for c in compact.columns],
-            "bad_posture",
-            "state",
-            _case([(checked, per_set(lambda r: pairs[r][0], _NO_IDS))], _NO_IDS) + " AS feedback_ids",
-            "_stop IS NOT NULL AS critical",
-            "reject_reason",
-        )
-    )
-
-
-def _reject_reason(unknown: str, missing: str) -> str:
-    return _case([(unknown, "'unknown_exercise'"), (missing, "'missing_angle'")], "CAST(NULL AS STRING)")
-
-
-def _joined(
-    compact: DataFrame,
-    catalog: Catalog,
-    groups: list[list[LevelRules]],
-    exercise: str,
-    stop_at_critical: bool,
-) -> DataFrame:
-    rules = F.broadcast(
-        catalog.rule_table().withColumnsRenamed({"exercise": "_exercise", "level": "_level"})
-    )
+    table = catalog.rule_table()
+    rules = F.broadcast(table.select(*[F.col(c).alias(f"_{c}") for c in table.columns]))
     joined = compact.join(
         rules, (F.col(exercise) == F.col("_exercise")) & (F.col("level") == F.col("_level")), "left"
     )
-    named = "coalesce(map_keys(angles), CAST(array() AS ARRAY<STRING>))"
-    missing = (
-        f"(offset_angle IS NOT NULL AND NOT array_contains({named}, offset_angle)) "
-        f"OR (NOT bad_posture AND exists(state_angles, n -> NOT array_contains({named}, n)))"
-    )
-    # exercises often share their states: one branch per different list of conditions
-    by_states: dict[tuple, list[LevelRules]] = defaultdict(list)
-    for r in catalog.rules:
-        by_states[r.states].append(r)
-    state = _case(
-        [
-            (f"_good AND ({_uses(g, exercise)})", _first_state(g[0], lambda n: f"nanvl(angles[{sql_string(n)}], NULL)"))
-            for g in by_states.values()
-        ],
-        "CAST(NULL AS STRING)",
-    )
-    violated = violated_rules(F.col("rules"), F.col("angles"))
+    bad = "coalesce(abs(nanvl(angles[_offset_angle], NULL)) > _offset_thresh, false)"
+    readable = "(_offset_angle IS NULL OR coalesce(map_contains_key(angles, _offset_angle), false))"
+    at = first_state_sql("_terms", "coalesce(angles, CAST(map() AS MAP<STRING, DOUBLE>))")
+    at = f"CASE WHEN NOT {bad} AND {readable} THEN {at} END"
+    violated = violated_rules(F.col("_rules"), F.col("angles"))
     if stop_at_critical:
         violated = up_to_first_critical(violated)
-    return (
-        joined.selectExpr(
-            "*", "coalesce(abs(nanvl(angles[offset_angle], NULL)) > offset_thresh, false) AS bad_posture"
+    result = (
+        # a generator row: a filter on the outcome cannot be moved below it, where it would evaluate the conditions again
+        joined.selectExpr("*", f"inline(array(struct({bad} AS bad_posture, {at} AS _at)))")
+        .selectExpr("*", f"{_REJECT_REASON} AS reject_reason")
+        .selectExpr("*", f"CASE WHEN _at < {NO_STATE} THEN get(_states, {NO_STATE - 1} - _at) END AS state")
+        .withColumn(
+            "_violated",
+            F.when(F.expr("NOT bad_posture AND reject_reason IS NULL AND NOT (state <=> 's1')"), violated),
         )
-        .selectExpr("*", f"{_reject_reason('_exercise IS NULL', missing)} AS reject_reason")
-        .selectExpr("*", "NOT bad_posture AND reject_reason IS NULL AS _good")
-        .selectExpr("*", f"{state} AS state")
-        .withColumn("_violated", F.when(F.expr("_good AND NOT (state <=> 's1')"), violated))
         .selectExpr(
             *[f"`{c}`" for c in compact.columns],
             "bad_posture",
             "state",
-            f"coalesce(transform(_violated, r -> r.feedback), {_NO_IDS}) AS feedback_ids",
+            "coalesce(transform(_violated, r -> r.feedback), CAST(array() AS ARRAY<STRING>)) AS feedback_ids",
             "coalesce(exists(_violated, r -> r.critical), false) AS critical",
             "reject_reason",
         )
     )
+    if keep_rejects:
+        return result
+    return result.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+
+
+_REJECT_REASON = (
+    "CASE WHEN _exercise IS NULL THEN 'unknown_exercise' WHEN NOT bad_posture AND _at IS NULL THEN 'missing_angle' END"
+)
 
 
 def rule_rejects(compact: DataFrame, catalog: Catalog) -> DataFrame:

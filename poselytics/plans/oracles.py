@@ -411,6 +411,32 @@ def oracle_sql() -> dict[str, str]:
             RULES,
             VIOLATIONS,
         ),
+        "frame_feedback_catalog": _sql(
+            """SELECT session_uuid, frame_track_uuid, exercise, bad AS bad_posture, state,
+                 coalesce(string_agg(feedback_id, ',' ORDER BY j) FILTER (broken AND j <= coalesce(stop, j)), '') AS feedback_ids,
+                 bool_or(broken AND critical) AS critical
+               FROM (SELECT *, min(CASE WHEN broken AND critical THEN j END) OVER (PARTITION BY event_id) AS stop
+                     FROM (SELECT v.*, t.j, 'rule-' || t.j AS feedback_id, k % 4 = 0 OR j = 2 AS critical,
+                             NOT bad AND state IS DISTINCT FROM 's1' AND shoulder > 45 - 2 * j + k % 5
+                               AND (k % 4 = 0 OR j < 3) AS broken
+                           FROM variants v, range(20) AS t(j)))
+               GROUP BY event_id, session_uuid, frame_track_uuid, exercise, bad, state""",
+            FRAMES,
+            """kinds(event_type, i) AS (VALUES ('click', 0), ('error', 1), ('purchase', 2), ('signup', 3), ('view', 4)),
+            numbered AS (
+              SELECT f.*, 16 * i + user_id % 16 AS k, f.event_type || '-' || user_id % 16 AS exercise
+              FROM frames f JOIN kinds USING (event_type)),
+            limits AS (
+              SELECT *, CASE WHEN level = 0 THEN 60 ELSE 65 END + k % 7 AS low, 100 + k % 13 AS high,
+                     abs(offset_angle) > 40.0 + k % 6 AS bad
+              FROM numbered),
+            variants AS (
+              SELECT *, CASE WHEN bad THEN NULL
+                             WHEN elbow > high THEN 's1'
+                             WHEN low < elbow AND elbow <= high AND NOT elbow % 10 < k % 3 THEN 's2'
+                             WHEN elbow <= low OR (elbow + shoulder) / 2 > 70 THEN 's3' END AS state
+              FROM limits)""",
+        ),
         "frame_feedback": _sql(
             """SELECT session_uuid, frame_track_uuid, ts_us, coalesce(ids, '') AS feedback_ids
                FROM classified WHERE NOT bad""",

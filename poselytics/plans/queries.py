@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -35,7 +36,7 @@ from poselytics.operators.session_fold import (
 )
 from poselytics.plans.analysis import SessionAnalysis
 from poselytics.session import configure, shared_folder
-from poselytics.sources.catalog import builtin_catalog
+from poselytics.sources.catalog import builtin_catalog, catalog_from_documents
 from poselytics.sources.events import EPOCH_US, events_frames, frames_of
 from poselytics.sources.frames import (
     parse_frames,
@@ -273,6 +274,58 @@ def frame_violation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame_violations(_classified(spark, sf_dir, stop_at_critical=False)).drop("exercise")
 
 
+def _variant(k: int) -> str:
+    """Catalog document of exercise number ``k``; one in four has 20 critical rules."""
+
+    def level(low: int) -> tuple[dict, dict]:
+        high, many = 100 + k % 13, k % 4 == 0
+        states = [
+            {"id": "s1", "condition": f"elbow_angle > {high}"},
+            {"id": "s2", "condition": f"{low} < elbow_angle <= {high} and not elbow_angle % 10 < {k % 3}"},
+            {"id": "s3", "condition": f"elbow_angle <= {low} or (elbow_angle + shoulder_angle) / 2 > 70"},
+        ]
+        rules = [
+            {"max": 45 - 2 * j + k % 5, "feedback": f"rule-{j}", "critical": many or j == 2}
+            for j in range(20 if many else 3)
+        ]
+        return (
+            {"states": states, "success_sequence": ["s1", "s2", "s3", "s1"]},
+            {"angle_thresh": {"shoulder_angle": rules}, "OFFSET_THRESH": 40.0 + k % 6, "INACTIVE_THRESH": 25.0},
+        )
+
+    beginner, pro = level(60 + k % 7), level(65 + k % 7)
+    return json.dumps(
+        {
+            "exercise_name": f"exercise {k}",
+            "dominant_side_points": ["wrist", "wrist"],
+            "landmark_features_dict": {"left": ["wrist"], "right": ["wrist"], "nose": ["nose"]},
+            "angles": [{"name": n} for n in ("elbow_angle", "shoulder_angle", "offset_angle")],
+            "state_machine": {"beginner": beginner[0], "pro": pro[0]},
+            "thresholds": {"beginner": beginner[1], "pro": pro[1]},
+            "feedback_messages": [{"id": f"rule-{j}", "message": f"MIND RULE {j}", "severity": "warning"} for j in range(20)],
+            "inactivity_time": 5,
+        }
+    )
+
+
+def frame_feedback_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames judged by a catalog of 80 exercises: event type and 16 groups of users."""
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    catalog = catalog_from_documents(spark, {f"{kind}-{n}": _variant(16 * i + n) for i, kind in enumerate(kinds) for n in range(16)})
+    compact = _compact(spark, sf_dir, None)
+    group = F.substring("session_uuid", 6, 20).cast("bigint") % 16
+    compact = compact.withColumn("exercise", F.concat_ws("-", "exercise", group))
+    return classify(compact, catalog).select(
+        "session_uuid",
+        "frame_track_uuid",
+        "exercise",
+        "bad_posture",
+        "state",
+        F.array_join("feedback_ids", ",").alias("feedback_ids"),
+        "critical",
+    )
+
+
 def frame_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     classified = _classified(spark, sf_dir).withColumn("session_instance", F.lit(0))
     return feedback.frame_feedback(classified).select(
@@ -574,6 +627,7 @@ QUERIES: dict[str, Query] = {
     "frame_rule_rejects": frame_rule_rejects,
     "frame_violations": frame_violation_list,
     "frame_feedback": frame_feedback,
+    "frame_feedback_catalog": frame_feedback_catalog,
     "feedback_messages": feedback_messages,
     "rep_counts": rep_counts,
     "rep_correctness": rep_correctness,

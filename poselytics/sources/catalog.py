@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from poselytics.functions.rules import condition_angles, condition_sql
+from poselytics.functions.rules import state_terms
 from poselytics.schema import CATALOG_DOC
 
 BUILTIN_FOLDER = Path(__file__).resolve().parent.parent / "resources" / "catalog"
@@ -30,6 +30,21 @@ _REQUIRED = [
     "feedback_messages",
 ]
 
+_VALUE = [("angle", pa.string()), ("value", pa.float64())]
+_OPERAND = pa.struct([*_VALUE, ("steps", pa.list_(pa.struct([("op", pa.string()), *_VALUE])))])
+
+TERM = pa.struct(
+    [
+        ("place", pa.int32()),
+        ("names", pa.list_(pa.string())),
+        ("left", _OPERAND),
+        ("right", _OPERAND),
+        *[(outcome, pa.bool_()) for outcome in ("less", "equal", "greater", "unordered")],
+        ("yes", pa.int32()),
+        ("no", pa.int32()),
+    ]
+)
+
 _RULE_ROW = pa.schema(
     {
         "exercise": pa.string(),
@@ -45,7 +60,8 @@ _RULE_ROW = pa.schema(
                 }
             )
         ),
-        "state_angles": pa.list_(pa.string()),
+        "states": pa.list_(pa.string()),
+        "terms": pa.list_(TERM),
         "offset_angle": pa.string(),
         "offset_thresh": pa.float64(),
     }
@@ -65,10 +81,6 @@ class LevelRules:
     offset_thresh: float
     inactive_us: int
 
-    @property
-    def state_angles(self) -> list[str]:
-        return list(dict.fromkeys(n for _, text in self.states for n in condition_angles(text)))
-
 
 @dataclass
 class Catalog:
@@ -213,7 +225,8 @@ class Catalog:
                 "exercise": r.exercise,
                 "level": r.level,
                 "rules": [dict(zip(("angle", "min", "max", "feedback", "critical"), t)) for t in r.thresholds],
-                "state_angles": r.state_angles,
+                "states": [state for state, _ in r.states],
+                "terms": state_terms([text for _, text in r.states]),
                 "offset_angle": r.offset_angle,
                 "offset_thresh": r.offset_thresh,
             }
@@ -230,7 +243,7 @@ def _state(level: str, state: Row | None) -> tuple[str, str]:
     if state is None or state.id is None or state.condition is None:
         raise _BadDocument(f"{level}: a state lacks its id or condition")
     try:
-        condition_sql(state.condition, lambda angle: "NULL")
+        state_terms([state.condition])
     except (ValueError, SyntaxError) as error:
         raise _BadDocument(f"{level}: {error}") from error
     return state.id, state.condition

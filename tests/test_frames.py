@@ -2,16 +2,17 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from poselytics.functions.rules import condition_sql
+from poselytics.functions.rules import NO_STATE, first_state_sql, state_terms
 from poselytics.functions.text import parse_analysis, score_prompts, summary_text, timeline_text
 from poselytics.operators import buffer
-from poselytics.operators import classify as classify_module
 from poselytics.operators.classify import classify, compact_frames
 from poselytics.sources.catalog import (
     BUILTIN_FOLDER,
+    TERM,
     builtin_catalog,
     catalog_from_documents,
     message_for,
@@ -84,20 +85,6 @@ def test_missing_angles_and_unknown_exercises(spark):
     assert classify(compact_of(spark, angles, "squat"), catalog).count() == 0
 
 
-@pytest.mark.parametrize("stop", [True, False])
-def test_large_catalogs_classify_alike(spark, monkeypatch, stop):
-    compact = compact_frames(events_frames(spark, SMALL), F.col("level"))
-    catalog = builtin_catalog(spark)
-
-    def found():
-        rows = classify(compact, catalog, stop_at_critical=stop).drop("angles").collect()
-        return sorted(tuple(map(str, r)) for r in rows)
-
-    compiled = found()
-    monkeypatch.setattr(classify_module, "MAX_COMPILED_RULE_SETS", 0)
-    assert found() == compiled
-
-
 @pytest.mark.parametrize(
     "text, expected",
     [
@@ -115,14 +102,26 @@ def test_large_catalogs_classify_alike(spark, monkeypatch, stop):
 def test_condition_text(spark, text, expected):
     nan = float("nan")
     df = spark.createDataFrame([(0, 2.0, 1.0), (1, 0.0, 5.0), (2, nan, 1.0)], "i int, a double, b double")
-    column = condition_sql(text, lambda name: f"nanvl({name}, NULL)")
-    assert [r.x for r in df.orderBy("i").selectExpr(f"{column} AS x").collect()] == expected
+    terms = pa.table({"terms": pa.array([state_terms([text])], pa.list_(TERM))})
+    df = df.crossJoin(spark.createDataFrame(terms))
+    at = first_state_sql("terms", "map('a', a, 'b', b)")
+    assert [r.x for r in df.orderBy("i").selectExpr(f"{at} < {NO_STATE} AS x").collect()] == expected
+
+
+def test_only_what_decides_is_read(spark):
+    conditions = ["a > 5 or b > 1", "not (a > 2 and c > 1)", "d > 1"]
+    terms = pa.table({"terms": pa.array([state_terms(conditions)], pa.list_(TERM))})
+    rows = [{"a": 6.0}, {"a": 1.0, "b": 0.0}, {"a": 3.0, "b": 0.0}, {"a": 3.0, "b": 0.0, "c": 2.0, "d": 0.0}, {}]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, m map<string, double>")
+    at = first_state_sql("terms", "m")
+    found = df.crossJoin(spark.createDataFrame(terms)).orderBy("i").selectExpr(f"{at} AS x").collect()
+    assert [r.x for r in found] == [NO_STATE - 1, NO_STATE - 2, None, NO_STATE, None]
 
 
 @pytest.mark.parametrize("text", ["__import__('os')", "a.b > 1", "a", "a > 'x'", "a in (1, 2)", "f(a) > 1"])
 def test_condition_text_cannot_run_code(text):
     with pytest.raises(ValueError):
-        condition_sql(text, str)
+        state_terms([text])
 
 
 def test_parse_and_rejects(spark):
