@@ -39,12 +39,8 @@ def _simple(node: ast.expr) -> dict | None:
     return None
 
 
-def _operand(node: ast.expr, text: str) -> dict:
-    """An angle, a number, or steps of arithmetic in postfix order."""
-    return _simple(node) or {"steps": _steps(node, text)}
-
-
 def _steps(node: ast.expr, text: str) -> list[dict]:
+    """Arithmetic in postfix order."""
     if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
         return [*_steps(node.operand, text), {"op": "USub"}]
     if isinstance(node, ast.BinOp) and type(node.op).__name__ in _ARITHMETIC:
@@ -57,20 +53,27 @@ def _steps(node: ast.expr, text: str) -> list[dict]:
 def state_terms(conditions: list[str]) -> list[dict]:
     """Catalog conditions such as ``a <= 110 and a > 70``, in order, as one list of comparisons.
 
-    A comparison has a place, counted down to 0, and tells the place to go on at if it holds and if
-    not: ``NO_STATE`` if no condition is left, ``NO_STATE - 1 - n`` if the n-th (from 0) holds. So only
-    what decides is ever read. Only angle names, numbers, comparisons, ``and/or/not`` and
-    ``+ - * / % **`` are accepted; catalog text can never run code.
+    A comparison has a place, counted down to 0, and tells for each outcome the place to go on at:
+    ``NO_STATE`` if no condition is left, ``NO_STATE - 1 - n`` if the n-th (from 0) holds. So only
+    what decides is ever read. An angle is compared with a number, or ``left`` with ``right``. Only angle
+    names, numbers, comparisons, ``and/or/not`` and ``+ - * / % **`` are accepted; catalog text can never run code.
     """
     terms: list[dict] = []
 
     def compare(op: ast.cmpop, left: ast.expr, right: ast.expr, text: str, yes: int, no: int) -> int:
         if type(op) not in _COMPARE:
             raise ValueError(f"unsupported comparison in condition: {text!r}")
-        names = [n.id for side in (left, right) for n in ast.walk(side) if isinstance(n, ast.Name)]
-        outcome = dict(zip(("less", "equal", "greater", "unordered"), _COMPARE[type(op)]))
-        sides = {"left": _operand(left, text), "right": _operand(right, text)}
-        terms.append({"place": len(terms), "names": names, **sides, **outcome, "yes": yes, "no": no})
+        less, equal, greater, unordered = (yes if holds else no for holds in _COMPARE[type(op)])
+        a, b = _simple(left) or {}, _simple(right) or {}
+        if "value" in a and "angle" in b:
+            a, b, less, greater = b, a, greater, less
+        if "angle" in a and "value" in b:
+            sides = {**a, **b}
+        else:
+            names = [n.id for side in (left, right) for n in ast.walk(side) if isinstance(n, ast.Name)]
+            sides = {"names": names, "left": _steps(left, text), "right": _steps(right, text)}
+        outcomes = {"less": less, "equal": equal, "greater": greater, "unordered": unordered}
+        terms.append({"place": len(terms), **sides, **outcomes})
         return len(terms) - 1
 
     def add(node: ast.expr, text: str, yes: int, no: int) -> int:
@@ -102,6 +105,15 @@ def first_state_sql(terms: str, angles: str) -> str:
     def angle(name: str) -> str:
         return f"nanvl({angles}[{name}], NULL)"
 
+    def absent(name: str) -> str:
+        return f"NOT coalesce(map_contains_key({angles}, {name}), false)"
+
+    def decide(left: str, right: str, otherwise: str) -> str:
+        return (
+            f"CASE WHEN {left} < {right} THEN t.less WHEN {left} > {right} THEN t.greater "
+            f"WHEN {left} = {right} THEN t.equal {otherwise} ELSE t.unordered END"
+        )
+
     def value(side: str) -> str:
         work = " ".join(
             f"WHEN '{op}' THEN concat(array(nanvl({text.format('s[1]', 's[0]')}, NULL)), slice(s, 3, size(s)))"
@@ -109,17 +121,16 @@ def first_state_sql(terms: str, angles: str) -> str:
         )
         read = f"concat(array(CASE WHEN o.angle IS NULL THEN o.value ELSE {angle('o.angle')} END), s)"
         step = f"CASE o.op WHEN 'read' THEN {read} WHEN 'USub' THEN concat(array(-s[0]), slice(s, 2, size(s))) {work} END"
-        steps = f"aggregate({side}.steps, CAST(array() AS ARRAY<DOUBLE>), (s, o) -> {step}, s -> s[0])"
-        return f"CASE WHEN {side}.angle IS NOT NULL THEN {angle(side + '.angle')} WHEN {side}.steps IS NULL THEN {side}.value ELSE {steps} END"
+        return f"aggregate({side}, CAST(array() AS ARRAY<DOUBLE>), (s, o) -> {step}, s -> s[0])"
 
-    left, right = value("t.left"), value("t.right")
-    holds = (
-        f"CASE WHEN {left} < {right} THEN t.less WHEN {left} = {right} THEN t.equal "
-        f"WHEN {left} > {right} THEN t.greater ELSE t.unordered END"
+    simple = decide(angle("t.angle"), "t.value", f"WHEN {absent('t.angle')} THEN CAST(NULL AS INT)")
+    worked = decide(value("t.left"), value("t.right"), "")
+    step = (
+        f"CASE WHEN at != t.place THEN at WHEN t.angle IS NOT NULL THEN {simple} "
+        f"WHEN exists(t.names, n -> {absent('n')}) THEN CAST(NULL AS INT) ELSE {worked} END"
     )
-    absent = f"exists(t.names, n -> NOT map_contains_key({angles}, n))"
-    step = f"CASE WHEN {absent} THEN CAST(NULL AS INT) WHEN {holds} THEN t.yes ELSE t.no END"
-    return f"aggregate({terms}, size({terms}) - 1, (at, t) -> CASE WHEN at = t.place THEN {step} ELSE at END)"
+    # once at is NULL, it stays so: an angle was missing
+    return f"aggregate({terms}, size({terms}) - 1, (at, t) -> CASE WHEN at IS NOT NULL THEN {step} END)"
 
 
 def violated_rules(rules: Column, angles: Column) -> Column:

@@ -68,7 +68,7 @@ def classify(
     )
     bad = "coalesce(abs(nanvl(angles[_offset_angle], NULL)) > _offset_thresh, false)"
     readable = "(_offset_angle IS NULL OR coalesce(map_contains_key(angles, _offset_angle), false))"
-    at = first_state_sql("_terms", "coalesce(angles, CAST(map() AS MAP<STRING, DOUBLE>))")
+    at = first_state_sql("_terms", "angles")
     at = f"CASE WHEN NOT {bad} AND {readable} THEN {at} END"
     violated = violated_rules(F.col("_rules"), F.col("angles"))
     if stop_at_critical:

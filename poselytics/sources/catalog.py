@@ -30,18 +30,17 @@ _REQUIRED = [
     "feedback_messages",
 ]
 
-_VALUE = [("angle", pa.string()), ("value", pa.float64())]
-_OPERAND = pa.struct([*_VALUE, ("steps", pa.list_(pa.struct([("op", pa.string()), *_VALUE])))])
+_STEPS = pa.list_(pa.struct([("op", pa.string()), ("angle", pa.string()), ("value", pa.float64())]))
 
 TERM = pa.struct(
     [
         ("place", pa.int32()),
+        ("angle", pa.string()),
+        ("value", pa.float64()),
+        *[(outcome, pa.int32()) for outcome in ("less", "equal", "greater", "unordered")],
         ("names", pa.list_(pa.string())),
-        ("left", _OPERAND),
-        ("right", _OPERAND),
-        *[(outcome, pa.bool_()) for outcome in ("less", "equal", "greater", "unordered")],
-        ("yes", pa.int32()),
-        ("no", pa.int32()),
+        ("left", _STEPS),
+        ("right", _STEPS),
     ]
 )
 
