@@ -2,8 +2,8 @@
 
 Every run of consecutive sentences is hashed: from each sentence on, the fewest
 (two at least) that have the wanted number of words, or the whole of a text that has
-fewer; and back from the end of each line in the same way, so that a repeated
-passage is covered to its last sentence. Of equal runs anywhere, the first (by doc_id and place) stays; sentences that
+fewer; and back from the end of each sentence in the same way, so that a repeated
+passage is covered to its last sentence wherever it ends. Of equal runs anywhere, the first (by doc_id and place) stays; sentences that
 any other one covers go. Only hashes are joined: a first pass finds those
 that occur twice, a second one asks for the places of these alone.
 """
@@ -23,17 +23,31 @@ from poselytics.llm.common import keep, lower_ascii, text_of, without
 
 MIN_SENTENCES = 2
 MIN_WORDS = 15
-LONG = 24
+LONG = 16
+#: Words that decide on a cut, and how many places on either side it is compared with.
+GRAM = 3
+REACH = 3
 
 _WORD = re.compile(r"\S+")
 _SENTENCE = re.compile(r"[^\s](?:[^.!?\n]|[.!?]+(?![\s.!?]|$))*(?:[.!?]+|(?=\n)|$)")
 
 
+def _cuts(words: list[str]) -> list[int]:
+    """Words after which to cut: those whose hash, with the ones before them, is the least of their neighbours'."""
+    marks = [xxhash.xxh32_intdigest(" ".join(words[max(0, k + 1 - GRAM) : k + 1])) for k in range(len(words))]
+    # of equal ones all, as text that repeats itself must be cut alike everywhere too
+    return [
+        k
+        for k in range(GRAM - 1, len(words) - 1)
+        if marks[k] == min(marks[max(GRAM - 1, k - REACH) : k + REACH + 1])
+    ]
+
+
 def sentences(text: str | None) -> list[tuple[int, int]]:
     """Start and end of each sentence: up to closing marks before white space, or to the end of the line.
 
-    One of more than ``LONG`` words counts as several: it is cut after a comma or semicolon eight words or
-    more behind the last cut, and after ``LONG`` words at the latest.
+    One of more than ``LONG`` words counts as several. Where it is cut depends on the words around the place alone,
+    so a passage is cut alike wherever in a sentence it stands, but for a few words at its ends.
     """
     found = []
     for m in _SENTENCE.finditer(text or ""):
@@ -41,12 +55,9 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
         if end - start <= 2 * LONG or len(words := list(_WORD.finditer(text, start, end))) <= LONG:
             found.append((start, end))
             continue
-        n = 0
-        for k, word in enumerate(words):
-            n += 1
-            if k + 1 < len(words) and (n >= LONG or (n >= 8 and word[0][-1] in ",;")):
-                found.append((start, word.end()))
-                start, n = words[k + 1].start(), 0
+        for k in _cuts([lower_ascii(w[0]) for w in words]):
+            found.append((start, words[k].end()))
+            start = words[k + 1].start()
         found.append((start, end))
     return found
 
@@ -73,14 +84,12 @@ def runs(text: str | None, min_words: int = MIN_WORDS) -> tuple[list[tuple[int,
             break
         words -= counts[start]
     forward = {(start, stop) for start, stop, _ in found}
+    start, words = 0, 0
     for last in range(len(parts)):
-        after = spots[last + 1][0] if last + 1 < len(parts) else len(text)
-        if last + 1 < len(parts) and "\n" not in text[spots[last][1] : after]:
-            continue
-        start, words = last, counts[last]
-        while start and (words < min_words or last + 1 - start < MIN_SENTENCES):
-            start -= 1
-            words += counts[start]
+        words += counts[last]
+        while last - start >= MIN_SENTENCES and words - counts[start] >= min_words:
+            words -= counts[start]
+            start += 1
         full = words >= min_words and last + 1 - start >= MIN_SENTENCES
         if full and (start, last + 1) not in forward:
             found.append((start, last + 1, xxhash.xxh3_128_digest(" ".join(parts[start : last + 1]))))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from poselytics.llm import near_copies
+from poselytics.llm import near_copies, span_dedup
 from tests.llm.conftest import DOCS, prose
 
 
@@ -38,3 +38,26 @@ def test_near_copies_of_jaccard(llm, docs, texts, empty):
     assert sorted(("" if r["doc_id"] is None else str(r["doc_id"])) + (r["text"] or "") for r in found) == brute_copies(rows)
     assert near_copies.deduplicate(empty).count() == 0
     assert near_copies.deduplicate(docs.withColumn("row", F.lit(0))).columns == [*docs.columns, "row"]
+
+
+def left_of(llm, rows):
+    found = span_dedup.deduplicate(llm.createDataFrame(rows, "doc_id long, text string")).collect()
+    return {r["doc_id"]: r["text"] for r in found}
+
+
+def test_passage_that_ends_inside_a_line(llm):
+    passage = "Once more we tell it here to all of you now. All of it from the start to the very end again. Nobody listens."
+    left = left_of(llm, [(k, f"{prose(k, 50)}. {passage} {prose(k + 50, 40)}") for k in range(3)])
+    assert passage in left[0]
+    assert all("Nobody listens" not in left[k] and prose(k + 50, 40).split()[-1] in left[k] for k in (1, 2))
+
+
+def test_passage_inside_a_long_sentence(llm):
+    words = " ".join(prose(90, 60).replace(".", "").split())
+    rows = [(k, f"{' '.join(prose(k, 11 + 5 * k).replace('.', '').split())} {words} {prose(k + 50, 40)}") for k in range(6)]
+    left = left_of(llm, rows)
+    shared = words.split()
+    assert words in left[0]
+    for k in range(1, 6):
+        assert sum(w in left[k].split() for w in shared[10:-10]) < 15
+        assert not any(" ".join(shared[n : n + 30]) in left[k] for n in range(31))
