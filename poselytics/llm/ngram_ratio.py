@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from poselytics.llm.common import keep, text_of, without
 
 BUCKETS = 1 << 16
-#: Most trusted documents that are counted; all documents count for the corpus.
-MAX_TRUSTED = 20_000
 #: Occurrences that speak for a ratio of one in every bucket, so that what is merely rare says little.
 SMOOTHING = 3.0
 THRESHOLD = -0.16
@@ -113,10 +111,11 @@ def weights(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, smoo
     """bucket, other, own: log of the bucket's share of trusted texts over its share of all.
 
     Each occurrence is judged by the others: ``other`` leaves one out of all texts, ``own``, for trusted
-    documents, one out of both. Else every rare word would speak against its only text. ``trusted`` holds at most ``MAX_TRUSTED`` ids (doc_id). A bucket that never occurs has no row.
+    documents, one out of both. Else every rare word would speak against its only text. ``trusted`` holds each id (doc_id) once,
+    however many; it is joined, not sent to the workers unless Spark finds it small. A bucket that never occurs has no row.
     """
     marked = docs.select("doc_id", text_of(docs).alias("text")).join(
-        F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left"
+        trusted.select("doc_id", F.lit(1).alias("good")), "doc_id", "left"
     )
     hashes = F.transform(_words(F.col("text")), lambda w: F.xxhash64(w))
     rows = marked.select("good", F.explode(_bound(hashes, _buckets)).alias("h"))
@@ -135,10 +134,9 @@ def weights(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, smoo
     return counts.select("bucket", ratio(F.col("n_good")).alias("other"), ratio(F.col("n_good") - 1).alias("own"))
 
 
-def trusted_ids(labels: DataFrame, *, label: str = "quality", limit: int = MAX_TRUSTED) -> DataFrame:
-    """doc_id of at most ``limit`` documents that are labelled good, chosen by hash."""
-    good = labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+def trusted_ids(labels: DataFrame, *, label: str = "quality") -> DataFrame:
+    """doc_id of all documents that are labelled good, each once."""
+    return labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
@@ -150,7 +148,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, thresho
     trusted = keep(trusted_ids(labels), "trusted")
     table = keep(weights(docs, trusted, buckets=buckets), "ngram-weights")
     rows = base_rules(docs.select("doc_id", "text")).drop("text")
-    good = F.broadcast(trusted.select("doc_id", F.lit(True).alias("__good")))
+    good = trusted.select("doc_id", F.lit(True).alias("__good"))
     rows = rows.join(good, "doc_id", "left").withColumn("__row", F.monotonically_increasing_id())
     carried = ["__row", "doc_id", *RULES, "base_failed"]
     grams = rows.select(*carried, "__good", F.explode_outer(_bound(F.col("__hashes"), _buckets)).alias("h"))

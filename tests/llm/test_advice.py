@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from poselytics.llm import near_copies, span_dedup
+from poselytics.llm import near_copies, ngram_ratio, span_dedup
 from tests.llm.conftest import DOCS, prose
 
 
@@ -61,3 +61,14 @@ def test_passage_inside_a_long_sentence(llm):
     for k in range(1, 6):
         assert sum(w in left[k].split() for w in shared[10:-10]) < 15
         assert not any(" ".join(shared[n : n + 30]) in left[k] for n in range(31))
+
+
+def test_all_trusted_documents_count(llm):
+    rows = [(k, f"good{k % 7} words{k % 11} here") for k in range(21_000)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    labels = llm.range(21_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    trusted = ngram_ratio.trusted_ids(labels.union(labels))
+    assert trusted.count() == 21_000
+    found = ngram_ratio.weights(docs, trusted).collect()
+    # each text is trusted, so nothing tells trusted texts from all
+    assert found and all(abs(r["other"] - r["own"]) < 1e-2 and abs(r["own"]) < 1e-9 for r in found)
