@@ -74,7 +74,7 @@ _WORD = re.compile(r"[A-Za-z0-9]+")
 class Element:
     """A node of the page; ``parts`` holds texts and elements in order."""
 
-    __slots__ = ("article", "dropped", "hash", "name", "parts", "tag")
+    __slots__ = ("article", "dropped", "hash", "name", "named", "parts", "tag")
 
     def __init__(self, tag: str, attributes: str, in_article: bool) -> None:
         self.tag = tag
@@ -83,17 +83,22 @@ class Element:
         found = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
         self.name = f"{tag}.{found.get('class', '')}#{found.get('id', '')}" if found else tag
         words = {w.lower() for k in ("class", "id") for w in _WORD.findall(found.get(k, ""))} if found else frozenset()
-        self.dropped = (
+        kind = (
             tag in _NO_TEXT
             or (tag == "header" and not in_article)
-            or bool(words & _NAMES)
             or found.get("role", "").lower() in _ROLES
             or "hidden" in found
             or found.get("aria-hidden", "").lower() == "true"
         )
+        # dropped for a part of its class or id alone: 1, for a whole one: 2
+        self.named = 0
+        if not kind and words & _NAMES:
+            whole = {w.lower() for k in ("class", "id") for w in found.get(k, "").split()}
+            self.named = 2 if whole & _NAMES else 1
+        self.dropped = kind or self.named > 0
         # the root is never a notice of its own
         if tag in ("html", "body", "main") or (tag == "article" and not (words & {"comment", "comments", "ad", "ads", "advert"})):
-            self.dropped = False
+            self.dropped, self.named = False, 0
         self.article = in_article or tag in ("article", "main") or found.get("role", "").lower() == "main"
 
 
@@ -163,19 +168,24 @@ def hash_tree(root: Element, host: str) -> None:
 
 
 def _main(root: Element) -> list[Element]:
-    """The outermost articles, else what is marked as main, else the page."""
-    for wanted in ("article", "main"):
-        found, waiting = [], [root]
-        while waiting:
-            node = waiting.pop()
-            if node.dropped:
-                continue
-            if node.tag == wanted:
-                found.append(node)
-                continue
-            waiting += [p for p in reversed(node.parts) if not isinstance(p, str)]
-        if found:
-            return found
+    """The outermost articles, else what is marked as main, else the page.
+
+    What encloses one is passed through where only a part of a class or id would drop it (has-sidebar), and if
+    nothing is found, where a whole one would.
+    """
+    for passed in (1, 2):
+        for wanted in ("article", "main"):
+            found, waiting = [], [root]
+            while waiting:
+                node = waiting.pop()
+                if node.dropped and not 0 < node.named <= passed:
+                    continue
+                if node.tag == wanted and not node.dropped:
+                    found.append(node)
+                    continue
+                waiting += [p for p in reversed(node.parts) if not isinstance(p, str)]
+            if found:
+                return found
     return [root]
 
 

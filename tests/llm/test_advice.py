@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from poselytics.llm import near_copies, ngram_ratio, span_dedup
+from poselytics.llm import near_copies, ngram_ratio, span_dedup, templates
 from tests.llm.conftest import DOCS, prose
 
 
@@ -72,3 +72,14 @@ def test_all_trusted_documents_count(llm):
     found = ngram_ratio.weights(docs, trusted).collect()
     # each text is trusted, so nothing tells trusted texts from all
     assert found and all(abs(r["other"] - r["own"]) < 1e-2 and abs(r["own"]) < 1e-9 for r in found)
+
+
+def test_wrappers_of_the_article_are_no_notices():
+    read = lambda page: templates.main_text(templates.parse(page))
+    article = "<article><p>The text of it.</p><div class='ad-box'>Buy</div></article>"
+    for wrapper in ("<div class='layout has-sidebar'>", "<div id='page' class='with-comments'>", "<div class='social'>"):
+        assert read(f"<body>{wrapper}{article}<div class='sidebar'>Links</div></div></body>") == "The text of it."
+        assert read(f"<body>{wrapper}<main><p>Main part.</p></main></div></body>") == "Main part."
+    assert read(f"<body><main><div class='has-sidebar'>{article}</div></main></body>") == "The text of it."
+    assert read(f"<body>{article}<div class='related'><article>Teaser</article></div></body>") == "The text of it."
+    assert read(f"<body>{article}<div hidden>{article}</div></body>") == "The text of it."
