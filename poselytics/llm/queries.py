@@ -9,21 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poselytics.llm import (
+    alignment,
     bitplanes,
     decontaminate,
     gam,
     line_dedup,
     ngram_ratio,
     packing,
+    phrases,
     simhash,
     skip_chain,
     span_dedup,
     templates,
+    toxicity,
 )
 from poselytics.llm.common import table
 
 WORDS = "word_bpe_49k.json"
 BYTES = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +81,21 @@ def op10_ngram_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(docs, table(spark, sf_dir, "benchmark")).drop("text", "hits")
 
 
+def op11_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.classify(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_era_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_csr_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.digests(docs, public_tokenizers.path(BYTES), public_tokenizers.path(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bit_planes": op1_bit_planes,
     "op2_site_templates": op2_site_templates,
@@ -88,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_cuckoo": op8_line_cuckoo,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_ngram_scan": op10_ngram_scan,
+    "op11_nnpu": op11_nnpu,
+    "op12_era_phrases": op12_era_phrases,
+    "op13_csr_alignment": op13_csr_alignment,
 }
 
 
@@ -126,4 +148,37 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(all_items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op12_era_phrases": f"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+            FROM documents),
+        cut AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+        total AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM cut GROUP BY lang),
+        found AS (
+            SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS f
+            FROM cut, (SELECT unnest(range(1, 6)) AS k) AS sizes, unnest(range(1, len(w) - k + 2)) AS t(i)
+            GROUP BY ALL HAVING count(*) >= 100),
+        candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM found WHERE k > 1),
+        cuts AS (
+            SELECT lang, phrase, f AS a, j, array_to_string(w[1:j], ' ') AS left_part,
+                   array_to_string(w[j + 1:k], ' ') AS right_part
+            FROM candidates, unnest(range(1, k)) AS t(j)),
+        scores AS (
+            SELECT c.lang, c.phrase, a, j, x.f AS l, y.f AS r, n, 1000 * a * n // (x.f * y.f) AS score
+            FROM cuts AS c JOIN found AS x ON x.lang = c.lang AND x.phrase = left_part
+            JOIN found AS y ON y.lang = c.lang AND y.phrase = right_part JOIN total ON total.lang = c.lang),
+        lowest AS (
+            SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        inner_phrases AS (
+            SELECT DISTINCT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, f AS outer_f
+            FROM candidates, (SELECT unnest(range(2, 5)) AS m) AS sizes, unnest(range(1, k - m + 2)) AS t(i) WHERE m < k),
+        kept AS (
+            SELECT * FROM lowest WHERE NOT EXISTS (
+                SELECT 1 FROM inner_phrases AS p
+                WHERE p.lang = lowest.lang AND p.phrase = lowest.phrase AND 100 * outer_f >= 100 * a)),
+        places AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+        FROM places WHERE rank <= 2000""",
 }
