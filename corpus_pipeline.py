@@ -12,8 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poselytics.llm import decontaminate, gam, line_dedup, packing
-from poselytics.llm import near_copies as copies
+from poselytics.llm import decontaminate, gam, line_dedup, packing, simhash
 from poselytics.llm.common import folder, prepare, table
 from poselytics.llm.queries import BYTES
 
@@ -30,7 +29,7 @@ def _begin(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFram
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from the labelled ones among them."""
+    """Documents that the classifier accepts; it learns from the labelled ones among them, and scores rows without an id like others."""
     docs = _begin(spark, docs, sf_dir)
     model = gam.train(docs, table(spark, sf_dir, "labels"))
     return _columns(gam.classify(docs, model).where("predicted = 1"))
@@ -43,8 +42,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies: Jaccard 0.8 or more over five-word shingles."""
-    return _columns(copies.deduplicate(_begin(spark, docs, sf_dir)))
+    """One document, that of the smallest id, of each group of near copies: fingerprints of four-word shingles within four bits."""
+    return _columns(simhash.deduplicate(_begin(spark, docs, sf_dir)))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
