@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poselytics.llm.common import free_name, keep, text_of
+from poselytics.llm.common import free_name, keep, row_key, text_of
 from poselytics.llm.graph import components
 
 SHINGLE = 4
@@ -31,6 +31,8 @@ RADIUS = 4
 SEED = 42
 #: Fingerprints that one tree may hold before its shard is cut again.
 SHARD = 512
+#: Fingerprints of a block, where a shard is still larger after that; a tree holds two blocks at most.
+BLOCK = 8192
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -131,11 +133,12 @@ def _masks(bits: list[int], radius: int) -> list[tuple[int, list[int]]]:
     return found
 
 
-def _shards(prints: DataFrame, radius: int, limit: int) -> DataFrame:
-    """fp, mask, value: the shards of every fingerprint.
+def _shards(prints: DataFrame, radius: int, limit: int, block: int) -> DataFrame:
+    """fp, mask, value, part: the shards of every fingerprint.
 
-    Shards over ``limit`` are cut once more. What is still over it then agrees in a third of
-    all bits or more and is one family of near copies, which further cuts would only repeat.
+    Shards over ``limit`` are cut once more. What is still over ``block`` then agrees in a third of
+    all bits or more and is one family of near copies, which further cuts would only repeat: it is dealt to
+    blocks, and any two of them are a part of their own, so that all its members meet and no tree holds them all.
     """
     masks = _masks(list(range(64)), radius)
     first = prints.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m, _ in masks])).alias("mask"))
@@ -143,23 +146,33 @@ def _shards(prints: DataFrame, radius: int, limit: int) -> DataFrame:
     full = first.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > limit)
     full = keep(full.select("mask", "value"), "full-shards")
     if full.isEmpty():
-        return first
+        return first.withColumn("part", F.lit(0).cast("long"))
     within = [
         F.when(F.col("mask") == m, F.array(*[F.lit(m | part).cast("long") for part, _ in _masks(rest, radius)]))
         for m, rest in masks
     ]
     second = first.join(full, ["mask", "value"], "left_semi").select("fp", F.explode(F.coalesce(*within)).alias("mask"))
     second = second.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
-    return first.join(full, ["mask", "value"], "left_anti").select("fp", "mask", "value").union(second)
-
-
-def link(prints: DataFrame, radius: int = RADIUS, limit: int = SHARD) -> DataFrame:
+    whole = first.join(full, ["mask", "value"], "left_anti").select("fp", "mask", "value", F.lit(0).cast("long").alias("part"))
+    sizes = second.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    sizes = keep(sizes.select("mask", "value", F.ceil(F.col("n") / block).cast("long").alias("blocks")), "family-shards")
+    if sizes.isEmpty():
+        return whole.union(second.select("fp", "mask", "value", F.lit(0).cast("long").alias("part")))
+    dealt = second.join(sizes, ["mask", "value"], "left")
+    own = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1)))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1))
+    pairs = dealt.select("fp", "mask", "value", own.alias("own"), other.alias("other"))
+    part = F.least("own", "other") * (1 << 31) + F.greatest("own", "other")
+    return whole.union(pairs.select("fp", "mask", "value", part.alias("part")))
+
+
+def link(prints: DataFrame, radius: int = RADIUS, limit: int = SHARD, block: int = BLOCK) -> DataFrame:
     """Edges a, b that connect all distinct values of ``prints.fp`` linked within ``radius``."""
-    shards = _shards(prints, radius, limit)
-    near = shards.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp")
+    shards = _shards(prints, radius, limit, block)
+    near = shards.repartition("mask", "value", "part").sortWithinPartitions("mask", "value", "part", "fp")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key: tuple[int, int] | None = None
+        open_key: tuple[int, int, int] | None = None
         held: list[np.ndarray] = []
         a: list[int] = []
         b: list[int] = []
@@ -172,11 +185,11 @@ def link(prints: DataFrame, radius: int = RADIUS, limit: int = SHARD) -> DataFra
                     b.append(int(values[y]))
 
         for batch in batches:
-            fp, mask, value = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            edges = np.flatnonzero((mask[1:] != mask[:-1]) | (value[1:] != value[:-1])) + 1
+            fp, mask, value, part = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            edges = np.flatnonzero((mask[1:] != mask[:-1]) | (value[1:] != value[:-1]) | (part[1:] != part[:-1])) + 1
             starts = [0, *edges.tolist()] if len(fp) else []
             for start, stop in zip(starts, [*starts[1:], len(fp)], strict=True):
-                key = (int(mask[start]), int(value[start]))
+                key = (int(mask[start]), int(value[start]), int(part[start]))
                 if key != open_key and held:
                     close()
                     held = []
@@ -192,31 +205,42 @@ def link(prints: DataFrame, radius: int = RADIUS, limit: int = SHARD) -> DataFra
     return near.mapInArrow(search, "a long, b long")
 
 
+def _linked(base: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """``base`` without text but with fp; and fp, root and least, the smallest doc_id, of each fingerprint."""
+    marked = keep(fingerprints(base, shingle), "fingerprints")
+    least = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
+    roots = components(link(least.select("fp"), radius))
+    linked = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return marked, linked.select("fp", F.coalesce("root", "fp").alias("root"), "least")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` without text, with fp (long) and component_id, the smallest doc_id it is linked with.
 
-    Rows without words have fingerprint 0 and link like any others. A row whose
-    whole component has no doc_id gets none. Repeated rows are members like any others.
+    Rows without words, null texts too, have fingerprint 0 and link like any others. A row whose
+    whole component has no doc_id gets none. Repeated rows are members like any others. An empty table gives an empty one.
     """
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("fp", "component_id")])
-    marked = keep(fingerprints(base, shingle), "fingerprints")
-    least = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
-    roots = components(link(least.select("fp"), radius))
-    linked = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    linked = linked.select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    marked, linked = _linked(base, shingle, radius)
     lowest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = linked.join(lowest, "root").select("fp", "component_id")
     return marked.join(classes, "fp")
 
 
 def deduplicate(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id, of equal ones the first.
+    """``docs`` with one row of each component: that of the smallest doc_id, of equal ones the smallest text.
 
-    Rows whose component has no doc_id at all count as one component.
+    Rows without an id take part like others and stay only where their whole component has none. Of rows equal in
+    id and text one stays, and an empty table gives an empty one.
     """
-    row = free_name(docs, "row")
-    numbered = keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered.select(F.col(row).alias("row"), "doc_id", "text"), shingle=shingle, radius=radius)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    winners = found.groupBy("component_id").agg(first).select(F.col("first.row").alias(row))
-    return numbered.join(winners, row, "left_semi").drop(row)
+    key = free_name(docs, "key")
+    keyed = docs.withColumn(key, row_key(text_of(docs), docs["doc_id"]))
+    marked, linked = _linked(keyed.select(F.col(key).alias("key"), "doc_id", "text"), shingle, radius)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = marked.groupBy("fp").agg(F.min(order).alias("first"))
+    winners = first.join(linked, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias(key))
+    again = keep(marked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "equal-rows")
+    if not again.isEmpty():
+        keyed = keyed.dropDuplicates([key])
+    # texts take one exchange at any size of the winners' table
+    return keyed.join(winners.hint("shuffle_hash"), key, "left_semi").drop(key)

@@ -2,42 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from poselytics.llm import near_copies, ngram_ratio, span_dedup, templates
-from tests.llm.conftest import DOCS, prose
-
-
-def brute_copies(rows):
-    """Smallest place (no id last, id, place) of each group of texts of Jaccard 0.8 or more, all pairs compared."""
-    sets = []
-    for _, t in rows:
-        words = (t or "").encode("utf-8", "replace").lower().split()
-        sets.append({b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
-    group = list(range(len(rows)))
-    for a in range(len(rows)):
-        for b in range(a):
-            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                old, new = group[a], group[b]
-                group = [new if g == old else g for g in group]
-    first = {}
-    for k, (i, _) in enumerate(rows):
-        place = (i is None, i or 0, k)
-        first[group[k]] = min(place, first.get(group[k], place))
-    return sorted(("" if i is None else str(rows[k][0])) + (rows[k][1] or "") for _, i, k in ((p[0], rows[p[2]][0], p[2]) for p in first.values()))
-
-
-def test_near_copies_of_jaccard(llm, docs, texts, empty):
-    def edited(seed, step):
-        words = prose(seed, 400).split()
-        return " ".join("edited" + str(k) if k % step == 7 else w for k, w in enumerate(words))
-
-    more = [(1000 + 10 * s + n, edited(s, n)) for s in range(60, 66) for n in (400, 90, 70, 60, 50, 45, 40)]
-    more += [(1999 - k, " ".join([*prose(70, 300).split()[k * 3 :], *prose(80 + k, k * 3).split()])) for k in range(20)]
-    rows = [*texts, *more]
-    frame = llm.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCS).coalesce(1)
-    found = near_copies.deduplicate(frame).collect()
-    assert sorted(("" if r["doc_id"] is None else str(r["doc_id"])) + (r["text"] or "") for r in found) == brute_copies(rows)
-    assert near_copies.deduplicate(empty).count() == 0
-    assert near_copies.deduplicate(docs.withColumn("row", F.lit(0))).columns == [*docs.columns, "row"]
+from poselytics.llm import ngram_ratio, span_dedup, templates
+from tests.llm.conftest import prose
 
 
 def left_of(llm, rows):
