@@ -99,6 +99,128 @@ def state_terms(conditions: list[str]) -> list[dict]:
     return terms[::-1]
 
 
+#: Most cells of a decision table; exercises that need more keep their comparisons and rules.
+MAX_CELLS = 4096
+
+
+class DecisionTable:
+    """What every combination of intervals of the angles leads to.
+
+    The constants that an angle is compared with cut its axis: below the first, equal to it, between it
+    and the second and so on, 2 m + 1 places for m constants; then one for a value without order (NaN or null)
+    and one for an angle that is absent. A cell is a place on each axis, and its number the sum
+    of places times strides. ``state_cells`` tells where the comparisons end in it (None if they read an absent angle) and
+    ``rule_cells`` which of ``outcomes``, pairs of feedback ids and whether one is critical, its rules give.
+    Either is None where it would have over ``MAX_CELLS`` cells, or compares more than an angle with a number.
+    """
+
+    def __init__(
+        self,
+        terms: list[dict],
+        rules: tuple[tuple[str, float | None, float | None, str, bool], ...],
+        stop_at_critical: bool,
+    ) -> None:
+        simple = all("names" not in t for t in terms)
+        in_states = list(dict.fromkeys(t["angle"] for t in terms)) if simple else []
+        in_rules = list(dict.fromkeys(r[0] for r in rules))
+        self.axes = list(dict.fromkeys(in_states + in_rules))
+        found: dict[str, set[float]] = {angle: set() for angle in self.axes}
+        for t in terms if simple else []:
+            found[t["angle"]].add(float(t["value"]))
+        for angle, low, high, _, _ in rules:
+            found[angle] |= {float(x) for x in (low, high) if x is not None}
+        self.cuts = [sorted(found[angle]) for angle in self.axes]
+        self._at = [{value: 2 * k + 1 for k, value in enumerate(cuts)} for cuts in self.cuts]
+        self.outcomes: list[tuple[tuple[str, ...], bool]] = []
+        self.state_strides, self.state_cells = self._table(in_states, lambda c: self._end(terms, c)) if simple else ([], None)
+        self.rule_strides, self.rule_cells = self._table(in_rules, lambda c: self._outcome(rules, c, stop_at_critical))
+
+    def _table(self, angles: list[str], value) -> tuple[list[int], list | None]:
+        """Strides by axis, 0 for one that does not matter, and the value of each cell."""
+        sizes = [2 * len(cuts) + 3 if angle in angles else 1 for angle, cuts in zip(self.axes, self.cuts, strict=True)]
+        strides, n = [], 1
+        for size in sizes:
+            strides.append(n if size > 1 else 0)
+            n *= size
+        if n > MAX_CELLS:
+            return strides, None
+        cells = []
+        for cell in range(n):
+            places = []
+            for size in sizes:
+                cell, place = divmod(cell, size)
+                places.append(place)
+            cells.append(value(dict(zip(self.axes, places, strict=True))))
+        return strides, cells
+
+    def _end(self, terms: list[dict], places: dict[str, int]) -> int | None:
+        by_place = {t["place"]: t for t in terms}
+        at = len(terms) - 1
+        while at >= 0:
+            term = by_place[at]
+            axis = self.axes.index(term["angle"])
+            place, highest = places[term["angle"]], 2 * len(self.cuts[axis])
+            if place == highest + 2:
+                return None
+            mark = self._at[axis][float(term["value"])]
+            order = "unordered" if place > highest else "less" if place < mark else "greater" if place > mark else "equal"
+            at = term[order]
+        return at
+
+    def _outcome(self, rules: tuple, places: dict[str, int], stop_at_critical: bool) -> int:
+        ids, any_critical = [], False
+        for angle, low, high, feedback, critical in rules:
+            axis = self.axes.index(angle)
+            place = places[angle]
+            if place > 2 * len(self.cuts[axis]):
+                continue
+            below = low is not None and place < self._at[axis][float(low)]
+            above = high is not None and place > self._at[axis][float(high)]
+            if below or above:
+                ids.append(feedback)
+                any_critical |= critical
+                if critical and stop_at_critical:
+                    break
+        outcome = (tuple(ids), any_critical)
+        if outcome not in self.outcomes:
+            self.outcomes.append(outcome)
+        return self.outcomes.index(outcome)
+
+
+def cell_steps(n_axes: int, n_cuts: int, angles: str) -> list[list[str]]:
+    """Projections, one after another, that end with ``_state_cell`` and ``_rule_cell``.
+
+    They read the columns ``_axes``, ``_cuts``, ``_state_strides`` and ``_rule_strides``. Each axis takes a binary search,
+    unrolled for at most ``n_cuts`` cuts, so that it needs no lambda and stays in generated code.
+    """
+    axes = range(n_axes)
+    steps = [[f"{angles}[get(_axes, {j})] AS _v{j}" for j in axes]]
+    names = ["0" for _ in axes]
+    width = 1 << max(n_cuts, 1).bit_length() - 1
+    while width:
+        steps.append(
+            [
+                f"if(_v{j} > get(get(_cuts, {j}), {names[j]} + {width - 1}), {names[j]} + {width}, {names[j]}) AS _k{j}_{width}"
+                for j in axes
+            ]
+        )
+        names = [f"_k{j}_{width}" for j in axes]
+        width //= 2
+    # an absent angle and one without a value differ; a list of angles that is too short for the axis has neither
+    steps.append(
+        [
+            f"CASE WHEN _v{j} IS NULL THEN 2 * size(get(_cuts, {j})) + "
+            f"if(coalesce(map_contains_key({angles}, get(_axes, {j})), false), 1, 2) "
+            f"WHEN isnan(_v{j}) THEN 2 * size(get(_cuts, {j})) + 1 "
+            f"ELSE 2 * {names[j]} + if(get(get(_cuts, {j}), {names[j]}) = _v{j}, 1, 0) END AS _p{j}"
+            for j in axes
+        ]
+    )
+    cell = lambda strides: " + ".join(["0", *[f"coalesce(_p{j} * get({strides}, {j}), 0)" for j in axes]])
+    steps.append([f"{cell('_state_strides')} AS _state_cell", f"{cell('_rule_strides')} AS _rule_cell"])
+    return steps
+
+
 def first_state_sql(terms: str, angles: str) -> str:
     """Where the comparisons of ``state_terms`` end; NULL if one reads an angle that the map lacks."""
 

@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from poselytics.functions.angles import angle_map, nan_to_null
-from poselytics.functions.rules import NO_STATE, first_state_sql, up_to_first_critical, violated_rules
+from poselytics.functions.rules import (
+    NO_STATE,
+    cell_steps,
+    first_state_sql,
+    up_to_first_critical,
+    violated_rules,
+)
 from poselytics.sources.catalog import MAX_BYTES, Catalog
 
 # replay order inside a session: epoch ms, ties by frame id, then full precision
@@ -59,37 +65,49 @@ def classify(
     ``keep_rejects`` they stay, marked by ``reject_reason``.
 
     The rules are data: one row per exercise and level, broadcast (the catalog's size is
-    checked on reading), with the conditions and thresholds as arrays. The plan is the same for any catalog.
+    checked on reading). It holds a decision table: a frame takes a binary search per angle and a lookup, all in generated
+    code. Only if a catalog has conditions that no table holds, such as sums of angles, are the comparisons of
+    those exercises walked one by one.
     """
-    table = catalog.rule_table()
-    rules = F.broadcast(table.select(*[F.col(c).alias(f"_{c}") for c in table.columns]))
-    joined = compact.join(
+    tables = catalog.decision_tables(stop_at_critical)
+    walk_states = any(t.state_cells is None for t in tables)
+    walk_rules = any(t.rule_cells is None for t in tables)
+    table = catalog.rule_table(stop_at_critical)
+    unused = [c for c, needed in (("terms", walk_states), ("rules", walk_rules)) if not needed]
+    rules = F.broadcast(table.select(*[F.col(c).alias(f"_{c}") for c in table.columns if c not in unused]))
+    judged = compact.join(
         rules, (F.col(exercise) == F.col("_exercise")) & (F.col("level") == F.col("_level")), "left"
     )
+    for step in cell_steps(
+        max((len(t.axes) for t in tables), default=0), max((len(c) for t in tables for c in t.cuts), default=0), "angles"
+    ):
+        judged = judged.selectExpr("*", *step)
     bad = "coalesce(abs(nanvl(angles[_offset_angle], NULL)) > _offset_thresh, false)"
     readable = "(_offset_angle IS NULL OR coalesce(map_contains_key(angles, _offset_angle), false))"
-    at = first_state_sql("_terms", "angles")
+    at = "get(_state_cells, _state_cell)"
+    if walk_states:
+        at = f"CASE WHEN _state_cells IS NOT NULL THEN {at} ELSE {first_state_sql('_terms', 'angles')} END"
     at = f"CASE WHEN NOT {bad} AND {readable} THEN {at} END"
-    violated = violated_rules(F.col("_rules"), F.col("angles"))
-    if stop_at_critical:
-        violated = up_to_first_critical(violated)
-    result = (
-        # a generator row: a filter on the outcome cannot be moved below it, where it would evaluate the conditions again
-        joined.selectExpr("*", f"inline(array(struct({bad} AS bad_posture, {at} AS _at)))")
-        .selectExpr("*", f"{_REJECT_REASON} AS reject_reason")
-        .selectExpr("*", f"CASE WHEN _at < {NO_STATE} THEN get(_states, {NO_STATE - 1} - _at) END AS state")
-        .withColumn(
-            "_violated",
-            F.when(F.expr("NOT bad_posture AND reject_reason IS NULL AND NOT (state <=> 's1')"), violated),
-        )
-        .selectExpr(
-            *[f"`{c}`" for c in compact.columns],
-            "bad_posture",
-            "state",
-            "coalesce(transform(_violated, r -> r.feedback), CAST(array() AS ARRAY<STRING>)) AS feedback_ids",
-            "coalesce(exists(_violated, r -> r.critical), false) AS critical",
-            "reject_reason",
-        )
+    # a generator row: a filter on the outcome cannot be moved below it, where it would evaluate everything again
+    judged = judged.selectExpr("*", f"inline(array(struct({bad} AS bad_posture, {at} AS _at, get(_rule_cells, _rule_cell) AS _outcome)))")
+    judged = judged.selectExpr("*", f"{_REJECT_REASON} AS reject_reason")
+    judged = judged.selectExpr("*", f"CASE WHEN _at < {NO_STATE} THEN get(_states, {NO_STATE - 1} - _at) END AS state")
+    applies = "NOT bad_posture AND reject_reason IS NULL AND NOT (state <=> 's1')"
+    ids, critical = "get(_outcomes, _outcome).ids", "get(_outcomes, _outcome).critical"
+    if walk_rules:
+        violated = violated_rules(F.col("_rules"), F.col("angles"))
+        if stop_at_critical:
+            violated = up_to_first_critical(violated)
+        judged = judged.withColumn("_violated", F.when(F.expr(f"{applies} AND _rule_cells IS NULL"), violated))
+        ids = f"coalesce(transform(_violated, r -> r.feedback), {ids})"
+        critical = f"coalesce(exists(_violated, r -> r.critical), {critical})"
+    result = judged.selectExpr(
+        *[f"`{c}`" for c in compact.columns],
+        "bad_posture",
+        "state",
+        f"coalesce(CASE WHEN {applies} THEN {ids} END, CAST(array() AS ARRAY<STRING>)) AS feedback_ids",
+        f"coalesce({applies} AND {critical}, false) AS critical",
+        "reject_reason",
     )
     if keep_rejects:
         return result

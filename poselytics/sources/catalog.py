@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from poselytics.functions.rules import state_terms
+from poselytics.functions.rules import DecisionTable, state_terms
 from poselytics.schema import CATALOG_DOC
 
 BUILTIN_FOLDER = Path(__file__).resolve().parent.parent / "resources" / "catalog"
@@ -63,6 +63,13 @@ _RULE_ROW = pa.schema(
         "terms": pa.list_(TERM),
         "offset_angle": pa.string(),
         "offset_thresh": pa.float64(),
+        "axes": pa.list_(pa.string()),
+        "cuts": pa.list_(pa.list_(pa.float64())),
+        "state_strides": pa.list_(pa.int32()),
+        "state_cells": pa.list_(pa.int32()),
+        "rule_strides": pa.list_(pa.int32()),
+        "rule_cells": pa.list_(pa.int32()),
+        "outcomes": pa.list_(pa.struct({"ids": pa.list_(pa.string()), "critical": pa.bool_()})),
     }
 )
 
@@ -87,6 +94,7 @@ class Catalog:
 
     documents: DataFrame
     inactive_override_s: float | None = field(default=None)
+    _tables: dict[bool, list[DecisionTable]] = field(default_factory=dict, repr=False)
 
     def with_inactive_limit(self, seconds: float) -> Catalog:
         return Catalog(self.documents, seconds)
@@ -217,7 +225,15 @@ class Catalog:
             )
         return found
 
-    def rule_table(self) -> DataFrame:
+    def decision_tables(self, stop_at_critical: bool = True) -> list[DecisionTable]:
+        """One for each of ``rules``."""
+        if stop_at_critical not in self._tables:
+            self._tables[stop_at_critical] = [
+                DecisionTable(state_terms([text for _, text in r.states]), r.thresholds, stop_at_critical) for r in self.rules
+            ]
+        return self._tables[stop_at_critical]
+
+    def rule_table(self, stop_at_critical: bool = True) -> DataFrame:
         """One row per (exercise, level), small enough to broadcast."""
         rows = [
             {
@@ -228,8 +244,15 @@ class Catalog:
                 "terms": state_terms([text for _, text in r.states]),
                 "offset_angle": r.offset_angle,
                 "offset_thresh": r.offset_thresh,
+                "axes": table.axes,
+                "cuts": table.cuts,
+                "state_strides": table.state_strides,
+                "state_cells": table.state_cells,
+                "rule_strides": table.rule_strides,
+                "rule_cells": table.rule_cells,
+                "outcomes": [{"ids": list(ids), "critical": critical} for ids, critical in table.outcomes],
             }
-            for r in self.rules
+            for r, table in zip(self.rules, self.decision_tables(stop_at_critical), strict=True)
         ]
         return self.documents.sparkSession.createDataFrame(pa.Table.from_pylist(rows, _RULE_ROW))
 
