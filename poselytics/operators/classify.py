@@ -57,12 +57,14 @@ def classify(
     exercise: str = "exercise",
     keep_rejects: bool = False,
     stop_at_critical: bool = True,
+    limits: bool = False,
 ) -> DataFrame:
     """Add ``bad_posture, state, feedback_ids, critical``; one narrow pass, no shuffle.
 
     ``exercise`` names the column that picks the rules. Frames of an unknown
     exercise, or without an angle that a rule comes to read, are dropped; with
-    ``keep_rejects`` they stay, marked by ``reject_reason``.
+    ``keep_rejects`` they stay, marked by ``reject_reason``. ``limits`` adds ``success`` and
+    ``inactive_us``, the sequence and limit a fold goes by. Of a catalog with versions, the one valid at the frame's time judges it.
 
     The rules are data: one row per exercise and level, broadcast (the catalog's size is
     checked on reading). It holds a decision table: a frame takes a binary search per angle and a lookup, all in generated
@@ -75,9 +77,10 @@ def classify(
     table = catalog.rule_table(stop_at_critical)
     unused = [c for c, needed in (("terms", walk_states), ("rules", walk_rules)) if not needed]
     rules = F.broadcast(table.select(*[F.col(c).alias(f"_{c}") for c in table.columns if c not in unused]))
-    judged = compact.join(
-        rules, (F.col(exercise) == F.col("_exercise")) & (F.col("level") == F.col("_level")), "left"
-    )
+    match = (F.col(exercise) == F.col("_exercise")) & (F.col("level") == F.col("_level"))
+    if catalog.versioned:
+        match = match & F.expr("ts_us >= _valid_from_us AND (_valid_until_us IS NULL OR ts_us < _valid_until_us)")
+    judged = compact.join(rules, match, "left")
     for step in cell_steps(
         max((len(t.axes) for t in tables), default=0), max((len(c) for t in tables for c in t.cuts), default=0), "angles"
     ):
@@ -107,6 +110,7 @@ def classify(
         "state",
         f"coalesce(CASE WHEN {applies} THEN {ids} END, CAST(array() AS ARRAY<STRING>)) AS feedback_ids",
         f"coalesce({applies} AND {critical}, false) AS critical",
+        *(["_success AS success", "_inactive_us AS inactive_us"] if limits else []),
         "reject_reason",
     )
     if keep_rejects:

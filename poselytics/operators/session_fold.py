@@ -329,6 +329,9 @@ def _rep_walks(success, states, good, bad, critical) -> dict[tuple[int, str | No
 
 
 def fold_rules(catalog: Catalog) -> dict[tuple[str, int], tuple[tuple[str, ...], int]]:
+    """Sequence and limit by exercise and level; a fold by them needs one version of each."""
+    if catalog.versioned:
+        raise ValueError("a catalog with versions judges frames; choose one version to fold sessions by")
     return {(r.exercise, r.level): (r.success_sequence, r.inactive_us) for r in catalog.rules}
 
 

@@ -605,4 +605,42 @@ def oracle_sql() -> dict[str, str]:
            FROM summary s""",
         _windows(),
     )
+    sql["stream_report_messages"] = sql["report_messages"]
+    sql["stream_rejects"] = sql["frame_rule_rejects"]
+    sql["stream_metrics"] = _sql(
+        """SELECT count(*) + 1 AS frames_processed, count(reject_reason) + 1 AS frames_rejected, CAST(0 AS BIGINT) AS rows_too_late
+           FROM (SELECT CASE WHEN event_type NOT IN ('click', 'view') THEN 'unknown_exercise'
+                             WHEN event_id % 4 = 2 THEN 'missing_angle'
+                             WHEN event_id % 4 = 1 AND abs(offset_angle) <= 45.0 THEN 'missing_angle' END AS reject_reason
+                 FROM frames)""",
+        FRAMES,
+    )
+    sql["stream_reopened"] = _sql(
+        """SELECT session_uuid, session_instance, count(*) AS n_frames,
+             CASE WHEN bool_or(is_complete) THEN 'completed' ELSE 'timeout' END AS status
+           FROM tracked GROUP BY session_uuid, session_instance""",
+        FRAMES,
+        _life(timeout_s=5.0),
+    )
+    # two versions of one threshold, each valid for its time
+    changed = STATES.replace("110", f"(CASE WHEN ts_us >= {EPOCH_US + 30_000_000} THEN 100 ELSE 110 END)")
+    sql["stream_catalog_change"] = _sql(
+        "SELECT session_uuid, session_instance, ts_us, frame_track_uuid, rep FROM trace WHERE rep IS NOT NULL",
+        FRAMES,
+        changed,
+        RULES,
+        VIOLATIONS,
+        _life(),
+        _fold(),
+    )
+    sql["catalog_rules"] = _sql(
+        """SELECT event_type AS exercise, count(*) AS n_frames,
+             CASE WHEN event_type = 'click' THEN CAST(6 AS BIGINT) END AS n_states,
+             CASE WHEN event_type = 'click' THEN CAST(8 AS BIGINT) END AS n_rules,
+             CASE event_type WHEN 'error' THEN 'beginner: unsupported value in condition: ''elbow_angle.value > 1'''
+               WHEN 'purchase' THEN 'pro: INACTIVE_THRESH is missing'
+               WHEN 'signup' THEN 'beginner: a rule of elbow_angle has no feedback' END AS reason
+           FROM frames GROUP BY event_type""",
+        FRAMES,
+    )
     return sql

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +22,7 @@ from poselytics.operators.classify import (
     with_messages,
 )
 from poselytics.operators.lifecycle import (
+    PROCESSING_DELAY_S,
     idle_gaps,
     order_frames,
     session_lifecycle,
@@ -35,8 +36,16 @@ from poselytics.operators.session_fold import (
     session_trace,
 )
 from poselytics.plans.analysis import SessionAnalysis
+from poselytics.schema import FRAME
 from poselytics.session import configure, shared_folder
-from poselytics.sources.catalog import builtin_catalog, catalog_from_documents
+from poselytics.sources.catalog import (
+    BUILTIN_FOLDER,
+    builtin_catalog,
+    catalog_from_documents,
+    read_catalog,
+    version_table,
+    write_documents,
+)
 from poselytics.sources.events import EPOCH_US, events_frames, frames_of
 from poselytics.sources.frames import (
     parse_frames,
@@ -45,8 +54,8 @@ from poselytics.sources.frames import (
     valid_frames,
 )
 from poselytics.sources.sinks import report_messages
-from poselytics.streaming.jobs import write_stream
-from poselytics.streaming.sessions import EVENT_SCHEMA, events_of, session_events
+from poselytics.streaming.jobs import RunMetrics, judge_stream, judged_frames, write_stream
+from poselytics.streaming.sessions import EVENT_SCHEMA, events_of, fold_stream, report_rows, session_events
 
 EPOCH_MS = EPOCH_US // 1000
 AS_OF_MS = EPOCH_MS + 50_000
@@ -56,6 +65,8 @@ SHORT_TIMEOUT_S = 5.0
 SHORT_INACTIVE_S = 1.5
 
 END_SESSION = "end-of-stream"
+# event time, from the first frame on, at which the rules of a stream change
+RULES_CHANGE_S = 30
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -260,16 +271,33 @@ def unknown_exercises(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_rule_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two event types have rules; a quarter each of the frames lacks the elbow or the offset angle."""
-    frames = events_frames(configure(spark), sf_dir, None)
-    known = F.when(F.col("exercise").isin("click", "view"), F.lit("dumbbell-arm")).otherwise(F.col("exercise"))
-    number = F.substring("frame_track_uuid", 3, 20).cast("bigint") % 4
-    lacking = F.when(number == 1, F.lit("elbow_angle")).when(number == 2, F.lit("offset_angle")).otherwise(F.lit(""))
-    angles = F.filter("metrics.angles", lambda a: a["name"] != lacking)
-    frames = frames.withColumn("exercise", known).withColumn("metrics", F.col("metrics").withField("angles", angles))
+    frames = _faulty_frames(events_frames(configure(spark), sf_dir, None))
     return rule_rejects(compact_frames(frames, F.col("level")), builtin_catalog(spark))
 
 
+def _stored_documents() -> dict[str, str]:
+    """Documents by event type: a sound one and four with a fault each."""
+    text = (BUILTIN_FOLDER / "dumbbell-arm.json").read_text(encoding="utf-8")
+    faulty = {kind: json.loads(text) for kind in ("error", "purchase", "signup")}
+    faulty["error"]["state_machine"]["beginner"]["states"][1]["condition"] = "elbow_angle.value > 1"
+    del faulty["purchase"]["thresholds"]["pro"]["INACTIVE_THRESH"]
+    del faulty["signup"]["thresholds"]["beginner"]["angle_thresh"]["elbow_angle"][0]["feedback"]
+    return {"click": text, "view": text[:-30], **{kind: json.dumps(d) for kind, d in faulty.items()}}
+
+
+def catalog_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of each exercise beside what a stored catalog holds for it: its rules, or why it has none."""
+    folder = f"{_new_folder(configure(spark))}/catalog"
+    write_documents(spark, folder, _stored_documents())
+    catalog = read_catalog(spark, folder)
+    frames = events_frames(spark, sf_dir, None).groupBy("exercise").agg(F.count("*").alias("n_frames"))
+    sound = catalog.rule_table().groupBy("exercise").agg(
+        F.sum(F.size("states")).alias("n_states"), F.sum(F.size("rules")).alias("n_rules")
+    )
+    reasons = spark.createDataFrame(list(catalog.invalid.items()), "exercise string, reason string")
+    return frames.join(sound, "exercise", "left").join(reasons, "exercise", "left")
+
+
 def frame_violation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame_violations(_classified(spark, sf_dir, stop_at_critical=False)).drop("exercise")
 
@@ -483,8 +511,10 @@ def running_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_message_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = report_messages(_analysis(spark, sf_dir).reports())
+    return _message_fields(report_messages(_analysis(spark, sf_dir).reports()))
+
 
+def _message_fields(messages: DataFrame) -> DataFrame:
     def field(path: str) -> Column:
         return F.get_json_object("value", f"$.{path}")
 
@@ -561,23 +591,165 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replay the events table through the streaming engine and read its output back."""
-    configure(spark)
+def _new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
+
+
+def _replayed(spark: SparkSession, sf_dir: str, exercise: str | None = "dumbbell-arm") -> DataFrame:
+    """The events table as a stream of frames."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    frames = frames_of(source, "dumbbell-arm")
-    # a frame far in the future lets the watermark pass the last real one
-    end = (
-        frames.filter(F.col("frame_track_uuid") == "f-0")
-        .withColumn("session_uuid", F.lit(END_SESSION))
-        .withColumn("timestamp", F.timestamp_micros(F.lit(EPOCH_US + 10**12)))
+    return frames_of(source, exercise)
+
+
+def _end_frame(spark: SparkSession) -> DataFrame:
+    """A frame far in the future, which lets the watermark pass the last real one."""
+    own = {
+        "frame_track_uuid": F.lit("end"),
+        "timestamp": F.timestamp_micros(F.lit(EPOCH_US + 10**12)),
+        "exercise": F.lit("dumbbell-arm"),
+        "session_uuid": F.lit(END_SESSION),
+    }
+    columns = [own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in FRAME]
+    return spark.range(1).select(*columns, F.lit(0).alias("level"))
+
+
+def _ended(frames: DataFrame, folder: str) -> DataFrame:
+    """The stream with the end frame, from a file of its own."""
+    spark = frames.sparkSession
+    end = _end_frame(spark).select(*frames.columns)
+    end.coalesce(1).write.parquet(f"{folder}/end")
+    return frames.unionByName(spark.readStream.schema(end.schema).parquet(f"{folder}/end"))
+
+
+def _run(events: DataFrame, folder: str) -> DataFrame:
+    """Run a stream of events until its input is used up and read its output back."""
+    write_stream(events, f"{folder}/events", f"{folder}/checkpoint", once=True).awaitTermination()
+    found = events.sparkSession.read.schema(EVENT_SCHEMA).parquet(f"{folder}/events")
+    return found.filter(F.col("session_uuid") != END_SESSION)
+
+
+def _stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replay the events table through the streaming engine and read its output back."""
+    folder = _new_folder(configure(spark))
+    frames = _ended(_replayed(spark, sf_dir), folder)
+    return _run(session_events(frames, builtin_catalog(spark), F.col("level")), folder)
+
+
+def _slices(spark: SparkSession, sf_dir: str, folder: str, bounds_s: list[float]) -> Iterator[int]:
+    """Store the frames in slices of event time, each a file of its own: a stream takes one a micro-batch."""
+    frames = events_frames(spark, sf_dir)
+    elapsed = F.unix_micros("timestamp") - EPOCH_US
+    for n, (low, high) in enumerate(zip([float("-inf"), *bounds_s], [*bounds_s, float("inf")])):
+        part = frames.filter((elapsed >= low * 1e6) & (elapsed < high * 1e6))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/frames")
+        yield n
+
+
+def _sliced_stream(spark: SparkSession, folder: str) -> DataFrame:
+    schema = spark.read.parquet(f"{folder}/frames").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/frames")
+
+
+def stream_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that are closed, forgotten and opened again while the stream runs: their instances go on counting."""
+    folder = _new_folder(configure(spark))
+    for _ in _slices(spark, sf_dir, folder, [12, 24, 36, 48, 60]):
+        pass
+    _end_frame(spark).coalesce(1).write.mode("append").parquet(f"{folder}/frames")
+    events = session_events(
+        _sliced_stream(spark, folder),
+        builtin_catalog(spark),
+        F.col("level"),
+        timeout_s=SHORT_TIMEOUT_S,
+        forget_after_s=SHORT_TIMEOUT_S + 1,
+    )
+    return events_of(_run(events, folder), "report").select("session_uuid", "session_instance", "status", "n_frames")
+
+
+def _changed_document() -> str:
+    """The rules after the change: the arm counts as stretched beyond 100 degrees already."""
+    document = json.loads((BUILTIN_FOLDER / "dumbbell-arm.json").read_text(encoding="utf-8"))
+    for machine in document["state_machine"].values():
+        for state in machine["states"]:
+            state["condition"] = state["condition"].replace("110", "100")
+    return json.dumps(document)
+
+
+def stream_catalog_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetitions while the rules change: each frame is judged by the version valid at its time."""
+    folder = _new_folder(configure(spark))
+    first = (BUILTIN_FOLDER / "dumbbell-arm.json").read_text(encoding="utf-8")
+
+    def publish(from_s: int, text: str) -> None:
+        row = spark.range(1).select(
+            F.lit("dumbbell-arm").alias("exercise"),
+            F.timestamp_micros(F.lit(EPOCH_US + from_s * 1_000_000)).alias("valid_from"),
+            F.lit(text).alias("text"),
+        )
+        row.coalesce(1).write.mode("append").parquet(f"{folder}/versions")
+
+    publish(0, first)
+    for n in _slices(spark, sf_dir, folder, [RULES_CHANGE_S]):
+        if n:
+            publish(RULES_CHANGE_S, _changed_document())
+        judge_stream(
+            _sliced_stream(spark, folder),
+            lambda session: version_table(session, f"{folder}/versions"),
+            f"{folder}/judged",
+            f"{folder}/judging",
+            F.col("level"),
+            once=True,
+        ).awaitTermination()
+    end = compact_frames(_end_frame(spark), F.col("level"), keep=("timestamp",))
+    end = classify(end, builtin_catalog(spark), keep_rejects=True, limits=True).drop("angles")
+    end.coalesce(1).write.parquet(f"{folder}/judged/batch=999999999")
+    events = fold_stream(judged_frames(spark, f"{folder}/judged", PROCESSING_DELAY_S))
+    return events_of(_run(events, folder), "rep").select(
+        "session_uuid", "session_instance", "ts_us", "frame_track_uuid", "rep"
     )
-    events = session_events(frames.unionByName(end), builtin_catalog(spark), F.col("level"))
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
-    query = write_stream(events, f"{folder}/events", f"{folder}/checkpoint", once=True)
-    query.awaitTermination()
-    return spark.read.schema(EVENT_SCHEMA).parquet(f"{folder}/events").filter(F.col("session_uuid") != END_SESSION)
+
+
+def _faulty_frames(frames: DataFrame) -> DataFrame:
+    """Two event types have rules; a quarter each of the frames lacks the elbow or the offset angle."""
+    known = F.when(F.col("exercise").isin("click", "view"), F.lit("dumbbell-arm")).otherwise(F.col("exercise"))
+    number = F.substring("frame_track_uuid", 3, 20).cast("bigint") % 4
+    lacking = F.when(number == 1, F.lit("elbow_angle")).when(number == 2, F.lit("offset_angle")).otherwise(F.lit(""))
+    angles = F.filter("metrics.angles", lambda a: a["name"] != lacking)
+    return frames.withColumn("exercise", known).withColumn("metrics", F.col("metrics").withField("angles", angles))
+
+
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that the rules cannot judge, with the reason, out of the query that folds the others."""
+    folder = _new_folder(configure(spark))
+    frames = _ended(_faulty_frames(_replayed(spark, sf_dir, None)), folder)
+    events = _run(session_events(frames, builtin_catalog(spark), F.col("level")), folder)
+    return events_of(events, "reject").select("session_uuid", "frame_track_uuid", "exercise", "reject_reason")
+
+
+def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a listener has noted of a stream with faulty frames: processed, rejected (the end frame both times, as it has no angles), too late."""
+    folder = _new_folder(configure(spark))
+    frames = _ended(_faulty_frames(_replayed(spark, sf_dir, None)), folder)
+    metrics = RunMetrics()
+    spark.streams.addListener(metrics)
+    try:
+        events = session_events(frames, builtin_catalog(spark), F.col("level"))
+        query = write_stream(events, f"{folder}/events", f"{folder}/checkpoint", once=True)
+        query.awaitTermination()
+        metrics.wait_for(str(query.runId))
+    finally:
+        spark.streams.removeListener(metrics)
+    metrics.write(spark, f"{folder}/metrics")
+    return (
+        spark.read.parquet(f"{folder}/metrics")
+        .filter(F.col("run_id") == str(query.runId))
+        .agg(*[F.sum(c).cast("bigint").alias(c) for c in ("frames_processed", "frames_rejected", "rows_too_late")])
+    )
+
+
+def stream_report_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _message_fields(report_messages(report_rows(_stream_events(spark, sf_dir))))
 
 
 def stream_reps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -655,4 +827,10 @@ QUERIES: dict[str, Query] = {
     "stream_reps": stream_reps,
     "stream_windows": stream_windows,
     "stream_reports": stream_reports,
+    "stream_reopened": stream_reopened,
+    "stream_catalog_change": stream_catalog_change,
+    "stream_rejects": stream_rejects,
+    "stream_metrics": stream_metrics,
+    "stream_report_messages": stream_report_messages,
+    "catalog_rules": catalog_rules,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 from pathlib import Path
 
@@ -63,6 +63,10 @@ _RULE_ROW = pa.schema(
         "terms": pa.list_(TERM),
         "offset_angle": pa.string(),
         "offset_thresh": pa.float64(),
+        "success": pa.list_(pa.string()),
+        "inactive_us": pa.int64(),
+        "valid_from_us": pa.int64(),
+        "valid_until_us": pa.int64(),
         "axes": pa.list_(pa.string()),
         "cuts": pa.list_(pa.list_(pa.float64())),
         "state_strides": pa.list_(pa.int32()),
@@ -86,11 +90,17 @@ class LevelRules:
     offset_angle: str | None
     offset_thresh: float
     inactive_us: int
+    valid_from_us: int | None = None  # None: always
+    valid_until_us: int | None = None  # the next version's time
 
 
 @dataclass
 class Catalog:
-    """Valid documents and the flat tables derived from them."""
+    """Valid documents and the flat tables derived from them.
+
+    With a column ``valid_from_us`` there may be several versions of a document, each valid until the next
+    sound one of its exercise.
+    """
 
     documents: DataFrame
     inactive_override_s: float | None = field(default=None)
@@ -99,6 +109,10 @@ class Catalog:
     def with_inactive_limit(self, seconds: float) -> Catalog:
         return Catalog(self.documents, seconds)
 
+    @property
+    def versioned(self) -> bool:
+        return "valid_from_us" in self.documents.columns
+
     @property
     def state_rules(self) -> DataFrame:
         return (
@@ -184,11 +198,21 @@ class Catalog:
             raise ValueError(f"catalog has more than {MAX_BYTES} bytes")
         rules: list[LevelRules] = []
         invalid: dict[str, str] = {}
-        for row in sorted(self.documents.collect(), key=lambda d: d.exercise):
+        open_until: dict[tuple[str, int], int] = {}
+        since = (lambda d: d.valid_from_us) if self.versioned else (lambda d: None)
+        # latest version first, so that each one's end is known
+        for row in sorted(self.documents.collect(), key=lambda d: (d.exercise, -(since(d) or 0))):
             try:
-                rules += self._levels(row.exercise, row.doc)
+                found = self._levels(row.exercise, row.doc)
             except _BadDocument as error:
-                invalid[row.exercise] = str(error)
+                name = f"{row.exercise}@{since(row)}" if self.versioned else row.exercise
+                invalid[name] = str(error)
+                continue
+            for level in found:
+                key = (level.exercise, level.level)
+                rules.append(replace(level, valid_from_us=since(row), valid_until_us=open_until.get(key)))
+                if self.versioned:
+                    open_until[key] = since(row)
         return rules, invalid
 
     def _levels(self, exercise: str, doc: Row) -> list[LevelRules]:
@@ -244,6 +268,10 @@ class Catalog:
                 "terms": state_terms([text for _, text in r.states]),
                 "offset_angle": r.offset_angle,
                 "offset_thresh": r.offset_thresh,
+                "success": list(r.success_sequence),
+                "inactive_us": r.inactive_us,
+                "valid_from_us": r.valid_from_us,
+                "valid_until_us": r.valid_until_us,
                 "axes": table.axes,
                 "cuts": table.cuts,
                 "state_strides": table.state_strides,
@@ -284,7 +312,7 @@ def _level() -> object:
     return level.alias("level")
 
 
-def _validated(raw: DataFrame) -> DataFrame:
+def _validated(raw: DataFrame, *keys_too: str) -> DataFrame:
     """Keep documents that satisfy the schema; an invalid file is an absent exercise."""
     doc = F.from_json("text", CATALOG_DOC)
     keys = F.json_object_keys("text")
@@ -295,9 +323,9 @@ def _validated(raw: DataFrame) -> DataFrame:
         "doc.feedback_messages", lambda m: m["id"].isNull() | m["message"].isNull()
     )
     return (
-        raw.select("exercise", doc.alias("doc"), keys.alias("keys"))
+        raw.select("exercise", *keys_too, doc.alias("doc"), keys.alias("keys"))
         .filter(F.coalesce(valid, F.lit(False)))
-        .select("exercise", "doc")
+        .select("exercise", *keys_too, "doc")
     )
 
 
@@ -314,6 +342,31 @@ def read_catalog(spark: SparkSession, folder: str) -> Catalog:
     return Catalog(_validated(raw))
 
 
+def read_catalog_versions(spark: SparkSession, folder: str) -> Catalog:
+    """Scan ``folder/valid_from=<time>/*.json``: what each document says from that time (UTC, ISO-8601) on."""
+    raw = (
+        spark.read.option("pathGlobFilter", "*.json")
+        .option("recursiveFileLookup", "true")
+        .text(folder, wholetext=True)
+        .select(
+            F.regexp_replace("_metadata.file_name", r"\.json", "").alias("exercise"),
+            F.unix_micros(
+                F.try_to_timestamp(F.url_decode(F.regexp_extract("_metadata.file_path", "/valid_from=([^/]+)/[^/]*$", 1)))
+            ).alias("valid_from_us"),
+            F.col("value").alias("text"),
+        )
+        .filter(F.col("valid_from_us").isNotNull())
+    )
+    return Catalog(_validated(raw, "valid_from_us"))
+
+
+def version_table(spark: SparkSession, path: str) -> Catalog:
+    """Versions from a table (Parquet) with the columns ``exercise``, ``valid_from`` (timestamp) and ``text``."""
+    raw = spark.read.schema("exercise string, valid_from timestamp, text string").parquet(path)
+    raw = raw.select("exercise", F.unix_micros("valid_from").alias("valid_from_us"), "text")
+    return Catalog(_validated(raw.filter("valid_from_us IS NOT NULL"), "valid_from_us"))
+
+
 def catalog_from_documents(spark: SparkSession, documents: dict[str, str]) -> Catalog:
     """Catalog from documents already in hand (``exercise -> JSON text``)."""
     raw = spark.createDataFrame(
@@ -329,6 +382,18 @@ def builtin_catalog(spark: SparkSession) -> Catalog:
     )
 
 
+def write_documents(spark: SparkSession, folder: str, documents: dict[str, str]) -> None:
+    """Store documents as ``<exercise>.json`` in a folder of any file system that Spark knows."""
+    jvm = spark.sparkContext._jvm
+    for name, text in documents.items():
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.json")
+        out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+        try:
+            out.write(bytearray(text.encode("utf-8")))
+        finally:
+            out.close()
+
+
 def message_for(catalog: Catalog, exercise: str, feedback_id: str) -> DataFrame:
     """The one message of an exercise with the given id (no row if there is none)."""
     return catalog.feedback_messages.filter(

@@ -1,9 +1,10 @@
 """Sessions as a stream: ordered release, keyed state, timers and reports.
 
-Frames of a micro-batch arrive in any order. They wait in the session's state
-until the watermark passes them, are then folded in replay order by the same
-step functions as the batch engine, and leave as events of three kinds:
-``rep``, ``window`` and ``report``.
+Frames of a micro-batch arrive in any order. They wait in the session's state, in
+buckets of event time, until the watermark passes them, are then folded in replay order by the same
+step functions as the batch engine, and leave as events of four kinds:
+``rep``, ``window``, ``report`` and ``reject`` (a frame that the rules cannot judge, at once).
+The sequence and limit a session goes by come with its frames, so rules may change while it runs.
 """
 
 from __future__ import annotations
@@ -20,11 +21,15 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from poselytics.operators.classify import classify, compact_frames
 from poselytics.operators.feedback import MIN_FRAME_RATIO
 from poselytics.operators.lifecycle import PROCESSING_DELAY_S, SESSION_TIMEOUT_S, LifecycleState
-from poselytics.operators.session_fold import WINDOW_S, SessionState, fold_rules
+from poselytics.operators.session_fold import WINDOW_S, SessionState
 from poselytics.sources.catalog import Catalog
 
-# a closed session is forgotten after this much event time
+# a closed session is forgotten after this much event time, but for the number of its next instance
 FORGET_AFTER_S = 6000.0
+# and that after this much
+TOMBSTONE_S = 30 * 86_400.0
+# event time of the frames that wait together
+BUCKET_S = 10.0
 
 _FRAME_FIELDS = {
     "ts_ms": "bigint",
@@ -37,6 +42,8 @@ _FRAME_FIELDS = {
     "state": "string",
     "feedback_ids": "array<string>",
     "critical": "boolean",
+    "success": "array<string>",
+    "inactive_us": "bigint",
 }
 _FRAME_COLUMNS = list(_FRAME_FIELDS)
 
@@ -59,6 +66,17 @@ _EVENT_FIELDS = {
     "feedback_summary": (
         "array<struct<id:string,windows_count:bigint,total_occurrences:bigint,window_ratio:double>>"
     ),
+    "windows": (
+        "array<struct<start_us:bigint,end_us:bigint,feedback:array<struct<id:string,count:bigint,frame_ratio:double>>>>"
+    ),
+    "state": (
+        "struct<curr_state:string,prev_state:string,state_seq:array<string>,"
+        "curls:struct<correct:bigint,incorrect:bigint>,"
+        "timers:struct<inactive_time:double,inactive_time_front:double>,"
+        "flags:struct<incorrect_posture:boolean,critical_error:boolean>>"
+    ),
+    "n_frames": "bigint",
+    "reject_reason": "string",
 }
 _EVENT_COLUMNS = list(_EVENT_FIELDS)
 
@@ -82,6 +100,9 @@ class SessionRecord:
     first_start_us: int | None = None
     last_end_us: int | None = None
     last_exercise: str | None = None
+    success: tuple[str, ...] = ()  # of the frame that opened the instance, with the limit
+    limit: int = 0
+    frames: int = 0  # of the instance
     reported: bool = False
     timer_ms: int | None = None
 
@@ -96,15 +117,15 @@ class SessionRecord:
 class SessionProcessor(StatefulProcessor):
     def __init__(
         self,
-        rules: dict[tuple[str, int], tuple[tuple[str, ...], int]],
         window_s: float = WINDOW_S,
         min_frame_ratio: float = MIN_FRAME_RATIO,
         timeout_s: float = SESSION_TIMEOUT_S,
         grace_s: float = PROCESSING_DELAY_S,
         state_ttl_s: float | None = None,
         forget_after_s: float = FORGET_AFTER_S,
+        tombstone_s: float = TOMBSTONE_S,
+        bucket_s: float = BUCKET_S,
     ):
-        self.rules = rules
         self.window = round(window_s * 1_000_000)
         self.min_frame_ratio = min_frame_ratio
         self.timeout = round(timeout_s * 1_000_000)
@@ -112,11 +133,16 @@ class SessionProcessor(StatefulProcessor):
         # a silence above the timeout opens a new instance anyway
         self.ttl = self.timeout if state_ttl_s is None else round(state_ttl_s * 1_000_000)
         self.forget = round(forget_after_s * 1_000_000)
+        self.tombstone_ms = round(tombstone_s * 1000)
+        self.bucket_ms = round(bucket_s * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _ddl(_FRAME_FIELDS))
+        self.waiting = handle.getMapState("waiting", "bucket bigint", "blob binary")
+        self.windows = handle.getListState("windows", "blob binary")
         self.record = handle.getValueState("record", "blob binary")
+        # of a session that was forgotten: its next instance, and when that is forgotten too
+        self.tombstone = handle.getValueState("tombstone", "instance int, until_ms bigint")
 
     def close(self) -> None:
         pass
@@ -137,47 +163,87 @@ class SessionProcessor(StatefulProcessor):
             self.handle.registerTimer(at_ms)
         record.timer_ms = at_ms
 
+    def _bucket(self, bucket: int) -> list[tuple]:
+        return pickle.loads(bytes(self.waiting.getValue((bucket,))[0])) if self.waiting.containsKey((bucket,)) else []
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         record = self._load()
         due = record.timer_ms
         for batch in rows:
+            rejected = batch["reject_reason"].notna()
+            if rejected.any():
+                yield _events(
+                    [
+                        {"kind": "reject", "session_uuid": key[0], "ts_us": int(ts), "frame_track_uuid": frame, "exercise": name, "reject_reason": why}
+                        for ts, frame, name, why in batch.loc[rejected, ["ts_us", "frame_track_uuid", "exercise", "reject_reason"]].itertuples(index=False, name=None)
+                    ]
+                )
+                batch = batch[~rejected]
             if not len(batch):
                 continue
-            frames = batch[_FRAME_COLUMNS]
-            self.waiting.appendList([_plain(f) for f in frames.itertuples(index=False, name=None)])
+            for bucket, frames in batch[_FRAME_COLUMNS].groupby(batch["ts_ms"] // self.bucket_ms):
+                held = self._bucket(int(bucket))
+                held += [_plain(f) for f in frames.itertuples(index=False, name=None)]
+                self.waiting.updateValue((int(bucket),), (pickle.dumps(held),))
             first = int(batch["ts_ms"].min())
             due = first if due is None else min(due, first)
         # a timer in the past fires with the next advance of the watermark
-        self._set_timer(record, due)
-        self._save(record)
-        yield from ()
+        if due is not None:
+            self._set_timer(record, due)
+            self._save(record)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now_ms = timerValues.getCurrentWatermarkInMs()
         record = self._load()
-        released, waiting = [], []
-        for frame in self.waiting.get():
-            (released if frame[0] <= now_ms else waiting).append(tuple(frame))
-        released.sort(key=lambda f: (f[0], f[1].encode(), f[2]))
-        if waiting and released:
-            self.waiting.put(waiting)
-        elif released:
-            self.waiting.clear()
-        events: list[dict] = []
-        for frame in released:
-            self._fold(record, key[0], frame, events)
-        due = min((f[0] for f in waiting), default=None)
+        buckets = sorted(b for (b,) in self.waiting.keys())
+        due = None
+        for bucket in buckets:
+            if bucket * self.bucket_ms > now_ms:  # this one and those after it are not due
+                due = bucket * self.bucket_ms
+                break
+            events: list[dict] = []
+            held = self._bucket(bucket)
+            released = sorted((f for f in held if f[0] <= now_ms), key=lambda f: (f[0], f[1].encode(), f[2]))
+            later = [f for f in held if f[0] > now_ms]
+            closed: list[dict] = []
+            for frame in released:
+                self._fold(record, key[0], frame, events, closed)
+            self._keep_windows(closed)
+            if later:
+                self.waiting.updateValue((bucket,), (pickle.dumps(later),))
+                due = min(f[0] for f in later)
+            else:
+                self.waiting.removeKey((bucket,))
+            if events:
+                yield _events(events)
+            if later:
+                break
+        events = []
         end_ms = self._close(record, key[0], now_ms, events)
         if end_ms is None and due is None:
-            self.record.clear()
+            self._forget(record, now_ms)
         else:
             at_ms = min(t for t in (due, end_ms) if t is not None)
             self._set_timer(record, at_ms, fired=True)
             self._save(record)
         if events:
-            # object columns: absent fields stay None, and times stay integers
-            values = [[event.get(name) for name in _EVENT_COLUMNS] for event in events]
-            yield pd.DataFrame(values, columns=_EVENT_COLUMNS, dtype=object)
+            yield _events(events)
+
+    def _forget(self, record: SessionRecord, now_ms: int) -> None:
+        """Only the number of the next instance stays, for a time."""
+        if record.life is not None:
+            until = now_ms + self.tombstone_ms
+            self.tombstone.update((record.life.instance + 1, until))
+            self.handle.registerTimer(until + 1)
+        elif self.tombstone.exists() and self.tombstone.get()[1] < now_ms:
+            self.tombstone.clear()
+        self.record.clear()
+        self.windows.clear()
+
+    def _keep_windows(self, closed: list[dict]) -> None:
+        if closed:
+            self.windows.appendList([(pickle.dumps(w),) for w in closed])
+            closed.clear()
 
     def _close(self, record: SessionRecord, session: str, now_ms: int, events: list[dict]) -> int | None:
         """Report or forget the session if its time has come; else when that will be."""
@@ -190,37 +256,46 @@ class SessionProcessor(StatefulProcessor):
                 ends = min(ends, life.completed_us + self.grace)
             if now_ms * 1000 <= ends:
                 return ends // 1000 + 1
-            self._report(record, session, events)
+            self._report(record, session, events, [])
         gone = life.last_us + self.forget
         return None if now_ms * 1000 > gone else gone // 1000 + 1
 
-    def _fold(self, record: SessionRecord, session: str, frame: tuple, events: list[dict]) -> None:
-        _, frame_id, ts, exercise, level, complete, bad, state, ids, critical = frame
-        if record.life is None:
-            record.life = LifecycleState(0, 0, ts, ts if complete else None, exercise, level)
+    def _fold(self, record: SessionRecord, session: str, frame: tuple, events: list[dict], windows: list[dict]) -> None:
+        _, frame_id, ts, exercise, level, complete, bad, state, ids, critical, success, limit = frame
+        opens = record.life is None
+        if opens:
+            instance = self.tombstone.get()[0] if self.tombstone.exists() else 0
+            record.life = LifecycleState(instance, 0, ts, ts if complete else None, exercise, level)
         else:
             life = record.life
             instance, epoch, completed = life.instance, life.epoch, life.completed_us
             life.step(ts, complete, exercise, level, self.timeout, self.grace, self.ttl)
-            if life.instance != instance and not record.reported:
-                self._report(record, session, events, instance, completed)
-            if (life.instance, life.epoch) != (instance, epoch):
+            opens = life.instance != instance
+            if opens and not record.reported:
+                self._report(record, session, events, windows, instance, completed)
+            if opens or life.epoch != epoch:
                 record.start_afresh()
+                windows.clear()
+                self.windows.clear()
+        if opens:
+            record.success, record.limit, record.frames = success, limit, 0
         life = record.life
         record.last_exercise = exercise
-        success, limit = self.rules[life.exercise, life.level]
+        record.frames += 1
         fold = record.fold
-        rep, _, closed = fold.step(ts, bad, state, critical, success, limit, self.window)
+        rep, _, closed = fold.step(ts, bad, state, critical, record.success, record.limit, self.window)
         event = {"session_uuid": session, "session_instance": life.instance}
         if rep is not None:
             events.append({**event, "kind": "rep", "ts_us": ts, "frame_track_uuid": frame_id, "rep": rep})
         if closed is not None:
-            self._close_window(record, event, closed, events)
+            self._close_window(record, event, closed, events, windows)
         elif not bad:
             for id_ in ids:
                 record.counts[id_] = record.counts.get(id_, 0) + 1
 
-    def _close_window(self, record: SessionRecord, event: dict, start: int, events: list[dict]) -> None:
+    def _close_window(
+        self, record: SessionRecord, event: dict, start: int, events: list[dict], windows: list[dict]
+    ) -> None:
         total = sum(record.counts.values())
         kept = [
             {"id": id_, "count": n, "frame_ratio": n / total}
@@ -238,15 +313,16 @@ class SessionProcessor(StatefulProcessor):
             sums = record.issues.setdefault(issue["id"], [0, 0])
             sums[0] += 1
             sums[1] += issue["count"]
-        events.append(
-            {**event, "kind": "window", "start_us": start, "end_us": record.last_end_us, "feedback": kept}
-        )
+        window = {"start_us": start, "end_us": record.last_end_us, "feedback": kept}
+        windows.append(window)
+        events.append({**event, "kind": "window", **window})
 
     def _report(
         self,
         record: SessionRecord,
         session: str,
         events: list[dict],
+        windows: list[dict],
         instance: int | None = None,
         completed_us: int | None = None,
     ) -> None:
@@ -270,19 +346,37 @@ class SessionProcessor(StatefulProcessor):
                 "feedback_summary": [
                     {
                         "id": id_,
-                        "windows_count": windows,
+                        "windows_count": persisted,
                         "total_occurrences": occurrences,
-                        "window_ratio": windows / record.windows,
+                        "window_ratio": persisted / record.windows,
                     }
-                    for id_, (windows, occurrences) in record.issues.items()
+                    for id_, (persisted, occurrences) in record.issues.items()
                 ],
+                "windows": [pickle.loads(bytes(blob)) for (blob,) in self.windows.get()] + windows,
+                "state": {
+                    "curr_state": fold.curr_state,
+                    "prev_state": fold.prev_state,
+                    "state_seq": list(fold.state_seq),
+                    "curls": {"correct": fold.correct, "incorrect": fold.incorrect},
+                    "timers": {
+                        "inactive_time": fold.inactive_us / 1e6,
+                        "inactive_time_front": fold.inactive_front_us / 1e6,
+                    },
+                    "flags": {"incorrect_posture": fold.incorrect_posture, "critical_error": fold.critical_error},
+                },
+                "n_frames": record.frames,
             }
         )
         record.reported = True
 
 
+def _events(events: list[dict]) -> pd.DataFrame:
+    # object columns: absent fields stay None, and times stay integers
+    return pd.DataFrame([[event.get(name) for name in _EVENT_COLUMNS] for event in events], columns=_EVENT_COLUMNS, dtype=object)
+
+
 def _plain(frame: tuple) -> tuple:
-    ts_ms, frame_id, ts_us, exercise, level, complete, bad, state, ids, critical = frame
+    ts_ms, frame_id, ts_us, exercise, level, complete, bad, state, ids, critical, success, limit = frame
     return (
         int(ts_ms),
         frame_id,
@@ -294,6 +388,8 @@ def _plain(frame: tuple) -> tuple:
         state if isinstance(state, str) else None,
         list(ids),
         bool(critical),
+        tuple(success),
+        int(limit),
     )
 
 
@@ -318,19 +414,38 @@ def session_events(
     if not watermarked:
         frames = frames.withWatermark("timestamp", f"{delay_s} seconds")
     compact = compact_frames(frames, level, keep=("timestamp",))
-    classified = classify(compact, catalog).select("session_uuid", "timestamp", *_FRAME_COLUMNS)
-    observed = classified.observe(
+    return fold_stream(classify(compact, catalog, keep_rejects=True, limits=True), **options)
+
+
+def fold_stream(judged: DataFrame, **options: float) -> DataFrame:
+    """Events of a stream of judged frames, rejects among them, with a watermark on ``timestamp``."""
+    frames = judged.select("session_uuid", "timestamp", *_FRAME_COLUMNS, "reject_reason")
+    observed = frames.observe(
         "frames",
         F.count(F.lit(1)).alias("frames_processed"),
+        F.count_if(F.col("reject_reason").isNotNull()).alias("frames_rejected"),
         F.approx_count_distinct("session_uuid").alias("active_sessions"),
     )
     return observed.groupBy("session_uuid").transformWithStateInPandas(
-        statefulProcessor=SessionProcessor(fold_rules(catalog), **options),
+        statefulProcessor=SessionProcessor(**options),
         outputStructType=EVENT_SCHEMA,
         outputMode="Append",
         timeMode="EventTime",
     )
 
 
+def report_rows(events: DataFrame) -> DataFrame:
+    """Final reports as the batch engine gives them (``report.session_reports``), windows and state included."""
+    return events_of(events, "report").select(
+        "session_uuid",
+        "session_instance",
+        "status",
+        "exercise",
+        F.timestamp_micros("ts_us").alias("timestamp"),
+        "state",
+        F.struct("windows", "feedback_summary", "total_windows", "exercise_duration").alias("feedback"),
+    )
+
+
 def events_of(events: DataFrame, kind: str) -> DataFrame:
     return events.filter(F.col("kind") == kind)

@@ -1,19 +1,23 @@
 """Streaming over several micro-batches gives what the batch engine gives."""
 
 import json
+from datetime import datetime, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
-from poselytics.operators.classify import compact_frames
+from poselytics.operators.classify import classify, compact_frames
 from poselytics.operators.feedback import feedback_windows
 from poselytics.operators.lifecycle import order_frames, with_lifecycle
-from poselytics.operators.session_fold import rep_events, session_states, session_trace
+from poselytics.operators.session_fold import fold_rules, rep_events, session_states, session_trace
+from poselytics.plans.analysis import SessionAnalysis
 from poselytics.schema import FRAME
-from poselytics.sources.catalog import BUILTIN_FOLDER, builtin_catalog
+from poselytics.sources.catalog import BUILTIN_FOLDER, builtin_catalog, read_catalog_versions, write_documents
 from poselytics.sources.events import EPOCH_US, events_frames
 from poselytics.sources.frames import parse_frames, stream_messages, valid_frames
-from poselytics.streaming.jobs import for_each_catalog, write_stream
-from poselytics.streaming.sessions import EVENT_SCHEMA, dedup_stream, events_of, session_events
+from poselytics.sources.sinks import report_messages
+from poselytics.streaming.jobs import RunMetrics, for_each_catalog, write_stream
+from poselytics.streaming.sessions import EVENT_SCHEMA, dedup_stream, events_of, report_rows, session_events
 from tests.conftest import SMALL
 
 
@@ -89,3 +93,98 @@ def test_catalog_is_read_again_for_each_batch(spark, tmp_path):
         query = for_each_catalog(frames, str(catalog), sink, str(tmp_path / "cp"), once=True)
         query.awaitTermination()
     assert seen == ["s3", "changed"]
+
+
+def angles_of(elbow, shoulder, offset):
+    values = {"elbow_angle": elbow, "shoulder_angle": shoulder, "offset_angle": offset}
+    return [{"name": n, "value": v, "point1": None, "point2": None, "ref_point": None} for n, v in values.items() if v is not None]
+
+
+def frame(k, at_s, session="s", elbow=120.0, offset=0.0, exercise="dumbbell-arm", current=1.0):
+    stamp = datetime.fromtimestamp(1_704_067_200 + at_s, timezone.utc)
+    metrics = {"angles": angles_of(elbow, 20.0, offset), "dominant_side": {"side": "left", "probability": None}}
+    return (f"f{k}", stamp, exercise, 60.0, session, [], metrics, current)
+
+
+def run_batches(spark, folder, batches, **options):
+    """Events of a stream that takes each list of frames as one micro-batch, and what a listener noted."""
+    for rows in batches:
+        spark.createDataFrame(rows, FRAME).coalesce(1).write.mode("append").parquet(f"{folder}/frames")
+    stream = spark.readStream.schema(FRAME).option("maxFilesPerTrigger", 1).parquet(f"{folder}/frames")
+    metrics = RunMetrics()
+    spark.streams.addListener(metrics)
+    query = write_stream(
+        session_events(stream, builtin_catalog(spark), **options), f"{folder}/events", f"{folder}/checkpoint", once=True
+    )
+    query.awaitTermination()
+    metrics.wait_for(str(query.runId))
+    spark.streams.removeListener(metrics)
+    return spark.read.schema(EVENT_SCHEMA).parquet(f"{folder}/events"), metrics
+
+
+def test_messages_of_a_stream_equal_those_of_the_batch(spark, tmp_path):
+    frames = events_frames(spark, SMALL).drop("level")
+    rows = [tuple(r) for r in frames.collect()]
+    rows.sort(key=lambda r: r[1])
+    half = len(rows) // 2
+    events, _ = run_batches(spark, tmp_path, [rows[:half], rows[half:], [frame(0, 10**6, "end")]])
+    found = report_messages(report_rows(events.filter("session_uuid <> 'end'"))).collect()
+    expected = report_messages(SessionAnalysis(frames, builtin_catalog(spark), dedup=False).reports()).collect()
+    read = lambda rows: sorted(((r.key, json.loads(r.value)) for r in rows), key=lambda p: (p[0], p[1]["session_instance"]))
+    pairs = list(zip(read(found), read(expected), strict=True))
+    assert pairs and all(a == b for a, b in pairs)
+    assert any(a[1]["feedback"]["windows"] for a, _ in pairs)
+
+
+def test_every_frame_is_folded_rejected_or_late(spark, tmp_path):
+    first = [frame(k, k) for k in range(40)] + [frame(100 + k, k, exercise="unknown") for k in range(5)]
+    second = [frame(200 + k, 41 + k, elbow=None) for k in range(7)] + [frame(300 + k, 60 + k) for k in range(20)]
+    late = [frame(400 + k, k) for k in range(3)] + [frame(500, 90)]
+    events, metrics = run_batches(spark, tmp_path, [first, second, late, [frame(0, 10**6, "end")]])
+    events = events.filter("session_uuid = 's'")
+    rejects = {r.reject_reason: r.n for r in events_of(events, "reject").groupBy("reject_reason").agg(F.count("*").alias("n")).collect()}
+    folded = events_of(events, "report").agg(F.sum("n_frames")).first()[0]
+    too_late = sum(r[-1] for r in metrics.rows)
+    assert rejects == {"unknown_exercise": 5, "missing_angle": 7} and too_late == 3
+    assert folded + sum(rejects.values()) + too_late == len(first) + len(second) + len(late)
+    assert sum(r[5] for r in metrics.rows) == 12
+    metrics.write(spark, f"{tmp_path}/metrics")
+    metrics.write(spark, f"{tmp_path}/metrics")  # nothing new
+    assert spark.read.parquet(f"{tmp_path}/metrics").count() == len(metrics.rows)
+
+
+def test_forgotten_sessions_go_on_counting(spark, tmp_path):
+    clock = lambda at: frame(at, at, "clock")
+    batches = [[frame(1, 0), frame(2, 1), clock(2)], [clock(200)], [frame(3, 205), clock(206)], [clock(400)], [frame(4, 410)], [clock(5000)], [clock(7000)], [clock(7100)], [frame(5, 7110)], [clock(10**6)], [clock(10**6 + 20)]]
+    events, _ = run_batches(spark, tmp_path, batches, timeout_s=5.0, forget_after_s=20.0, tombstone_s=1000.0)
+    found = sorted((r.session_instance, r.n_frames) for r in events_of(events, "report").filter("session_uuid = 's'").collect())
+    # the last came when even the number was forgotten
+    assert found == [(0, 1), (0, 2), (1, 1), (2, 1)]
+
+
+def test_waiting_frames_in_small_buckets(spark, tmp_path):
+    rows = [frame(k, k * 0.25, elbow=[120.0, 90.0, 50.0, 90.0][k // 2 % 4]) for k in range(400)]
+    batches = [sorted(rows[k : k + 90], key=lambda r: r[0]) for k in range(0, 400, 90)] + [[frame(0, 10**6, "end")]]
+    results = []
+    for bucket in (0.5, 1000.0):
+        events, _ = run_batches(spark, tmp_path / str(bucket), batches, bucket_s=bucket)
+        results.append(sorted(map(str, events.filter("session_uuid = 's'").collect())))
+    assert results[0] == results[1] and len(results[0]) > 50
+
+
+def test_versions_of_a_folder(spark, tmp_path):
+    text = (BUILTIN_FOLDER / "dumbbell-arm.json").read_text(encoding="utf-8")
+    faulty = text.replace('"elbow_angle > 110"', '"elbow_angle.x > 110"')
+    for name, content in (("2024-01-01", text), ("2024-01-02", faulty), ("2024-01-03", text.replace("110", "100"))):
+        write_documents(spark, f"{tmp_path}/valid_from={name}", {"dumbbell-arm": content})
+    catalog = read_catalog_versions(spark, str(tmp_path))
+    day = 86_400 * 10**6
+    spans = {(r.level, (r.valid_from_us - EPOCH_US) // day, r.valid_until_us and (r.valid_until_us - EPOCH_US) // day) for r in catalog.rules}
+    assert spans == {(level, *span) for level in (0, 1) for span in ((0, 2), (2, None))}
+    assert list(catalog.invalid) == [f"dumbbell-arm@{EPOCH_US + day}"]
+    rows = [frame(n, at * 86_400 + 1, elbow=105.0) for n, at in enumerate((-1, 0, 1, 2, 9))]
+    judged = classify(compact_frames(spark.createDataFrame(rows, FRAME)), catalog, keep_rejects=True)
+    found = [(r.state, r.reject_reason) for r in judged.orderBy("ts_us").collect()]
+    assert found == [(None, "unknown_exercise"), ("s2", None), ("s2", None), ("s1", None), ("s1", None)]
+    with pytest.raises(ValueError):
+        fold_rules(catalog)
