@@ -107,22 +107,24 @@ def _buckets(hashes: Column) -> Column:
     return F.concat(hashes, pairs)
 
 
+def _bucket_counts(texts: DataFrame, buckets: int, name: str) -> DataFrame:
+    hashes = F.transform(_words(F.col("text")), lambda w: F.xxhash64(w))
+    rows = texts.select(F.explode(_bound(hashes, _buckets)).alias("h"))
+    return rows.groupBy(F.pmod("h", F.lit(buckets)).alias("bucket")).agg(F.count("*").alias(name))
+
+
 def weights(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
     """bucket, other, own: log of the bucket's share of trusted texts over its share of all.
 
     Each occurrence is judged by the others: ``other`` leaves one out of all texts, ``own``, for trusted
     documents, one out of both. Else every rare word would speak against its only text. ``trusted`` holds each id (doc_id) once,
-    however many; it is joined, not sent to the workers unless Spark finds it small. A bucket that never occurs has no row.
+    however many. A bucket that never occurs has no row.
     """
-    marked = docs.select("doc_id", text_of(docs).alias("text")).join(
-        trusted.select("doc_id", F.lit(1).alias("good")), "doc_id", "left"
-    )
-    hashes = F.transform(_words(F.col("text")), lambda w: F.xxhash64(w))
-    rows = marked.select("good", F.explode(_bound(hashes, _buckets)).alias("h"))
+    texts = docs.select("doc_id", text_of(docs).alias("text"))
+    # the one exchange of texts, planned alike at any number of trusted ids
+    good = texts.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi")
     counts = keep(
-        rows.groupBy(F.pmod("h", F.lit(buckets)).alias("bucket")).agg(
-            F.count("*").alias("n_all"), F.count("good").alias("n_good")
-        ),
+        _bucket_counts(texts, buckets, "n_all").join(_bucket_counts(good, buckets, "n_good"), "bucket", "left").fillna(0, ["n_good"]),
         "ngram-counts",
     )
     total = counts.agg(F.sum("n_all").alias("a"), F.sum("n_good").alias("g")).first()
@@ -142,18 +144,22 @@ def trusted_ids(labels: DataFrame, *, label: str = "quality") -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the counts of ``RULES``, base_failed, ngram_score and kept of every row of ``docs``.
 
-    A text without n-grams scores 0; it fails the rules anyway. Rows with the same id, or
-    none, are judged each by itself.
+    A text without n-grams, a null one too, scores 0; it fails the rules anyway. Rows with the same id, or
+    none, are judged each by itself; an empty table gives an empty one. Both scores of a row, as a trusted text and as
+    another, are computed without asking which it is; only they meet the trusted ids.
     """
     trusted = keep(trusted_ids(labels), "trusted")
     table = keep(weights(docs, trusted, buckets=buckets), "ngram-weights")
-    rows = base_rules(docs.select("doc_id", "text")).drop("text")
-    good = trusted.select("doc_id", F.lit(True).alias("__good"))
-    rows = rows.join(good, "doc_id", "left").withColumn("__row", F.monotonically_increasing_id())
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__row"))
+    rows = base_rules(numbered).drop("text")
     carried = ["__row", "doc_id", *RULES, "base_failed"]
-    grams = rows.select(*carried, "__good", F.explode_outer(_bound(F.col("__hashes"), _buckets)).alias("h"))
+    grams = rows.select(*carried, F.explode_outer(_bound(F.col("__hashes"), _buckets)).alias("h"))
     # one row per bucket
     looked_up = grams.withColumn("bucket", F.pmod("h", F.lit(buckets))).join(F.broadcast(table), "bucket", "left")
-    weight = F.when(F.col("__good"), F.col("own")).otherwise(F.col("other"))
-    scored = looked_up.groupBy(*carried).agg(F.coalesce(F.avg(weight), F.lit(0.0)).alias("ngram_score"))
-    return scored.drop("__row").withColumn("kept", ~F.col("base_failed") & (F.col("ngram_score") >= threshold))
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0)).alias(c)
+    scored = looked_up.groupBy(*carried).agg(mean("other"), mean("own")).drop("__row")
+    good = trusted.select("doc_id", F.lit(True).alias("good"))
+    scored = scored.join(good, "doc_id", "left")
+    score = F.when(F.col("good"), F.col("own")).otherwise(F.col("other"))
+    scored = scored.select("doc_id", *RULES, "base_failed", score.alias("ngram_score"))
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("ngram_score") >= threshold))
