@@ -6,6 +6,9 @@ fewer; and back from the end of each sentence in the same way, so that a repeate
 passage is covered to its last sentence wherever it ends. Of equal runs anywhere, the first (by doc_id and place) stays; sentences that
 any other one covers go. Only hashes are joined: a first pass finds those
 that occur twice, a second one asks for the places of these alone.
+
+Words are hashed once. The hash of a run is that of a polynomial over the hashes of its words, taken from sums
+up to each place, so that all runs of a batch of texts take a few array operations, however they overlap.
 """
 
 from __future__ import annotations
@@ -13,13 +16,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poselytics.llm.common import keep, lower_ascii, text_of, without
+from poselytics.llm.common import keep, text_of, without
 
 MIN_SENTENCES = 2
 MIN_WORDS = 15
@@ -27,104 +32,177 @@ LONG = 16
 #: Words that decide on a cut, and how many places on either side it is compared with.
 GRAM = 3
 REACH = 3
+#: Words whose hashes one worker remembers, and bytes of text that are cut at once (a longer text goes alone).
+MEMORY = 1_000_000
+PIECE_BYTES = 1 << 21
+
+_WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
+_ENDS = (b".", b"!", b"?")
+_BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
+_BACK = np.array([pow(int(b), -1, 1 << 64) for b in _BASES], dtype=np.uint64)
+_FAR = np.iinfo(np.uint64).max
+
+
+class _Hashes(dict):
+    """128 bits of each word as two numbers; the lowest bit of the first tells whether it ends a sentence."""
+
+    def __missing__(self, word: bytes) -> tuple[int, int]:
+        h = xxhash.xxh3_128_intdigest(word)
+        found = self[word] = (h >> 64 & ~1 | word.endswith(_ENDS), h & 0xFFFFFFFFFFFFFFFF)
+        return found
+
+
+_known = _Hashes()
 
-_WORD = re.compile(r"\S+")
-_SENTENCE = re.compile(r"[^\s](?:[^.!?\n]|[.!?]+(?![\s.!?]|$))*(?:[.!?]+|(?=\n)|$)")
 
+@dataclass
+class Cut:
+    """Sentences and runs of several texts, numbered on from text to text."""
 
-def _cuts(words: list[str]) -> list[int]:
-    """Words after which to cut: those whose hash, with the ones before them, is the least of their neighbours'."""
-    marks = [xxhash.xxh32_intdigest(" ".join(words[max(0, k + 1 - GRAM) : k + 1])) for k in range(len(words))]
-    # of equal ones all, as text that repeats itself must be cut alike everywhere too
-    return [
-        k
-        for k in range(GRAM - 1, len(words) - 1)
-        if marks[k] == min(marks[max(GRAM - 1, k - REACH) : k + REACH + 1])
-    ]
+    words: np.ndarray  # words up to the start of each sentence, and all of them last
+    text: np.ndarray  # of each sentence
+    firsts: np.ndarray  # first sentence of each text, and the number of all last
+    start: np.ndarray  # of each run: first sentence
+    stop: np.ndarray  # last sentence + 1
+    hashes: np.ndarray  # two numbers
 
+    def sentences(self, k: int) -> np.ndarray:
+        """Number of the first word of each sentence of text ``k``, counted in the text."""
+        found = self.words[self.firsts[k] : self.firsts[k + 1]]
+        return found - found[0] if len(found) else found
 
-def sentences(text: str | None) -> list[tuple[int, int]]:
-    """Start and end of each sentence: up to closing marks before white space, or to the end of the line.
 
-    One of more than ``LONG`` words counts as several. Where it is cut depends on the words around the place alone,
-    so a passage is cut alike wherever in a sentence it stands, but for a few words at its ends.
+def _sentence_ends(marks: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``ends`` with those inside sentences of more than ``LONG`` words.
+
+    There a word is an end if the hash of it and the words before it is the least of its neighbours', so a passage is cut alike
+    wherever in a sentence it stands, but for a few words at its ends. Of equal ones all are ends, as text
+    that repeats itself must be cut alike everywhere too.
+    """
+    last = np.flatnonzero(ends)
+    sizes = np.diff(last, prepend=-1)
+    if not (sizes > LONG).any():
+        return ends
+    sentence = np.repeat(np.arange(len(last)), sizes)
+    place = np.arange(len(ends)) - np.repeat(last + 1 - sizes, sizes)
+    gram = np.zeros(len(marks), dtype=np.uint64)
+    for back in range(GRAM):
+        shifted = np.concatenate([np.zeros(back, dtype=np.uint64), marks[: len(marks) - back]])
+        gram = gram * _BASES[0] + shifted
+    gram ^= gram >> np.uint64(31)
+    gram[place < GRAM - 1] = _FAR
+    least = gram.copy()
+    for step in range(1, REACH + 1):
+        same = sentence[step:] == sentence[:-step]
+        least[step:] = np.where(same, np.minimum(least[step:], gram[:-step]), least[step:])
+        least[:-step] = np.where(same, np.minimum(least[:-step], gram[step:]), least[:-step])
+    return ends | ((gram == least) & (place >= GRAM - 1) & (sizes > LONG)[sentence])
+
+
+def cut(texts: list[bytes], min_words: int = MIN_WORDS) -> Cut:
+    """Sentences of texts (UTF-8), and their runs: a sentence ends with a word that ends in . ! or ?, or with its line.
+
+    Words are what white space of ASCII separates, A-Z in lower case.
     """
-    found = []
-    for m in _SENTENCE.finditer(text or ""):
-        start, end = m.span()
-        if end - start <= 2 * LONG or len(words := list(_WORD.finditer(text, start, end))) <= LONG:
-            found.append((start, end))
-            continue
-        for k in _cuts([lower_ascii(w[0]) for w in words]):
-            found.append((start, words[k].end()))
-            start = words[k + 1].start()
-        found.append((start, end))
-    return found
-
-
-def runs(text: str | None, min_words: int = MIN_WORDS) -> tuple[list[tuple[int, int]], list[tuple[int, int, bytes]]]:
-    """The sentences, and the runs: first, last + 1, hash of 16 bytes."""
-    text = text or ""
-    spots = sentences(text)
-    lowered = lower_ascii(text)
-    parts = [" ".join(lowered[a:b].split()) for a, b in spots]
-    counts = [p.count(" ") + 1 for p in parts]
-    found = []
-    stop, words = 0, 0
-    for start in range(len(parts)):
-        if stop < start:
-            stop, words = start, 0
-        while stop < len(parts) and (words < min_words or stop - start < MIN_SENTENCES):
-            words += counts[stop]
-            stop += 1
-        full = words >= min_words and stop - start >= MIN_SENTENCES
-        if full or start == 0:
-            found.append((start, stop, xxhash.xxh3_128_digest(" ".join(parts[start:stop]))))
-        if not full:
-            break
-        words -= counts[start]
-    forward = {(start, stop) for start, stop, _ in found}
-    start, words = 0, 0
-    for last in range(len(parts)):
-        words += counts[last]
-        while last - start >= MIN_SENTENCES and words - counts[start] >= min_words:
-            words -= counts[start]
-            start += 1
-        full = words >= min_words and last + 1 - start >= MIN_SENTENCES
-        if full and (start, last + 1) not in forward:
-            found.append((start, last + 1, xxhash.xxh3_128_digest(" ".join(parts[start : last + 1]))))
-    return spots, found
+    if len(_known) > MEMORY:
+        _known.clear()
+    words: list[bytes] = []
+    lines, sizes = [], []
+    for text in texts:
+        before = len(words)
+        for line in text.lower().split(b"\n"):
+            words += line.split()
+            lines.append(len(words))
+        sizes.append(len(words) - before)
+    n = len(words)
+    hashes = np.array(list(map(_known.__getitem__, words)), dtype=np.uint64).reshape(n, 2)
+    ends = (hashes[:, 0] & np.uint64(1)).astype(bool)
+    at = np.array(lines, dtype=np.int64) - 1
+    ends[at[at >= 0]] = True  # an empty line ends nothing new: the word before it has ended one already
+    ends = _sentence_ends(hashes[:, 1], ends)
+    bounds = np.concatenate(([0], np.flatnonzero(ends) + 1))
+    text_ends = np.cumsum(sizes)
+    text = np.searchsorted(text_ends, bounds[:-1], side="right")
+    firsts = np.searchsorted(bounds[:-1], np.concatenate(([0], text_ends)))
+    first, beyond = firsts[text], firsts[text + 1]
+
+    every = np.arange(len(text))
+    stop = np.maximum(every + MIN_SENTENCES, np.searchsorted(bounds, bounds[:-1] + min_words))
+    full = stop <= beyond
+    whole = ~full & (every == first)
+    start = np.concatenate([every[full], every[whole]])
+    stop = np.concatenate([stop[full], beyond[whole]])
+    begin = np.minimum(every + 1 - MIN_SENTENCES, np.searchsorted(bounds, bounds[1:] - min_words, side="right") - 1)
+    back = begin >= first
+    # runs that are both are found once
+    start = np.concatenate([start, begin[back]])
+    stop = np.concatenate([stop, every[back] + 1])
+    key = np.unique(start << 32 | stop)
+    start, stop = key >> 32, key & 0xFFFFFFFF
+    return Cut(bounds, text, firsts, start, stop, _run_hashes(hashes, bounds[start], bounds[stop]))
+
+
+def _run_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    out = np.empty((len(begin), 2), dtype=np.uint64)
+    n = len(hashes)
+    with np.errstate(over="ignore"):
+        for k in range(2):
+            power, back = (np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, b)))) for b in (_BASES[k], _BACK[k]))
+            sums = np.concatenate(([np.uint64(0)], np.add.accumulate(hashes[:, k] * power[:-1])))
+            found = (sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64)
+            found = (found ^ found >> np.uint64(32)) * _BASES[1 - k]
+            out[:, k] = found ^ found >> np.uint64(29)
+    return out
+
+
+def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Stretches of ``texts`` of about ``PIECE_BYTES``, one text at least."""
+    start = size = 0
+    for k, text in enumerate(texts):
+        if k > start and size + len(text) > PIECE_BYTES:
+            yield start, k
+            start, size = k, 0
+        size += len(text)
+    if len(texts) > start:
+        yield start, len(texts)
 
 
 def _runs_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, twin, start, stop, span and its first half as a number, of all runs."""
+    """doc_id, twin, start, stop, and the hash of all runs in two numbers."""
+    names = ["doc_id", "twin", "start", "stop", "short", "rest"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "twin", "start", "stop", "span", "short"]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
         for batch in batches:
-            rows = [
-                (doc, twin, start, stop, span, _short(span))
-                for doc, twin, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)
-                for start, stop, span in runs(text, min_words)[1]
-            ]
-            columns = zip(*rows, strict=True) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    return docs.mapInArrow(emit, "doc_id long, twin long, start int, stop int, span binary, short long")
-
-
-def _short(span: bytes) -> int:
-    return int.from_bytes(span[:8], "little", signed=True)
+            texts = batch.column(2).to_pylist()
+            for low, high in _pieces(texts):
+                found = cut(texts[low:high], min_words)
+                owner = found.text[found.start]
+                ids = pa.array(owner + low)
+                columns = [
+                    batch.column(0).take(ids),
+                    batch.column(1).take(ids),
+                    pa.array((found.start - found.firsts[owner]).astype(np.int32)),
+                    pa.array((found.stop - found.firsts[owner]).astype(np.int32)),
+                    pa.array(found.hashes[:, 0].view(np.int64)),
+                    pa.array(found.hashes[:, 1].view(np.int64)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kinds = "doc_id long, twin long, start int, stop int, short long, rest long"
+    return docs.select("doc_id", "twin", F.col("text").cast("binary").alias("text")).mapInArrow(emit, kinds)
 
 
 def _short_hashes(docs: DataFrame, min_words: int) -> DataFrame:
+    """First number of the hash of every run, and how often a batch has it."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_short(r[2]) for t in batch.column(0).to_pylist() for r in runs(t, min_words)[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["short"])
+            texts = batch.column(0).to_pylist()
+            for low, high in _pieces(texts):
+                short, n = np.unique(cut(texts[low:high], min_words).hashes[:, 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(short.view(np.int64)), pa.array(n)], names=["short", "n"])
 
-    return docs.select("text").mapInArrow(emit, "short long")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(emit, "short long, n long")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -133,17 +211,17 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ``docs``: doc_id, twin (tells rows of the same id apart), text without nulls.
     """
     twice = keep(
-        _short_hashes(docs, min_words).groupBy("short").agg(F.count("*").alias("n")).where("n > 1").select("short"),
+        _short_hashes(docs, min_words).groupBy("short").agg(F.sum("n").alias("n")).where("n > 1").select("short"),
         "repeated-hashes",
     )
     # the hashes of a large corpus fit neither a worker nor the driver, so the runs are joined with them
-    some = _runs_of(docs, min_words).join(twice, "short", "left_semi").drop("short")
+    some = _runs_of(docs, min_words).join(twice, "short", "left_semi")
     some = keep(some, "repeated-runs")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "twin", "start", "stop")
     # written, so that both sides of the join are plain exchanges and a run that many texts share is split
-    firsts = keep(some.groupBy("span").agg(F.min(place).alias("first")), "first-runs")
+    firsts = keep(some.groupBy("short", "rest").agg(F.min(place).alias("first")), "first-runs")
     return (
-        some.join(firsts, "span")
+        some.join(firsts, ["short", "rest"])
         .where(~(place == F.col("first")))
         .select("doc_id", "twin", "start", "stop")
     )
@@ -153,7 +231,7 @@ def deduplicate(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without repeated spans, with n_sentences, n_removed, words_removed and kept_sha256.
 
     Columns of these names are replaced, others stay. A null text counts as empty and stays null.
-    Rows equal in id and text are one document: they keep or lose the same sentences.
+    Rows equal in id and text are one document: they keep or lose the same sentences. An empty table gives an empty one.
     """
     added = ["n_sentences", "n_removed", "words_removed", "kept_sha256"]
     base = without(docs, *added, "__twin", "__doc", "__gone")
@@ -172,39 +250,42 @@ def deduplicate(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     names = [*base.columns, *added]
     schema += ", n_sentences long, n_removed long, words_removed long, kept_sha256 string"
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
+            data = [(t or "").encode("utf-8", "replace") for t in texts]
+            spans = batch.column(batch.num_columns - 1).to_pylist()
             out: list[list] = [[], [], [], []]
-            for at, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                kept, total, lost, words = remove(texts[at], [(s["start"], s["stop"]) for s in spans or ()])
-                if lost:
-                    texts[at] = kept
-                digest = hashlib.sha256(kept.encode("utf-8", "replace")).hexdigest()
-                for column, value in zip(out, (total, lost, words, digest), strict=True):
-                    column.append(value)
+            for low, high in _pieces(data):
+                found = cut(data[low:high], min_words)
+                for at in range(low, high):
+                    starts = found.sentences(at - low)
+                    kept, lost, words = remove(data[at], starts, [(s["start"], s["stop"]) for s in spans[at] or ()])
+                    if lost:
+                        texts[at] = kept.decode("utf-8", "replace")
+                    for column, value in zip(out, (len(starts), lost, words, hashlib.sha256(kept).hexdigest()), strict=True):
+                        column.append(value)
             columns = list(batch.columns[:-1])
             columns[text_at] = pa.array(texts, pa.string())
             columns += [pa.array(c, pa.int64()) for c in out[:3]] + [pa.array(out[3], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return marked.mapInArrow(cut, schema)
+    return marked.mapInArrow(shorten, schema)
 
 
-def remove(text: str | None, spans: list[tuple[int, int]]) -> tuple[str, int, int, int]:
-    """What is left of ``text``, its sentences, and the sentences and words that went."""
-    text = text or ""
-    spots = sentences(text)
-    covered = [False] * len(spots)
+def remove(text: bytes, starts: np.ndarray, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
+    """What is left of ``text``, and the sentences and words that went; ``starts`` are the first words of its sentences."""
+    covered = np.zeros(len(starts), dtype=bool)
     for start, stop in spans:
-        covered[start:stop] = [True] * (stop - start)
-    if not any(covered):
-        return text, len(spots), 0, 0
-    kept, at, words = [], 0, 0
-    for k, (start, stop) in enumerate(spots):
-        if covered[k]:
-            kept.append(text[at:start])
-            words += len(text[start:stop].split())
-            # the white space after it goes as well
-            at = spots[k + 1][0] if k + 1 < len(spots) else len(text)
-    return "".join([*kept, text[at:]]).rstrip(" \n"), len(spots), sum(covered), words
+        covered[start:stop] = True
+    if not covered.any():
+        return text, 0, 0
+    places = [m.span() for m in _WORD.finditer(text)]
+    first = [places[k][0] for k in starts.tolist()]
+    sizes = np.diff(np.append(starts, len(places)))
+    kept, at = [], 0
+    for k in np.flatnonzero(covered).tolist():
+        kept.append(text[at : first[k]])
+        # the white space after it goes as well
+        at = first[k + 1] if k + 1 < len(first) else len(text)
+    return b"".join([*kept, text[at:]]).rstrip(b" \n"), int(covered.sum()), int(sizes[covered].sum())

@@ -433,13 +433,54 @@ def test_cuckoo_filter():
 # 9
 
 
+def brute_sentences(text):
+    """Sentences as lists of words, cut by the rules of the operator one word at a time."""
+    out = []
+    for line in (text or "").encode().lower().split(b"\n"):
+        words, here = re.findall(rb"[^ \t\n\x0b\x0c\r]+", line), []
+        for k, w in enumerate(words):
+            here.append(w)
+            if w[-1:] in (b".", b"!", b"?") or k == len(words) - 1:
+                out += brute_pieces(here)
+                here = []
+    return out
+
+
+def brute_pieces(words):
+    if len(words) <= span_dedup.LONG:
+        return [words]
+    base, full = int(span_dedup._BASES[0]), 2**64
+    mark = lambda w: xxhash.xxh3_128_intdigest(w) % full
+    grams = {}
+    for k in range(2, len(words)):
+        g = ((mark(words[k]) * base + mark(words[k - 1])) * base + mark(words[k - 2])) % full
+        grams[k] = g ^ g >> 31
+    out, here = [], []
+    for k, w in enumerate(words):
+        here.append(w)
+        if k == len(words) - 1 or (k in grams and grams[k] == min(grams[j] for j in range(k - 3, k + 4) if j in grams)):
+            out.append(here)
+            here = []
+    return out
+
+
 def brute_removed(texts):
+    """Sentences that go: equal runs are found by their words, not by hashes."""
     found = defaultdict(list)
     for i, text in dict.fromkeys(texts):
-        twin = (i is None, i or 0, xxhash.xxh64_intdigest((text or "").encode(), 42))
-        twin = (*twin[:2], twin[2] - 2**64 if twin[2] >> 63 else twin[2])
-        for start, stop, span in span_dedup.runs(text)[1]:
-            found[span].append((*twin, start, stop, i, text))
+        twin = xxhash.xxh64_intdigest((text or "").encode(), 42)
+        place = (i is None, i or 0, twin - 2**64 if twin >> 63 else twin)
+        parts = brute_sentences(text)
+        length = lambda a, b: sum(map(len, parts[a:b]))  # noqa: B023, E731
+        ok = lambda a, b: b - a >= 2 and length(a, b) >= 15  # noqa: B023, E731
+        spans = set()
+        for k in range(len(parts)):
+            spans |= set([(k, b) for b in range(k + 1, len(parts) + 1) if ok(k, b)][:1])
+            spans |= set([(a, k + 1) for a in range(k, -1, -1) if ok(a, k + 1)][:1])
+        if parts and not any(a == 0 for a, _ in spans):
+            spans.add((0, len(parts)))
+        for start, stop in spans:
+            found[b" ".join(w for p in parts[start:stop] for w in p)].append((*place, start, stop, i, text))
     gone = defaultdict(set)
     for places in found.values():
         for *_, start, stop, i, text in sorted(places, key=lambda p: p[:5])[1:]:
