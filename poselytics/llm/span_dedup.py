@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,11 +45,11 @@ _FAR = np.iinfo(np.uint64).max
 
 
 class _Hashes(dict):
-    """128 bits of each word as two numbers; the lowest bit of the first tells whether it ends a sentence."""
+    """128 bits of each word, two numbers of 8 bytes; the lowest bit of the first tells whether it ends a sentence."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> bytes:
         h = xxhash.xxh3_128_intdigest(word)
-        found = self[word] = (h >> 64 & ~1 | word.endswith(_ENDS), h & 0xFFFFFFFFFFFFFFFF)
+        found = self[word] = struct.pack("<2Q", h >> 64 & ~1 | word.endswith(_ENDS), h & 0xFFFFFFFFFFFFFFFF)
         return found
 
 
@@ -99,10 +100,10 @@ def _sentence_ends(marks: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return ends | ((gram == least) & (place >= GRAM - 1) & (sizes > LONG)[sentence])
 
 
-def cut(texts: list[bytes], min_words: int = MIN_WORDS) -> Cut:
+def cut(texts: list[bytes], min_words: int = MIN_WORDS, with_runs: bool = True) -> Cut:
     """Sentences of texts (UTF-8), and their runs: a sentence ends with a word that ends in . ! or ?, or with its line.
 
-    Words are what white space of ASCII separates, A-Z in lower case.
+    Words are what white space of ASCII separates, A-Z in lower case. Without ``with_runs`` no run is hashed.
     """
     if len(_known) > MEMORY:
         _known.clear()
@@ -115,7 +116,7 @@ def cut(texts: list[bytes], min_words: int = MIN_WORDS) -> Cut:
             lines.append(len(words))
         sizes.append(len(words) - before)
     n = len(words)
-    hashes = np.array(list(map(_known.__getitem__, words)), dtype=np.uint64).reshape(n, 2)
+    hashes = np.frombuffer(b"".join(map(_known.__getitem__, words)), dtype="<u8").reshape(n, 2)
     ends = (hashes[:, 0] & np.uint64(1)).astype(bool)
     at = np.array(lines, dtype=np.int64) - 1
     ends[at[at >= 0]] = True  # an empty line ends nothing new: the word before it has ended one already
@@ -139,7 +140,8 @@ def cut(texts: list[bytes], min_words: int = MIN_WORDS) -> Cut:
     stop = np.concatenate([stop, every[back] + 1])
     key = np.unique(start << 32 | stop)
     start, stop = key >> 32, key & 0xFFFFFFFF
-    return Cut(bounds, text, firsts, start, stop, _run_hashes(hashes, bounds[start], bounds[stop]))
+    found = _run_hashes(hashes, bounds[start], bounds[stop]) if with_runs else np.zeros((0, 2), dtype=np.uint64)
+    return Cut(bounds, text, firsts, start, stop, found)
 
 
 def _run_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -257,7 +259,7 @@ def deduplicate(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
             spans = batch.column(batch.num_columns - 1).to_pylist()
             out: list[list] = [[], [], [], []]
             for low, high in _pieces(data):
-                found = cut(data[low:high], min_words)
+                found = cut(data[low:high], min_words, with_runs=False)
                 for at in range(low, high):
                     starts = found.sentences(at - low)
                     kept, lost, words = remove(data[at], starts, [(s["start"], s["stop"]) for s in spans[at] or ()])
