@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,11 +29,16 @@ class RetentionMachine:
         self.retention = retention_ms
 
     def run(self, state, rows, lo, hi, out):
-        for ts in rows["ts_ms"][lo:hi]:
-            if out is not None:
-                out["is_evicted"].append(state is not None and 0 <= ts <= state - self.retention)
-            state = ts if state is None else max(state, ts)
-        return state
+        if lo == hi:
+            return state
+        times = np.asarray(rows["ts_ms"][lo:hi], dtype=np.int64)
+        newest = np.maximum.accumulate(times if state is None else np.concatenate(([state], times)))
+        if out is not None:
+            later = newest[:-1]  # before each row, but for a first one without any
+            judged = times[len(times) - len(later) :]
+            evicted = (judged >= 0) & (judged <= later - self.retention)
+            out["is_evicted"].extend([False] * (len(times) - len(later)) + evicted.tolist())
+        return int(newest[-1])
 
     def transfer(self, rows):
         return max(rows["ts_ms"])

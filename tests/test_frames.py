@@ -1,6 +1,7 @@
 """Catalog, parsing, classification, buffer and text on small fixtures."""
 
 import json
+import random
 
 import pyarrow as pa
 import pytest
@@ -140,12 +141,12 @@ def test_parse_and_rejects(spark):
         "current_time": 3,
     }
     old = {
-        "frame_track_uuid": "test123",
-        "timestamp": "2024-01-01T00:00:00",
-        "exercise": "pushup",
-        "session_uuid": "test_session",
-        "landmarks": [{"x": 10, "y": 20, "z": 30}],
-        "metrics": {"angle": 45},
+        "frame_track_uuid": "old-7",
+        "timestamp": "2023-06-05T08:30:00",
+        "exercise": "side-plank",
+        "session_uuid": "hall-3",
+        "landmarks": [{"x": 0.5, "y": 0.25, "z": 0}],
+        "metrics": {"knee": 61},
     }
     messages = [json.dumps(good), json.dumps(old), "[1]", "{", json.dumps({**good, "session_uuid": None})]
     parsed = parse_frames(spark.createDataFrame([(m,) for m in messages], "value string")).cache()
@@ -180,6 +181,19 @@ def test_retention_by_arrival(spark):
         assert sorted((r.session_uuid, r.ts_ms) for r in evicted) == [("s", 0), ("t", 0)]
 
 
+def test_retention_machine_in_pieces():
+    rng = random.Random(5)
+    for retention in (0, 7, 30):
+        machine = buffer.RetentionMachine(retention)
+        times = [rng.randrange(-5, 100) for _ in range(200)]
+        expected = [any(u - retention >= t for u in times[:k]) and t >= 0 for k, t in enumerate(times)]
+        for cuts in ([0, 200], [0, 1, 1, 60, 199, 200]):
+            state, out = None, {"is_evicted": []}
+            for lo, hi in zip(cuts, cuts[1:]):
+                state = machine.run(state, {"ts_ms": times}, lo, hi, out)
+            assert out["is_evicted"] == expected and state == max(times)
+
+
 def test_consume(spark):
     frames = spark.createDataFrame(
         [("s", t) for t in (19_999, 20_000, 20_001, 30_000, 30_001)], "session_uuid string, ts_ms bigint"
@@ -196,11 +210,11 @@ def test_consume(spark):
 
 def test_latest_and_old_frames(spark):
     frames = spark.createDataFrame(
-        [("test_session", 0, "1", 0), ("test_session", 10_000, "2", 10_000_000), ("session2", 5, "1", 5_000)],
+        [("hall-3", 0, "a", 0), ("hall-3", 10_000, "b", 10_000_000), ("hall-4", 5, "a", 5_000)],
         "session_uuid string, ts_ms bigint, frame_track_uuid string, ts_us bigint",
     )
     latest = {r.session_uuid: r.frame.frame_track_uuid for r in buffer.latest_frames(frames).collect()}
-    assert latest == {"test_session": "2", "session2": "1"}
+    assert latest == {"hall-3": "b", "hall-4": "a"}
     assert buffer.latest_frames(frames.filter("session_uuid = 'empty'")).count() == 0
     kept = buffer.clean_old_frames(frames, 40_000, 30)
     assert kept.count() == 0  # exactly as old as allowed is too old
