@@ -524,17 +524,21 @@ def brute_hits(text, items, size=10):
 
 
 @pytest.mark.parametrize("limit", [1 << 20, 200])
-def test_decontamination(llm, docs, texts, empty, limit):
+def test_decontamination(llm, docs, texts, empty, limit, monkeypatch):
+    loaded = []
+    load = decontaminate._load
+    monkeypatch.setattr(decontaminate, "_load", lambda *a: loaded.append(1) or load(*a))
     long = prose(5, 205).upper()
     items = [(1, long), (10, "日本語"), (2, prose(8, 30)), (3, None), (4, " ,. "), (5, "geese1x999"), (2, prose(9, 12))]
     bench = llm.createDataFrame(items, "item_id long, text string")
     clash = docs.withColumn("hits", F.lit(0))
     rows = decontaminate.scan(clash, bench, limit=limit).collect()
+    assert len(loaded) == (limit > 200)  # a large benchmark is joined: none of its windows is sent
     columns = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     assert ordered((r["doc_id"], *[r[c] for c in columns]) for r in rows) == ordered((i, *brute_hits(t, items)) for i, t in texts)
-    cleaned = decontaminate.scan(docs, bench, remove="spans").collect()
+    cleaned = decontaminate.scan(docs, bench, remove="spans", limit=limit).collect()
     assert {r["text"] for r in decontaminate.scan(docs.select("doc_id", "text"), bench.limit(0)).collect()} == {t for _, t in texts}
     for before, after in zip(sorted(rows, key=repr), sorted(cleaned, key=repr), strict=True):
         assert before["n_words"] == after["n_words"]
     assert any(r["contaminated"] and "日本語" not in (r["text"] or "") for r in cleaned)
-    assert decontaminate.scan(empty, bench).count() == 0
+    assert decontaminate.scan(empty, bench, limit=limit).count() == 0
