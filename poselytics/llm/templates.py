@@ -1,7 +1,7 @@
 """Main text of web pages by removal of what a site's pages have in common.
 
 Element subtrees are hashed and counted per host; a subtree that stands in many
-of a host's pages with different texts is part of its template and is deleted. Copies of
+of a host's pages with different texts is part of its template and is deleted, wherever it stands, before the main element is looked for. Copies of
 one page count once, so an article that a site publishes many times is
 no template. What the markup itself names as navigation, advert, form and so on
 goes as well, as most hosts have too few pages to count.
@@ -21,10 +21,9 @@ from pyspark.sql import functions as F
 
 from poselytics.llm.common import BROADCAST_BYTES, keep, without
 
-#: A subtree is a template from so many different pages of its host on, and from this share of them.
+#: A subtree is a template from so many different pages of its host on, however many pages that has.
 MIN_PAGES = 10
-SHARE = 0.1
-#: The same inside the article, where text may well be quoted often.
+#: Inside the article, where text may well be quoted often, also from this share of them.
 MIN_PAGES_ARTICLE = 20
 SHARE_ARTICLE = 0.5
 
@@ -49,6 +48,8 @@ _ENDS = {
     "th": {"td", "th"},
     "option": {"option"},
 }
+#: Never part of a template as a whole.
+_PAGE = frozenset("html head body article main".split())
 _SCOPE = frozenset("ul ol dl table select body html article section div".split())
 _ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
@@ -63,6 +64,13 @@ _NAMES = frozenset(
     "paywall login signup pagination pager toolbar".split()
 )
 
+#: With these, a name stands for the part as a whole: share-buttons, but not share-price-table.
+_PLAIN = frozenset(
+    "area bar block bottom box button buttons container content footer form global header inner item items left link links "
+    "list main message outer page panel post posts articles stories primary right secondary section site slot top unit widget "
+    "wrap wrapper".split()
+)
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z",
     re.DOTALL,
@@ -71,13 +79,20 @@ _ATTRIBUTE = re.compile(r"""(?<![^\s"'])(class|id|role|hidden|aria-hidden)(?:\s*
 _WORD = re.compile(r"[A-Za-z0-9]+")
 
 
+def _stands_for_part(name: str) -> bool:
+    """Whether a class or id such as ad-box says nothing but what part of a site it is."""
+    words = set(_WORD.findall(name))
+    return bool(words & _NAMES) and words <= _NAMES | _PLAIN
+
+
 class Element:
     """A node of the page; ``parts`` holds texts and elements in order."""
 
-    __slots__ = ("article", "dropped", "hash", "name", "named", "parts", "tag")
+    __slots__ = ("article", "dropped", "foreign", "hash", "name", "named", "parts", "tag")
 
-    def __init__(self, tag: str, attributes: str, in_article: bool) -> None:
+    def __init__(self, tag: str, attributes: str, in_article: bool, in_foreign: bool = False) -> None:
         self.tag = tag
+        self.foreign = in_foreign or tag in ("svg", "math")
         self.parts: list[str | Element] = []
         self.hash = 0
         found = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
@@ -90,11 +105,14 @@ class Element:
             or "hidden" in found
             or found.get("aria-hidden", "").lower() == "true"
         )
-        # dropped for a part of its class or id alone: 1, for a whole one: 2
+        # dropped for a part of its class or id alone: 1, for a whole one: 2; in the article a part must not be one word of several
         self.named = 0
         if not kind and words & _NAMES:
             whole = {w.lower() for k in ("class", "id") for w in found.get(k, "").split()}
-            self.named = 2 if whole & _NAMES else 1
+            if whole & _NAMES:
+                self.named = 2
+            elif not in_article or any(_stands_for_part(w) for w in whole):
+                self.named = 1
         self.dropped = kind or self.named > 0
         # the root is never a notice of its own
         if tag in ("html", "body", "main") or (tag == "article" and not (words & {"comment", "comments", "ad", "ads", "advert"})):
@@ -140,9 +158,10 @@ def parse(page: str | None) -> Element:
                     break
                 if found in _SCOPE:
                     break
-        element = Element(tag, m[3], stack[-1].article)
+        element = Element(tag, m[3], stack[-1].article, stack[-1].foreign)
         stack[-1].parts.append(element)
-        if tag in _VOID or m[3].endswith("/"):
+        # a slash closes nothing outside of drawings and formulas
+        if tag in _VOID or (element.foreign and m[3].endswith("/")):
             continue
         if tag in _RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(text, at)
@@ -189,16 +208,42 @@ def _main(root: Element) -> list[Element]:
     return [root]
 
 
-def main_text(root: Element, templates=None) -> str:
-    """Text of the main content, a space between blocks, without dropped elements and ``templates``."""
+def delete_templates(root: Element, templates) -> int:
+    """Empty every subtree that ``templates`` holds, the whole page over; how many there were."""
+    deleted, waiting = 0, [root]
+    while waiting:
+        node = waiting.pop()
+        kept = []
+        for part in node.parts:
+            if isinstance(part, str):
+                kept.append(part)
+            elif part.tag not in _PAGE and templates(part):
+                deleted += 1
+                if part.tag not in _INLINE:
+                    kept.append(" ")  # the blocks around it stay apart
+            else:
+                kept.append(part)
+                waiting.append(part)
+        node.parts = kept
+    return deleted
+
+
+def page_text(root: Element) -> str:
+    """What tells a page from others: its main text, or if most of its text stands elsewhere, all of it."""
+    main, whole = main_text(root), main_text(root, [root])
+    return main if 2 * len(main) >= len(whole) else whole
+
+
+def main_text(root: Element, within: list[Element] | None = None) -> str:
+    """Text of the main content (or of ``within``), a space between blocks, without dropped elements."""
     out: list[str] = []
-    waiting: list[str | Element] = list(reversed(_main(root)))
+    waiting: list[str | Element] = list(reversed(within or _main(root)))
     while waiting:
         node = waiting.pop()
         if isinstance(node, str):
             out.append(node)
             continue
-        if node.dropped or (templates is not None and node.tag != "html" and templates(node)):
+        if node.dropped:
             continue
         if node.tag not in _INLINE:
             out.append(" ")
@@ -214,7 +259,7 @@ def blocks(root: Element) -> Iterator[Element]:
         node = waiting.pop()
         children = [p for p in node.parts if not isinstance(p, str)]
         waiting += children
-        if node.tag in _INLINE or node.tag in ("html", "head", "body", "article", "main") or node.tag in _VOID:
+        if node.tag in _INLINE or node.tag in _PAGE or node.tag in _VOID:
             continue
         if children or any(p.strip() for p in node.parts if isinstance(p, str)):
             yield node
@@ -228,11 +273,8 @@ def host_of(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def site_templates(pages: DataFrame, *, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """host, subtree of every template of a host. ``pages``: host, html.
-
-    At most (elements per page / share) subtrees of a host can reach the share.
-    """
+def site_templates(pages: DataFrame, *, min_pages: int = MIN_PAGES) -> DataFrame:
+    """host, subtree of every template of a host. ``pages``: host, html."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,7 +282,7 @@ def site_templates(pages: DataFrame, *, min_pages: int = MIN_PAGES, share: float
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 root = parse(page)
                 hash_tree(root, host)
-                signature = _signed(xxhash.xxh64_intdigest(main_text(root).encode("utf-8", "replace")))
+                signature = _signed(xxhash.xxh64_intdigest(page_text(root).encode("utf-8", "replace")))
                 seen = {_signed(node.hash): node.article for node in blocks(root)}
                 # the page itself, for the number of pages of the host
                 seen[0] = False
@@ -265,14 +307,14 @@ def site_templates(pages: DataFrame, *, min_pages: int = MIN_PAGES, share: float
     total = counted.where("subtree = 0").select("host", F.col("n").alias("pages"))
     wanted = F.when(
         F.col("inside"), (F.col("n") >= MIN_PAGES_ARTICLE) & (F.col("n") >= F.col("pages") * SHARE_ARTICLE)
-    ).otherwise(F.col("n") >= F.col("pages") * share)
+    ).otherwise(F.col("n") >= min_pages)
     return counted.where("subtree <> 0").join(total, "host").where(wanted).select("host", "subtree")
 
 
 def extract(pages: DataFrame, *, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``pages`` (url, html and others) without html, with text and n_chars.
 
-    A null or empty page has an empty text; a page without a host shares the host ''. Columns named
+    An empty table gives an empty one. A null or empty page has an empty text; a page without a host shares the host ''. Columns named
     text or n_chars are replaced. Templates go to the workers, hosts in as many groups as keep
     each group's below ``limit`` bytes; every page is extracted once, with its host's group.
     """
@@ -318,9 +360,8 @@ def _extract(pages: DataFrame, templates) -> DataFrame:
                 root = parse(page)
                 if known:
                     hash_tree(root, host)
-                    texts.append(main_text(root, lambda node: _signed(node.hash) in known))
-                else:
-                    texts.append(main_text(root))
+                    delete_templates(root, lambda node: _signed(node.hash) in known)
+                texts.append(main_text(root))
             columns = [batch.column(k) for k in keep_at]
             columns += [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "text", "n_chars"])

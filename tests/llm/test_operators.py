@@ -97,6 +97,41 @@ def test_main_text():
     assert text("<main>m</main><p>o") == "m"
     assert text("<p>1</div>2</p>3") == "1 2 3" or text("<p>1</div>2</p>3") == "12 3"
     assert text("<div>" * 3000 + "deep") == "deep"
+    # a value may end in a slash, and a slash closes no element of HTML
+    assert text("<article data-u=/x/><p>Here</p></article><p>o") == "Here"
+    assert text("<article><div/><p>One</p></article>") == "One"
+    assert text("<article>a <svg><path d='1'/><g/></svg>b</article>") == "a b"
+    # one word of several names no part of a site
+    for name in ("share-price-table", "related-work", "notice-period", "comment_count_by_year"):
+        assert text(f"<article><p>a</p><div class='{name}'>b</div></article>") == "a b"
+    for name in ("share-buttons", "ad-box", "related-posts", "site-footer", "promo", "cookie_notice"):
+        assert text(f"<article><p>a</p><div class='{name}'>b</div></article>") == "a"
+    assert len(text("<p>word</p>" * 200_000).split()) == 200_000
+
+
+def test_templates_go_before_the_main_element_is_chosen():
+    teaser = "<div><article><p>Teaser of every page</p></article></div>"
+    root = templates.parse(f"<body>{teaser}<div><p>Text of <b>this</b> page</p></div><ul><li>More</ul></body>")
+    templates.hash_tree(root, "h")
+    other = templates.parse(f"<body><p>x</p>{teaser}<ul><li>More</ul></body>")
+    templates.hash_tree(other, "h")
+    assert templates.main_text(root) == "Teaser of every page"
+    shared = {n.hash for n in templates.blocks(root)} & {n.hash for n in templates.blocks(other)}
+    assert templates.delete_templates(root, lambda n: n.hash in shared) == 2
+    assert templates.main_text(root) == "Text of this page"
+
+
+def test_templates_decide_pages_without_marks(llm):
+    """Text, menu and teasers are all plain divisions; a host's many pages tell them apart, by brute force too."""
+    menu, teaser = "<div><p>Home</p><p>Shop</p></div>", "<div><article><p>Offer of the week</p></article></div>"
+    rows = [(k, f"http://{k % 2}.example.com/{k}", f"{menu}<div><p>{prose(k, 30)}</p></div>{teaser}") for k in range(60)]
+    # one more page of a large host has a block that only nine others share
+    rows += [(100 + k, f"http://0.example.com/x{k}", f"<div>Nine times</div><p>{prose(200 + k, 30)}</p>") for k in range(9)]
+    found = {r["page_id"]: r["text"] for r in templates.extract(llm.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(60):
+        assert found[k] == " ".join(prose(k, 30).split())
+    for k in range(9):
+        assert found[100 + k] == "Nine times " + " ".join(prose(200 + k, 30).split())
 
 
 def test_site_templates(llm):
@@ -235,6 +270,51 @@ def test_find(docs, texts, empty):
     assert skip_chain.find(empty).count() == 0
 
 
+KEY = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+
+
+def personal(k):
+    """A text with a phone, a card, an address, a secret, decoys, and mentions of some that no pattern finds."""
+    return (
+        f"write to ann{k}@mail.example.com or call +1 (38{k % 10}) 555-37{k % 90 + 10} from 10.2.{k % 250}.7\n"
+        f"pay with 4111 1111 1111 1111 today, order 98079157628044{k % 90 + 10}\n"
+        f'api_key = "{KEY[:-2]}{k % 90 + 10}" and commit {KEY[2:]}{k % 90 + 10} of version 1.{k}\n'
+    )
+
+
+def test_field_adds_secrets_and_mentions_but_no_decoys(llm):
+    extra = "later {0} was used again, and 555-3755 called, not 555-9999 or 4111 alone; Password: hunter2hunter2hunter2"
+    texts = {k: personal(k) for k in range(80)} | {100: personal(45) + extra.format(KEY[:-2] + "55"), 101: "token=abc", 102: ""}
+    texts[103] = "+1 (826) 555-4081 190.137.223.46"  # the pattern takes too many digits
+    found = {
+        r["doc_id"]: set(filter(None, r["spans"].split(",")))
+        for r in skip_chain.find(llm.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    }
+    as_text = lambda spans: {f"{skip_chain.KINDS[k]}:{a}:{b}" for a, b, k in spans}
+    more = {i: {(s.split(":")[0], texts[i][int(s.split(":")[1]) : int(s.split(":")[2])]) for s in spans - as_text(brute_spans(texts[i]))} for i, spans in found.items()}
+    for k in range(80):
+        assert more[k] == {("secret", f"{KEY[:-2]}{k % 90 + 10}")}
+    assert more[100] == {("secret", KEY[:-2] + "55"), ("secret", "hunter2hunter2hunter2"), ("phone", "555-3755")}
+    assert not more[101] and not more[102]
+    assert more[103] == {("phone", "+1 (826) 555-4081")}
+
+
+def test_skip_edges_find_what_they_alone_can(llm):
+    rows = [(k, personal(k)) for k in range(80)]
+    field = skip_chain.fit(llm.createDataFrame(rows, "doc_id long, text string"))
+    alone = skip_chain.Field(field.node, field.chain, np.zeros_like(field.skip))
+    text = personal(45) + f"later {KEY[:-2]}55 was used again"
+    base = skip_chain.base_spans(text)
+    last = (len(text) - 55, len(text) - 15)
+    assert text[slice(*last)] == KEY[:-2] + "55"
+    assert (*last, skip_chain.SECRET) in skip_chain.more_spans(text, base, field)
+    g = skip_chain.graph(text)
+    at = g.spots.index(last)
+    known = skip_chain.marks(g, base)
+    assert known[at] == 0
+    assert alone.marginals(g, known)[at, 1 + skip_chain.SECRET] < field.marginals(g, known)[at, 1 + skip_chain.SECRET]
+
+
 def test_long_tokens_take_linear_time():
     text = "1" * 200_000 + "@" * 1000 + "a" * 200_000
     assert skip_chain.base_spans(text) == []
