@@ -7,14 +7,14 @@ passage is covered to its last sentence wherever it ends. Of equal runs anywhere
 any other one covers go. Only hashes are joined: a first pass finds those
 that occur twice, a second one asks for the places of these alone.
 
-Words are hashed once. The hash of a run is that of a polynomial over the hashes of its words, taken from sums
-up to each place, so that all runs of a batch of texts take a few array operations, however they overlap.
+The hash of a word is that of a polynomial over its bytes, the hash of a run that of one over the hashes of its words, taken from sums
+up to each place, so that all words and runs of a batch of texts take a few array operations, however they overlap.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,27 +32,59 @@ LONG = 16
 #: Words that decide on a cut, and how many places on either side it is compared with.
 GRAM = 3
 REACH = 3
-#: Words whose hashes one worker remembers, and bytes of text that are cut at once (a longer text goes alone).
-MEMORY = 1_000_000
+#: Bytes of text that are cut at once (a longer text goes alone).
 PIECE_BYTES = 1 << 21
+#: Bytes in which the words that are hashed in one go begin, and the longest word of those.
+BLOCK = 1 << 18
+LONG_WORD = 1 << 16
 
 _WHITE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
-_ENDS = (b".", b"!", b"?")
+_ENDS = np.isin(np.arange(256), list(b".!?"))
 _BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 _BACK = np.array([pow(int(b), -1, 1 << 64) for b in _BASES], dtype=np.uint64)
 _FAR = np.iinfo(np.uint64).max
+#: What each byte stands for in the hash of its word: A-Z as a-z, white space as nothing.
+_BYTES = np.array(
+    [[0 if _WHITE[b] else xxhash.xxh64_intdigest(bytes([b]).lower(), k) for b in range(256)] for k in range(2)], dtype=np.uint64
+)
 
 
-class _Hashes(dict):
-    """128 bits of each word, two numbers of 8 bytes; the lowest bit of the first tells whether it ends a sentence."""
+@functools.lru_cache(maxsize=8)
+def _powers(k: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2 to the ``bits`` powers of base ``k`` and of its inverse."""
+    n = (1 << bits) - 1
+    power, back = (np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, b)))) for b in (_BASES[k], _BACK[k]))
+    return power, back
 
-    def __missing__(self, word: bytes) -> bytes:
-        h = xxhash.xxh3_128_intdigest(word)
-        found = self[word] = struct.pack("<2Q", h >> 64 & ~1 | word.endswith(_ENDS), h & 0xFFFFFFFFFFFFFFFF)
-        return found
 
+def _mixed(found: np.ndarray, k: int) -> np.ndarray:
+    found = (found ^ found >> np.uint64(32)) * _BASES[1 - k]
+    return found ^ found >> np.uint64(29)
 
-_known = _Hashes()
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two numbers for each word, A-Z in lower case: those of a polynomial over its bytes, or of xxHash3 beyond ``LONG_WORD``.
+
+    Words are taken in blocks, so a long text takes no more memory than a short one.
+    """
+    out = np.empty((len(starts), 2), dtype=np.uint64)
+    if not len(starts):
+        return out
+    long = ends - starts > LONG_WORD
+    cell = starts // BLOCK
+    cuts = (np.flatnonzero((cell[1:] != cell[:-1]) | long[1:] | long[:-1]) + 1).tolist()
+    bits = (BLOCK + LONG_WORD).bit_length()
+    for low, high in zip([0, *cuts], [*cuts, len(starts)], strict=True):
+        base = starts[low]
+        if long[low]:
+            h = xxhash.xxh3_128_intdigest(data[base : ends[low]].tobytes().lower())
+            out[low] = h >> 64, h & 0xFFFFFFFFFFFFFFFF
+            continue
+        block, at = data[base : ends[high - 1]], starts[low:high] - base
+        for k in range(2):
+            power, back = _powers(k, bits)
+            out[low:high, k] = _mixed(np.add.reduceat(_BYTES[k][block] * power[: len(block)], at) * back[at], k)
+    return out
 
 
 @dataclass
@@ -104,43 +136,35 @@ def cut(texts: list[bytes], min_words: int = MIN_WORDS, with_runs: bool = True)
 
     Words are what white space of ASCII separates, A-Z in lower case. Without ``with_runs`` no run is hashed.
     """
-    if len(_known) > MEMORY:
-        _known.clear()
-    words: list[bytes] = []
-    lines, sizes = [], []
-    for text in texts:
-        before = len(words)
-        for line in text.lower().split(b"\n"):
-            words += line.split()
-            lines.append(len(words))
-        sizes.append(len(words) - before)
-    n = len(words)
-    hashes = np.frombuffer(b"".join(map(_known.__getitem__, words)), dtype="<u8").reshape(n, 2)
-    ends = (hashes[:, 0] & np.uint64(1)).astype(bool)
-    at = np.array(lines, dtype=np.int64) - 1
-    ends[at[at >= 0]] = True  # an empty line ends nothing new: the word before it has ended one already
+    data = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
+    white = _WHITE[data]
+    before = np.concatenate(([True], white[:-1]))
+    starts, beyond = np.flatnonzero(~white & before), np.flatnonzero(white & ~before)
+    hashes = _word_hashes(data, starts, beyond)
+    line = np.searchsorted(np.flatnonzero(data == ord("\n")), starts)
+    ends = _ENDS[data[beyond - 1]] | (line != np.append(line[1:], -1))
     ends = _sentence_ends(hashes[:, 1], ends)
     bounds = np.concatenate(([0], np.flatnonzero(ends) + 1))
-    text_ends = np.cumsum(sizes)
+    text_ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
     text = np.searchsorted(text_ends, bounds[:-1], side="right")
     firsts = np.searchsorted(bounds[:-1], np.concatenate(([0], text_ends)))
-    first, beyond = firsts[text], firsts[text + 1]
+    if not with_runs:
+        none = np.zeros(0, dtype=np.int64)
+        return Cut(bounds, text, firsts, none, none, np.zeros((0, 2), dtype=np.uint64))
 
+    first, last = firsts[text], firsts[text + 1]
     every = np.arange(len(text))
     stop = np.maximum(every + MIN_SENTENCES, np.searchsorted(bounds, bounds[:-1] + min_words))
-    full = stop <= beyond
-    whole = ~full & (every == first)
-    start = np.concatenate([every[full], every[whole]])
-    stop = np.concatenate([stop[full], beyond[whole]])
+    full = stop <= last
+    stop = np.minimum(stop, last)
+    ahead = full | (every == first)
     begin = np.minimum(every + 1 - MIN_SENTENCES, np.searchsorted(bounds, bounds[1:] - min_words, side="right") - 1)
-    back = begin >= first
-    # runs that are both are found once
-    start = np.concatenate([start, begin[back]])
-    stop = np.concatenate([stop, every[back] + 1])
-    key = np.unique(start << 32 | stop)
-    start, stop = key >> 32, key & 0xFFFFFFFF
-    found = _run_hashes(hashes, bounds[start], bounds[stop]) if with_runs else np.zeros((0, 2), dtype=np.uint64)
-    return Cut(bounds, text, firsts, start, stop, found)
+    from_here = np.maximum(begin, 0)
+    # a run that was found from its start is not taken from its end again
+    back = (begin >= first) & ~(ahead[from_here] & (stop[from_here] == every + 1))
+    start = np.concatenate([every[ahead], begin[back]])
+    stop = np.concatenate([stop[ahead], every[back] + 1])
+    return Cut(bounds, text, firsts, start, stop, _run_hashes(hashes, bounds[start], bounds[stop]))
 
 
 def _run_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -148,11 +172,9 @@ def _run_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
     n = len(hashes)
     with np.errstate(over="ignore"):
         for k in range(2):
-            power, back = (np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, b)))) for b in (_BASES[k], _BACK[k]))
-            sums = np.concatenate(([np.uint64(0)], np.add.accumulate(hashes[:, k] * power[:-1])))
-            found = (sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64)
-            found = (found ^ found >> np.uint64(32)) * _BASES[1 - k]
-            out[:, k] = found ^ found >> np.uint64(29)
+            power, back = _powers(k, (n + 1).bit_length())
+            sums = np.concatenate(([np.uint64(0)], np.add.accumulate(hashes[:, k] * power[:n])))
+            out[:, k] = _mixed((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64), k)
     return out
 
 

@@ -1,6 +1,7 @@
 """Every operator against a brute-force version, on awkward rows, empty tables and clashing columns."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -529,8 +530,15 @@ def brute_sentences(text):
 def brute_pieces(words):
     if len(words) <= span_dedup.LONG:
         return [words]
-    base, full = int(span_dedup._BASES[0]), 2**64
-    mark = lambda w: xxhash.xxh3_128_intdigest(w) % full
+    base, other, full = int(span_dedup._BASES[0]), int(span_dedup._BASES[1]), 2**64
+
+    def mark(word):
+        if len(word) > span_dedup.LONG_WORD:
+            return xxhash.xxh3_128_intdigest(word) % full
+        h = sum(xxhash.xxh64_intdigest(bytes([b]), 1) * pow(other, i, full) for i, b in enumerate(word)) % full
+        h = (h ^ h >> 32) * base % full
+        return h ^ h >> 29
+
     grams = {}
     for k in range(2, len(words)):
         g = ((mark(words[k]) * base + mark(words[k - 1])) * base + mark(words[k - 2])) % full
@@ -576,6 +584,31 @@ def test_spans(docs, texts, empty):
     assert span_dedup.deduplicate(empty).count() == 0
 
 
+@pytest.mark.parametrize(("block", "long_word"), [(1 << 18, 1 << 16), (64, 12), (1, 1)])
+def test_cuts(monkeypatch, block, long_word):
+    """Sentences and equal runs, as words tell them, whatever the blocks in which words are hashed."""
+    monkeypatch.setattr(span_dedup, "BLOCK", block)
+    monkeypatch.setattr(span_dedup, "LONG_WORD", long_word)
+    pick = random.Random(5)
+    words = ["Tell", "tell", "us.", "ÄRGER", "ärger", "of\u2028it", "x" * 30, "X" * 30, "", "why?", "\x1c", "no\x00"]
+    white = [" ", "  ", "\t", "\x0b", "\r\n", "\n\n", " " * 90]
+    texts = ["", " \n ", "one", "\none\n", prose(3, 400), f"so {prose(3, 400)} A{prose(3, 60)}"]
+    texts += ["".join(pick.choice(words) + pick.choices(white, [20, 1, 1, 1, 1, 1, 1])[0] for _ in range(n)) for n in (5, 40, 300)]
+    found = span_dedup.cut([t.encode() for t in texts])
+    sizes = np.diff(found.words)
+    equal = defaultdict(set)
+    for k, text in enumerate(texts):
+        parts = brute_sentences(text)
+        assert sizes[found.firsts[k] : found.firsts[k + 1]].tolist() == [len(p) for p in parts]
+        for start, stop, (a, b) in zip(found.start - found.firsts[k], found.stop - found.firsts[k], found.hashes.tolist(), strict=True):
+            if 0 <= start and stop <= len(parts):
+                equal[a, b].add(b" ".join(w for p in parts[start:stop] for w in p))
+    assert all(len(runs) == 1 for runs in equal.values())
+    assert len(equal) == len({run for runs in equal.values() for run in runs})
+    keys = list(zip(found.start.tolist(), found.stop.tolist(), strict=True))
+    assert len(keys) == len(set(keys))
+
+
 def test_passage_goes_and_the_rest_stays(llm):
     passage = "Once more we tell it here. All of it, from the start to the end, in the very same words. And then, as before, nobody listens to us."
     rows = [(k, f"{prose(k, 50)}. {passage}\n{prose(k + 50, 40)}") for k in range(3)]
