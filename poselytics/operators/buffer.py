@@ -14,9 +14,17 @@ RETENTION_S = 30
 PROCESSING_WINDOW_S = 10
 
 
-def dedup_frames(frames: DataFrame) -> DataFrame:
-    """Identical frames collapse to one; copies are merged before the shuffle."""
-    return frames.dropDuplicates()
+def dedup_frames(frames: DataFrame, keep: list[str | Column] | None = None) -> DataFrame:
+    """Identical frames collapse to one; copies are merged before the shuffle.
+
+    With ``keep`` only these columns come back. Frames are still compared as a whole: the columns that are not named
+    stand in 128 bits of their JSON taken at the scan, so landmarks and whatever else is not kept are never shuffled.
+    """
+    if keep is None:
+        return frames.dropDuplicates()
+    rest = F.struct(*[F.col(f"`{c}`") for c in frames.columns if c not in [k for k in keep if isinstance(k, str)]])
+    digest = F.unhex(F.md5(F.to_json(rest, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})))
+    return frames.select(*keep, digest.alias("frame_digest")).dropDuplicates().drop("frame_digest")
 
 
 class RetentionMachine:
@@ -114,8 +122,15 @@ def active_sessions(frames: DataFrame) -> DataFrame:
 
 
 def latest_frames(frames: DataFrame) -> DataFrame:
-    """Latest frame per session in replay order, as struct ``frame``."""
-    return frames.groupBy("session_uuid").agg(F.max_by(F.struct("*"), order_key()).alias("frame"))
+    """Latest frame per session in replay order, as struct ``frame``.
+
+    The newest time of each session comes first, a number that is hashed without sorting; only frames of
+    that very time go on to the comparison by id. Whether the times are broadcast to the frames is left to their size.
+    """
+    newest = frames.groupBy(F.col("session_uuid").alias("newest_of")).agg(F.max("ts_ms").alias("newest_ms"))
+    same = F.col("session_uuid").eqNullSafe(F.col("newest_of")) & F.col("ts_ms").eqNullSafe(F.col("newest_ms"))
+    tied = frames.join(newest, same, "left_semi")
+    return tied.groupBy("session_uuid").agg(F.max_by(F.struct("*"), order_key()).alias("frame"))
 
 
 def clean_old_frames(frames: DataFrame, as_of_ms: int, max_age_s: float) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from poselytics.operators.buffer import dedup_frames
 from poselytics.operators.classify import compact_frames
@@ -33,6 +34,9 @@ from poselytics.operators.session_fold import (
 from poselytics.session import configure, materialise
 from poselytics.sources.catalog import Catalog
 
+#: Columns of a frame that the analysis reads, besides the angles.
+ANALYSED = ["session_uuid", "frame_track_uuid", "timestamp", "exercise", "current_time", "video_duration"]
+
 
 class SessionAnalysis:
     """Valid frames to repetitions, feedback windows and session reports.
@@ -60,8 +64,12 @@ class SessionAnalysis:
         self.timeout_s = timeout_s
         self.window_s = window_s
         self.min_frame_ratio = min_frame_ratio
-        unique = dedup_frames(frames) if dedup else frames
-        ordered = order_frames(compact_frames(unique, level), n_chunks)
+        if dedup:
+            given = F.lit(level) if isinstance(level, int) else level
+            angles = F.struct(F.col("metrics.angles").alias("angles")).alias("metrics")
+            frames = dedup_frames(frames, [*ANALYSED, angles, given.alias("level")])
+            level = F.col("level")
+        ordered = order_frames(compact_frames(frames, level), n_chunks)
         self.tracked = with_lifecycle(
             ordered, timeout_s=timeout_s, grace_s=grace_s, state_ttl_s=state_ttl_s
         )

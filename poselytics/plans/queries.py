@@ -166,7 +166,8 @@ def frames_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frames_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = events_frames(configure(spark), sf_dir)
-    return buffer.dedup_frames(frames.unionByName(frames)).select(
+    kept = ["session_uuid", "frame_track_uuid", "timestamp", "current_time"]
+    return buffer.dedup_frames(frames.unionByName(frames), kept).select(
         "session_uuid", "frame_track_uuid", F.unix_micros("timestamp").alias("ts_us"), "current_time"
     )
 

@@ -1,5 +1,6 @@
 """Catalog, parsing, classification, buffer and text on small fixtures."""
 
+import datetime
 import json
 import random
 
@@ -208,6 +209,28 @@ def test_consume(spark):
     assert [r.ts_ms for r in later.collect()] == [30_001]
 
 
+def test_narrow_dedup(spark):
+    schema = "session_uuid string, at timestamp, landmarks array<struct<x:double,y:double>>, side map<string,int>"
+    at, later = datetime.datetime(2024, 5, 1, 8, 0, 0, 100), datetime.datetime(2024, 5, 1, 8, 0, 0, 101)
+    rows = [
+        ("s", at, [(1.0, None)], {"a": 1}),
+        ("s", at, [(None, 1.0)], {"a": 1}),
+        ("s", at, [(1.0, None)], None),
+        ("s", at, [], {"a": 1}),
+        ("s", at, None, {"a": 1}),
+        ("s", later, None, {"a": 1}),
+        (None, None, None, None),
+    ]
+    frames = spark.createDataFrame(rows + rows[::-1], schema).repartition(3)
+    unique = buffer.dedup_frames(frames, ["session_uuid"])
+    assert sorted((r.session_uuid or "") for r in unique.collect()) == ["", *["s"] * 6]
+    plan = unique._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffled and not any("landmarks" in line or "side" in line for line in shuffled)
+    assert buffer.dedup_frames(frames.limit(0), ["session_uuid"]).count() == 0
+    assert buffer.dedup_frames(frames.select("session_uuid"), ["session_uuid"]).count() == 2  # nothing is left for the digest
+
+
 def test_latest_and_old_frames(spark):
     frames = spark.createDataFrame(
         [("hall-3", 0, "a", 0), ("hall-3", 10_000, "b", 10_000_000), ("hall-4", 5, "a", 5_000)],
@@ -216,6 +239,9 @@ def test_latest_and_old_frames(spark):
     latest = {r.session_uuid: r.frame.frame_track_uuid for r in buffer.latest_frames(frames).collect()}
     assert latest == {"hall-3": "b", "hall-4": "a"}
     assert buffer.latest_frames(frames.filter("session_uuid = 'empty'")).count() == 0
+    tied = frames.unionByName(frames).union(spark.createDataFrame([("hall-4", 5, "a", 5_400), (None, None, "c", None)], frames.schema))
+    latest = {r.session_uuid: tuple(r.frame) for r in buffer.latest_frames(tied).collect()}
+    assert latest == {"hall-3": ("hall-3", 10_000, "b", 10_000_000), "hall-4": ("hall-4", 5, "a", 5_400), None: (None, None, "c", None)}
     kept = buffer.clean_old_frames(frames, 40_000, 30)
     assert kept.count() == 0  # exactly as old as allowed is too old
     assert buffer.clean_old_frames(frames, 39_999, 30).count() == 1
