@@ -1,14 +1,18 @@
 """Sessions as a stream: ordered release, keyed state, timers and reports.
 
-Frames of a micro-batch arrive in any order. They wait in the session's state, in
-buckets of event time, until the watermark passes them, are then folded in replay order by the same
+Frames of a micro-batch arrive in any order. They wait in the session's state, a few in
+its record and more in buckets of event time, until the watermark passes them, are then folded in replay order by the same
 step functions as the batch engine, and leave as events of four kinds:
 ``rep``, ``window``, ``report`` and ``reject`` (a frame that the rules cannot judge, at once).
 The sequence and limit a session goes by come with its frames, so rules may change while it runs.
+
+Python is given a frame, and gives an event, as one JSON text: what pandas and Arrow cost is
+by columns and by sessions, not by rows, and a session has few rows in a micro-batch.
 """
 
 from __future__ import annotations
 
+import json
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,22 +34,28 @@ FORGET_AFTER_S = 6000.0
 TOMBSTONE_S = 30 * 86_400.0
 # event time of the frames that wait together
 BUCKET_S = 10.0
-
-_FRAME_FIELDS = {
-    "ts_ms": "bigint",
-    "frame_track_uuid": "string",
-    "ts_us": "bigint",
-    "exercise": "string",
-    "level": "int",
-    "is_complete": "boolean",
-    "bad_posture": "boolean",
-    "state": "string",
-    "feedback_ids": "array<string>",
-    "critical": "boolean",
-    "success": "array<string>",
-    "inactive_us": "bigint",
-}
-_FRAME_COLUMNS = list(_FRAME_FIELDS)
+# frames that wait in the record itself; each call of the state costs as much as folding many frames
+NEAR = 128
+# closed windows that do so
+NEAR_WINDOWS = 32
+# events of a session in memory before they leave
+HELD = 1000
+
+_FRAME_COLUMNS = (
+    "ts_ms",
+    "frame_track_uuid",
+    "ts_us",
+    "exercise",
+    "level",
+    "is_complete",
+    "bad_posture",
+    "state",
+    "feedback_ids",
+    "critical",
+    "success",
+    "inactive_us",
+)
+_REJECT_COLUMNS = ("ts_us", "frame_track_uuid", "exercise", "reject_reason")
 
 _EVENT_FIELDS = {
     "kind": "string",
@@ -78,7 +88,6 @@ _EVENT_FIELDS = {
     "n_frames": "bigint",
     "reject_reason": "string",
 }
-_EVENT_COLUMNS = list(_EVENT_FIELDS)
 
 
 def _ddl(fields: dict[str, str]) -> str:
@@ -90,7 +99,7 @@ EVENT_SCHEMA = _ddl(_EVENT_FIELDS)
 
 @dataclass(slots=True)
 class SessionRecord:
-    """What is kept per session between micro-batches, apart from waiting frames."""
+    """What is kept per session between micro-batches, apart from many waiting frames."""
 
     life: LifecycleState | None = None
     fold: SessionState = field(default_factory=SessionState)
@@ -105,10 +114,14 @@ class SessionRecord:
     frames: int = 0  # of the instance
     reported: bool = False
     timer_ms: int | None = None
+    near: list[tuple[int, str]] = field(default_factory=list)  # waiting frames, with their ms
+    buckets: set[int] = field(default_factory=set)  # in which others wait
+    closed: list[dict] = field(default_factory=list)  # the latest closed windows
+    stored: bool = False  # earlier ones are in the state
 
     def start_afresh(self) -> None:
         self.fold = SessionState()
-        self.counts, self.issues = {}, {}
+        self.counts, self.issues, self.closed = {}, {}, []
         self.windows = 0
         self.first_start_us = self.last_end_us = None
         self.reported = False
@@ -125,6 +138,7 @@ class SessionProcessor(StatefulProcessor):
         forget_after_s: float = FORGET_AFTER_S,
         tombstone_s: float = TOMBSTONE_S,
         bucket_s: float = BUCKET_S,
+        near: int = NEAR,
     ):
         self.window = round(window_s * 1_000_000)
         self.min_frame_ratio = min_frame_ratio
@@ -135,6 +149,7 @@ class SessionProcessor(StatefulProcessor):
         self.forget = round(forget_after_s * 1_000_000)
         self.tombstone_ms = round(tombstone_s * 1000)
         self.bucket_ms = round(bucket_s * 1000)
+        self.near = near
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -148,7 +163,8 @@ class SessionProcessor(StatefulProcessor):
         pass
 
     def _load(self) -> SessionRecord:
-        return pickle.loads(bytes(self.record.get()[0])) if self.record.exists() else SessionRecord()
+        found = self.record.get()
+        return SessionRecord() if found is None else pickle.loads(bytes(found[0]))
 
     def _save(self, record: SessionRecord) -> None:
         self.record.update((pickle.dumps(record),))
@@ -163,30 +179,34 @@ class SessionProcessor(StatefulProcessor):
             self.handle.registerTimer(at_ms)
         record.timer_ms = at_ms
 
-    def _bucket(self, bucket: int) -> list[tuple]:
-        return pickle.loads(bytes(self.waiting.getValue((bucket,))[0])) if self.waiting.containsKey((bucket,)) else []
+    def _bucket(self, bucket: int) -> list[tuple[int, str]]:
+        return pickle.loads(bytes(self.waiting.getValue((bucket,))[0]))
+
+    def _by_bucket(self, frames: list[tuple[int, str]]) -> dict[int, list[tuple[int, str]]]:
+        found: dict[int, list[tuple[int, str]]] = {}
+        for frame in frames:
+            found.setdefault(frame[0] // self.bucket_ms, []).append(frame)
+        return found
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         record = self._load()
         due = record.timer_ms
         for batch in rows:
-            rejected = batch["reject_reason"].notna()
-            if rejected.any():
-                yield _events(
-                    [
-                        {"kind": "reject", "session_uuid": key[0], "ts_us": int(ts), "frame_track_uuid": frame, "exercise": name, "reject_reason": why}
-                        for ts, frame, name, why in batch.loc[rejected, ["ts_us", "frame_track_uuid", "exercise", "reject_reason"]].itertuples(index=False, name=None)
-                    ]
-                )
-                batch = batch[~rejected]
-            if not len(batch):
-                continue
-            for bucket, frames in batch[_FRAME_COLUMNS].groupby(batch["ts_ms"] // self.bucket_ms):
-                held = self._bucket(int(bucket))
-                held += [_plain(f) for f in frames.itertuples(index=False, name=None)]
-                self.waiting.updateValue((int(bucket),), (pickle.dumps(held),))
-            first = int(batch["ts_ms"].min())
-            due = first if due is None else min(due, first)
+            rejects: list[dict] = []
+            for ts_ms, rejected, text in zip(*(batch[c].tolist() for c in ("ts_ms", "rejected", "frame"))):
+                if rejected:
+                    rejects.append({"kind": "reject", "session_uuid": key[0], **json.loads(text)})
+                else:
+                    record.near.append((ts_ms, text))
+                    due = ts_ms if due is None else min(due, ts_ms)
+            if rejects:
+                yield _events(rejects)
+            if len(record.near) > self.near:
+                for bucket, frames in self._by_bucket(record.near).items():
+                    held = self._bucket(bucket) if bucket in record.buckets else []
+                    self.waiting.updateValue((bucket,), (pickle.dumps(held + frames),))
+                    record.buckets.add(bucket)
+                record.near = []
         # a timer in the past fires with the next advance of the watermark
         if due is not None:
             self._set_timer(record, due)
@@ -195,30 +215,35 @@ class SessionProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now_ms = timerValues.getCurrentWatermarkInMs()
         record = self._load()
-        buckets = sorted(b for (b,) in self.waiting.keys())
         due = None
-        for bucket in buckets:
+        events: list[dict] = []
+        near = self._by_bucket(record.near)
+        for bucket in sorted(record.buckets | near.keys()):
             if bucket * self.bucket_ms > now_ms:  # this one and those after it are not due
                 due = bucket * self.bucket_ms
                 break
-            events: list[dict] = []
-            held = self._bucket(bucket)
-            released = sorted((f for f in held if f[0] <= now_ms), key=lambda f: (f[0], f[1].encode(), f[2]))
-            later = [f for f in held if f[0] > now_ms]
-            closed: list[dict] = []
+            held = (self._bucket(bucket) if bucket in record.buckets else []) + near.pop(bucket, [])
+            released = sorted((_frame(text) for ts_ms, text in held if ts_ms <= now_ms), key=lambda f: (f[0], f[1].encode(), f[2]))
+            later = [(ts_ms, text) for ts_ms, text in held if ts_ms > now_ms]
             for frame in released:
-                self._fold(record, key[0], frame, events, closed)
-            self._keep_windows(closed)
+                self._fold(record, key[0], frame, events)
+            if len(record.closed) > NEAR_WINDOWS:
+                self._keep_windows(record)
             if later:
+                due = min(ts_ms for ts_ms, _ in later)
+            if bucket not in record.buckets:
+                near[bucket] = later
+            elif later:
                 self.waiting.updateValue((bucket,), (pickle.dumps(later),))
-                due = min(f[0] for f in later)
             else:
                 self.waiting.removeKey((bucket,))
-            if events:
+                record.buckets.remove(bucket)
+            if len(events) >= HELD:
                 yield _events(events)
+                events = []
             if later:
                 break
-        events = []
+        record.near = [frame for frames in near.values() for frame in frames]
         end_ms = self._close(record, key[0], now_ms, events)
         if end_ms is None and due is None:
             self._forget(record, now_ms)
@@ -238,12 +263,16 @@ class SessionProcessor(StatefulProcessor):
         elif self.tombstone.exists() and self.tombstone.get()[1] < now_ms:
             self.tombstone.clear()
         self.record.clear()
-        self.windows.clear()
+        self._drop_windows(record)
+
+    def _keep_windows(self, record: SessionRecord) -> None:
+        self.windows.appendList([(pickle.dumps(w),) for w in record.closed])
+        record.closed, record.stored = [], True
 
-    def _keep_windows(self, closed: list[dict]) -> None:
-        if closed:
-            self.windows.appendList([(pickle.dumps(w),) for w in closed])
-            closed.clear()
+    def _drop_windows(self, record: SessionRecord) -> None:
+        if record.stored:
+            self.windows.clear()
+            record.stored = False
 
     def _close(self, record: SessionRecord, session: str, now_ms: int, events: list[dict]) -> int | None:
         """Report or forget the session if its time has come; else when that will be."""
@@ -256,15 +285,16 @@ class SessionProcessor(StatefulProcessor):
                 ends = min(ends, life.completed_us + self.grace)
             if now_ms * 1000 <= ends:
                 return ends // 1000 + 1
-            self._report(record, session, events, [])
+            self._report(record, session, events)
         gone = life.last_us + self.forget
         return None if now_ms * 1000 > gone else gone // 1000 + 1
 
-    def _fold(self, record: SessionRecord, session: str, frame: tuple, events: list[dict], windows: list[dict]) -> None:
+    def _fold(self, record: SessionRecord, session: str, frame: tuple, events: list[dict]) -> None:
         _, frame_id, ts, exercise, level, complete, bad, state, ids, critical, success, limit = frame
         opens = record.life is None
         if opens:
-            instance = self.tombstone.get()[0] if self.tombstone.exists() else 0
+            found = self.tombstone.get()
+            instance = 0 if found is None else found[0]
             record.life = LifecycleState(instance, 0, ts, ts if complete else None, exercise, level)
         else:
             life = record.life
@@ -272,11 +302,10 @@ class SessionProcessor(StatefulProcessor):
             life.step(ts, complete, exercise, level, self.timeout, self.grace, self.ttl)
             opens = life.instance != instance
             if opens and not record.reported:
-                self._report(record, session, events, windows, instance, completed)
+                self._report(record, session, events, instance, completed)
             if opens or life.epoch != epoch:
                 record.start_afresh()
-                windows.clear()
-                self.windows.clear()
+                self._drop_windows(record)
         if opens:
             record.success, record.limit, record.frames = success, limit, 0
         life = record.life
@@ -288,14 +317,12 @@ class SessionProcessor(StatefulProcessor):
         if rep is not None:
             events.append({**event, "kind": "rep", "ts_us": ts, "frame_track_uuid": frame_id, "rep": rep})
         if closed is not None:
-            self._close_window(record, event, closed, events, windows)
+            self._close_window(record, event, closed, events)
         elif not bad:
             for id_ in ids:
                 record.counts[id_] = record.counts.get(id_, 0) + 1
 
-    def _close_window(
-        self, record: SessionRecord, event: dict, start: int, events: list[dict], windows: list[dict]
-    ) -> None:
+    def _close_window(self, record: SessionRecord, event: dict, start: int, events: list[dict]) -> None:
         total = sum(record.counts.values())
         kept = [
             {"id": id_, "count": n, "frame_ratio": n / total}
@@ -314,7 +341,7 @@ class SessionProcessor(StatefulProcessor):
             sums[0] += 1
             sums[1] += issue["count"]
         window = {"start_us": start, "end_us": record.last_end_us, "feedback": kept}
-        windows.append(window)
+        record.closed.append(window)
         events.append({**event, "kind": "window", **window})
 
     def _report(
@@ -322,7 +349,6 @@ class SessionProcessor(StatefulProcessor):
         record: SessionRecord,
         session: str,
         events: list[dict],
-        windows: list[dict],
         instance: int | None = None,
         completed_us: int | None = None,
     ) -> None:
@@ -352,7 +378,7 @@ class SessionProcessor(StatefulProcessor):
                     }
                     for id_, (persisted, occurrences) in record.issues.items()
                 ],
-                "windows": [pickle.loads(bytes(blob)) for (blob,) in self.windows.get()] + windows,
+                "windows": ([pickle.loads(bytes(blob)) for (blob,) in self.windows.get()] if record.stored else []) + record.closed,
                 "state": {
                     "curr_state": fold.curr_state,
                     "prev_state": fold.prev_state,
@@ -371,25 +397,24 @@ class SessionProcessor(StatefulProcessor):
 
 
 def _events(events: list[dict]) -> pd.DataFrame:
-    # object columns: absent fields stay None, and times stay integers
-    return pd.DataFrame([[event.get(name) for name in _EVENT_COLUMNS] for event in events], columns=_EVENT_COLUMNS, dtype=object)
+    return pd.DataFrame({"event": [json.dumps(event) for event in events]})
 
 
-def _plain(frame: tuple) -> tuple:
-    ts_ms, frame_id, ts_us, exercise, level, complete, bad, state, ids, critical, success, limit = frame
+def _frame(text: str) -> tuple:
+    frame = json.loads(text)
     return (
-        int(ts_ms),
-        frame_id,
-        int(ts_us),
-        exercise,
-        int(level),
-        bool(complete),
-        bool(bad),
-        state if isinstance(state, str) else None,
-        list(ids),
-        bool(critical),
-        tuple(success),
-        int(limit),
+        frame["ts_ms"],
+        frame["frame_track_uuid"],
+        frame["ts_us"],
+        frame.get("exercise"),
+        frame["level"],
+        bool(frame.get("is_complete")),
+        bool(frame.get("bad_posture")),
+        frame.get("state"),
+        frame["feedback_ids"],
+        bool(frame.get("critical")),
+        tuple(frame["success"]),
+        frame["inactive_us"],
     )
 
 
@@ -417,21 +442,28 @@ def session_events(
     return fold_stream(classify(compact, catalog, keep_rejects=True, limits=True), **options)
 
 
+def judged_texts(judged: DataFrame) -> DataFrame:
+    """Judged frames as the state machine takes them: few columns, the frame as JSON, null fields left out."""
+    rejected = F.col("reject_reason").isNotNull()
+    text = F.when(rejected, F.to_json(F.struct(*_REJECT_COLUMNS))).otherwise(F.to_json(F.struct(*_FRAME_COLUMNS)))
+    return judged.select("session_uuid", "timestamp", "ts_ms", rejected.alias("rejected"), text.alias("frame"))
+
+
 def fold_stream(judged: DataFrame, **options: float) -> DataFrame:
     """Events of a stream of judged frames, rejects among them, with a watermark on ``timestamp``."""
-    frames = judged.select("session_uuid", "timestamp", *_FRAME_COLUMNS, "reject_reason")
-    observed = frames.observe(
+    observed = judged_texts(judged).observe(
         "frames",
         F.count(F.lit(1)).alias("frames_processed"),
-        F.count_if(F.col("reject_reason").isNotNull()).alias("frames_rejected"),
+        F.count_if("rejected").alias("frames_rejected"),
         F.approx_count_distinct("session_uuid").alias("active_sessions"),
     )
-    return observed.groupBy("session_uuid").transformWithStateInPandas(
+    events = observed.groupBy("session_uuid").transformWithStateInPandas(
         statefulProcessor=SessionProcessor(**options),
-        outputStructType=EVENT_SCHEMA,
+        outputStructType="event string",
         outputMode="Append",
         timeMode="EventTime",
     )
+    return events.select(F.from_json("event", EVENT_SCHEMA).alias("event")).select("event.*")
 
 
 def report_rows(events: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime, timezone
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from poselytics.sources.events import EPOCH_US, events_frames
 from poselytics.sources.frames import parse_frames, stream_messages, valid_frames
 from poselytics.sources.sinks import report_messages
 from poselytics.streaming.jobs import RunMetrics, for_each_catalog, write_stream
-from poselytics.streaming.sessions import EVENT_SCHEMA, dedup_stream, events_of, report_rows, session_events
+from poselytics.streaming.sessions import EVENT_SCHEMA, SessionProcessor, dedup_stream, events_of, judged_texts, report_rows, session_events
 from tests.conftest import SMALL
 
 
@@ -188,3 +189,82 @@ def test_versions_of_a_folder(spark, tmp_path):
     assert found == [(None, "unknown_exercise"), ("s2", None), ("s2", None), ("s1", None), ("s1", None)]
     with pytest.raises(ValueError):
         fold_rules(catalog)
+
+
+class CountedState:
+    """What the engine keeps for one session, in memory; each call is noted."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = [], {}, set()
+
+    def getMapState(self, name, *_):
+        return CountedVariable(self, name)
+
+    getListState = getValueState = getMapState
+
+    def registerTimer(self, at_ms):
+        self.calls.append("registerTimer")
+        self.timers.add(at_ms)
+
+    def deleteTimer(self, at_ms):
+        self.calls.append("deleteTimer")
+        self.timers.remove(at_ms)
+
+
+class CountedVariable:
+    def __init__(self, state, name):
+        self.state, self.name = state, name
+
+    def _kept(self, empty):
+        return self.state.held.setdefault(self.name, empty)
+
+    def __getattr__(self, call):
+        self.state.calls.append(f"{self.name}.{call}")
+        return {
+            "get": lambda: self.state.held.get(self.name),
+            "exists": lambda: self.name in self.state.held,
+            "update": lambda value: self.state.held.update({self.name: value}),
+            "clear": lambda: self.state.held.pop(self.name, None),
+            "keys": lambda: list(self._kept({})),
+            "containsKey": lambda key: key in self._kept({}),
+            "getValue": lambda key: self._kept({}).get(key),
+            "updateValue": lambda key, value: self._kept({}).update({key: value}),
+            "removeKey": lambda key: self._kept({}).pop(key),
+            "appendList": lambda values: self._kept([]).extend(values),
+        }[call]
+
+
+def test_a_session_takes_few_calls_and_few_data_frames(spark):
+    """Each state call and each yielded frame has a fixed price, which sessions of some dozen frames pay by number."""
+    stamp = lambda at: datetime.fromtimestamp(1_704_067_200 + at, timezone.utc)
+    cycle = [120.0, 90.0, 50.0, 90.0]
+    rows = [frame(k, k, elbow=cycle[k // 2 % 4]) for k in range(72)]
+    judged = classify(compact_frames(spark.createDataFrame(rows, FRAME), keep=("timestamp",)), builtin_catalog(spark), keep_rejects=True, limits=True)
+    batch = judged_texts(judged).toPandas()
+    state, processor = CountedState(), SessionProcessor()
+    processor.init(state)
+    state.calls.clear()
+    out = list(processor.handleInputRows(("s",), iter([batch]), None))
+    for at_s in (5, 40, 10**5):
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda at_s=at_s: round(stamp(at_s).timestamp() * 1000))
+        for due in [t for t in state.timers if t <= now.getCurrentWatermarkInMs()]:
+            out += processor.handleExpiredTimer(("s",), now, None)
+            state.timers.discard(due)  # as the engine does
+    events = [json.loads(text) for found in out for text in found["event"]]
+    kinds = [event["kind"] for event in events]
+    assert kinds.count("report") == 1 and events[-1]["n_frames"] == 72
+    assert kinds.count("window") == len(events[-1]["windows"]) > 10 and state.held.keys() == {"tombstone"} and kinds.count("rep") > 2
+    # eight buckets of event time, three timers
+    assert len(out) <= 3 and all(found.shape[1] == 1 for found in out)
+    assert len(state.calls) <= 16
+
+
+def test_frames_wait_in_the_record_or_in_buckets(spark, tmp_path):
+    """The same events whether all, some or none of the waiting frames are kept apart."""
+    rows = [frame(k, k * 0.25, elbow=[120.0, 90.0, 50.0, 90.0][k // 2 % 4], offset=60.0 * (k % 3)) for k in range(400)]
+    batches = [rows[k : k + 90][::-1] for k in range(0, 400, 90)] + [[frame(0, 10**6, "end")]]
+    results = []
+    for near in (0, 60, 1000):
+        events, _ = run_batches(spark, tmp_path / str(near), batches, near=near)
+        results.append(sorted(map(str, events.filter("session_uuid = 's'").collect())))
+    assert results[0] == results[1] == results[2] and len(results[0]) > 40
