@@ -638,34 +638,37 @@ def _stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _slices(spark: SparkSession, sf_dir: str, folder: str, bounds_s: list[float]) -> Iterator[int]:
-    """Store the frames in slices of event time, each a file of its own: a stream takes one a micro-batch."""
+    """Store the frames in slices of event time, one after the other: a stream run in between takes a slice a micro-batch."""
     frames = events_frames(spark, sf_dir)
     elapsed = F.unix_micros("timestamp") - EPOCH_US
     for n, (low, high) in enumerate(zip([float("-inf"), *bounds_s], [*bounds_s, float("inf")])):
-        part = frames.filter((elapsed >= low * 1e6) & (elapsed < high * 1e6))
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/frames")
+        frames.filter((elapsed >= low * 1e6) & (elapsed < high * 1e6)).write.mode("append").parquet(f"{folder}/frames")
         yield n
 
 
 def _sliced_stream(spark: SparkSession, folder: str) -> DataFrame:
     schema = spark.read.parquet(f"{folder}/frames").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/frames")
+    return spark.readStream.schema(schema).parquet(f"{folder}/frames")
 
 
 def stream_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions that are closed, forgotten and opened again while the stream runs: their instances go on counting."""
+    """Sessions that are closed, forgotten and opened again while the stream goes on: their instances go on counting."""
     folder = _new_folder(configure(spark))
+
+    def go_on() -> DataFrame:
+        events = session_events(
+            _sliced_stream(spark, folder),
+            builtin_catalog(spark),
+            F.col("level"),
+            timeout_s=SHORT_TIMEOUT_S,
+            forget_after_s=SHORT_TIMEOUT_S + 1,
+        )
+        return _run(events, folder)
+
     for _ in _slices(spark, sf_dir, folder, [12, 24, 36, 48, 60]):
-        pass
+        go_on()
     _end_frame(spark).coalesce(1).write.mode("append").parquet(f"{folder}/frames")
-    events = session_events(
-        _sliced_stream(spark, folder),
-        builtin_catalog(spark),
-        F.col("level"),
-        timeout_s=SHORT_TIMEOUT_S,
-        forget_after_s=SHORT_TIMEOUT_S + 1,
-    )
-    return events_of(_run(events, folder), "report").select("session_uuid", "session_instance", "status", "n_frames")
+    return events_of(go_on(), "report").select("session_uuid", "session_instance", "status", "n_frames")
 
 
 def _changed_document() -> str:

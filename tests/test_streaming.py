@@ -12,6 +12,7 @@ from poselytics.operators.feedback import feedback_windows
 from poselytics.operators.lifecycle import order_frames, with_lifecycle
 from poselytics.operators.session_fold import fold_rules, rep_events, session_states, session_trace
 from poselytics.plans.analysis import SessionAnalysis
+from poselytics.plans.queries import _slices
 from poselytics.schema import FRAME
 from poselytics.sources.catalog import BUILTIN_FOLDER, builtin_catalog, read_catalog_versions, write_documents
 from poselytics.sources.events import EPOCH_US, events_frames
@@ -268,3 +269,17 @@ def test_frames_wait_in_the_record_or_in_buckets(spark, tmp_path):
         events, _ = run_batches(spark, tmp_path / str(near), batches, near=near)
         results.append(sorted(map(str, events.filter("session_uuid = 's'").collect())))
     assert results[0] == results[1] == results[2] and len(results[0]) > 40
+
+
+def test_slices_are_stored_by_many_tasks(spark, tmp_path):
+    """No slice passes one task; each holds its own time, and an empty one is one too."""
+    names = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+    for part in range(4):
+        stamps = [datetime(2024, 1, 1 + day, part, tzinfo=timezone.utc) for day in range(20)]
+        rows = [(part * 100 + n, at, n % 3, "view", 10.0, '{"k": 40}') for n, at in enumerate(stamps)]
+        spark.createDataFrame(rows, names).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/events.parquet")
+    files = []
+    for _ in _slices(spark, f"{tmp_path}/in", str(tmp_path), [24.0, 100.0]):
+        files.append(len(list((tmp_path / "frames").glob("*.parquet"))))
+    assert files[0] > 1 and files[1] > files[0] + 1 and files[2] > files[1]
+    assert spark.read.parquet(f"{tmp_path}/frames").count() == 80
